@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, packing, tokenbin
+from gridloom.llm import bpe, lm, packing, quality, simhash, tokenbin, toxicity
 from gridloom.llm.common import table
 
 
+def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_table(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -23,7 +39,7 @@ def op9_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_binary, op7_bpe_tree, op9_packing_kk)}
+    return {f.__name__: f for f in (op2_lm_bloom, op3_token_binary, op4_toxicity_ftrl, op5_simhash, op6_quality_rules, op7_bpe_tree, op9_packing_kk)}
 
 
 def oracle_sql() -> dict[str, str]:
