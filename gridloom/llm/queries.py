@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lm, packing, quality, simhash, tokenbin, toxicity
+from gridloom.llm import bpe, embdedup, lm, packing, pii, quality, simhash, tokenbin, toxicity, urlgraph
 from gridloom.llm.common import table
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
@@ -34,12 +38,32 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing_kk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.windows(table(spark, sf_dir, "documents"))
 
 
+def op10_url_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.verdicts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_lm_bloom, op3_token_binary, op4_toxicity_ftrl, op5_simhash, op6_quality_rules, op7_bpe_tree, op9_packing_kk)}
+    found = [
+        op1_pii_disclosure,
+        op2_lm_bloom,
+        op3_token_binary,
+        op4_toxicity_ftrl,
+        op5_simhash,
+        op6_quality_rules,
+        op7_bpe_tree,
+        op8_embedding_ego,
+        op9_packing_kk,
+        op10_url_pagerank,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
