@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from gridloom.llm import bpe, embdedup, lm, packing, pii, quality, simhash, tokenbin, toxicity, urlgraph
 from gridloom.llm.common import table
 
@@ -63,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_packing_kk,
         op10_url_pagerank,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,8 @@ BYTES = 8
 SEED = 42
 #: Fingerprints of a list that are compared at once.
 BLOCK = 1024
+#: Lists up to this length are compared all at once, many lists in one step.
+SHORT = 8
 
 
 def shingle_hashes(ws: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -42,27 +44,39 @@ def shingle_hashes(ws: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((digest(text[a:b], seed) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Signed 64-bit fingerprint: a bit is 1 if set in over half the hashes; none: zero."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
+    """``width`` signed 64-bit words: a bit is 1 if set in over half the hashes; none: zero.
 
+    The first word counts the hashes themselves, each further one a fixed mixture of them.
+    """
+    out = []
+    for word in range(width):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 8192):
+            part = hashes[i : i + 8192]
+            if word:
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(2 * (0x9E3779B97F4A7C15 * word >> 1) + 1 & 0xFFFFFFFFFFFFFFFF)
+                part ^= part >> np.uint64(29)
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0)
+    return out
+
+
+def names(width: int) -> list[str]:
+    return [f"fp{i}" for i in range(width)]
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) per row, from whole texts; null text is empty."""
+
+def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, fp0, ...) per row, from whole texts; null text is empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(shingle_hashes(words(x), shingle)) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(shingle_hashes(words(x), shingle), width) for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([x[i] for x in fps], pa.int64()) for i in range(width)]], ["doc_id", *names(width)])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    return src.mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names(width)))
 
 
 def covering(key_bytes: int, groups: int) -> list[tuple[int, ...]]:
@@ -90,7 +104,7 @@ def _links(fps: np.ndarray, ids: np.ndarray, split: int, shared: int, max_bits:
     pair and only used here to leave out links between what hangs together already.
     """
     n = len(fps)
-    raw = fps.view(np.uint8).reshape(n, BYTES)
+    raw = np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1)
     group = np.arange(n)
     a_out: list[int] = []
     b_out: list[int] = []
@@ -98,7 +112,7 @@ def _links(fps: np.ndarray, ids: np.ndarray, split: int, shared: int, max_bits:
     def compare(i: int, lo: int, hi: int, report: bool) -> None:
         other = lo + np.flatnonzero(group[lo:hi] != group[i])
         other = other[(raw[other] == raw[i]).sum(axis=1) >= shared]
-        other = other[np.bitwise_count(fps[other] ^ fps[i]) <= max_bits]
+        other = other[np.bitwise_count(fps[other] ^ fps[i]).sum(axis=1) <= max_bits]
         for j in other.tolist():
             if group[j] != group[i]:
                 group[group == group[j]] = group[i]
@@ -113,40 +127,64 @@ def _links(fps: np.ndarray, ids: np.ndarray, split: int, shared: int, max_bits:
     return a_out, b_out
 
 
-def links(classes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """(fp long, id long), one row per distinct fingerprint -> (a, b) links spanning every component.
-
-    Lists of one fingerprint are dropped by a count; a list of more than ``block`` is dealt by hash
-    into blocks, and each pair of its blocks is a row of the next stage.
+def _short_lists(fps: np.ndarray, ids: np.ndarray, which: np.ndarray, shared: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links within lists of at most SHORT entries; ``which`` numbers each entry's list, in order."""
+    a_out, b_out = [], []
+    for step in range(1, SHORT):
+        at = np.flatnonzero(which[step:] == which[:-step])
+        if not len(at):
+            break
+        x, y = fps[at], fps[at + step]
+        tally = (x.view(np.uint8).reshape(len(at), -1) == y.view(np.uint8).reshape(len(at), -1)).sum(axis=1)
+        ok = (tally >= shared) & (np.bitwise_count(x ^ y).sum(axis=1) <= max_bits)
+        a_out.append(ids[at[ok]])
+        b_out.append(ids[at[ok] + step])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
+
+
+def links(classes: DataFrame, index_bits: int = 3, shared: int = 5, max_bits: int = 3, block: int = BLOCK) -> DataFrame:
+    """(id long, fp0, ...), one row per distinct fingerprint -> (a, b) links spanning every component.
+
+    Each word is indexed so that ``index_bits`` differing bits cannot hide a pair; a pair that shares
+    ``shared`` byte positions over all words and differs in ``max_bits`` bits at most is a link. Lists of
+    one fingerprint are dropped by a count; a list of more than ``block`` is dealt by hash into
+    blocks, and each pair of its blocks is a row of the next stage.
     """
-    keys, shared = index_keys(max_bits), BYTES - max_bits
-    masks = [sum(0xFF << (8 * p) for p in c) for c in keys]
+    cols = [c for c in classes.columns if c != "id"]
+    masks = [sum(0xFF << (8 * p) for p in c) for c in index_keys(index_bits)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)]))
-    posted = classes.select("fp", "id", key.alias("key")).select("fp", "id", "key.list", "key.value")
+    places = [(c, m) for c in cols for m in signed]
+    key = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("list"), F.col(c).bitwiseAND(F.lit(m)).alias("value")) for i, (c, m) in enumerate(places)]))
+    posted = classes.select("id", *cols, key.alias("key")).select("id", *cols, "key.list", "key.value")
     sizes = materialise(posted.groupBy("list", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     met = posted.join(sizes, ["list", "value"])
     parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = met.withColumn("own", F.pmod(F.xxhash64(*cols), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = dealt.groupBy("list", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    pairs = rows.agg(F.collect_list(F.struct(F.col("own") == F.greatest("own", "other"), "fp", "id")).alias("entries"))
+    pairs = rows.agg(F.collect_list(F.struct((F.col("own") == F.greatest("own", "other")).alias("late"), "id", *cols)).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("entries")
-            at, flat = lists.offsets.to_numpy(), lists.values.flatten()
-            late, fps, ids = (x.to_numpy(zero_copy_only=False) for x in flat)
-            mixed = b.column("mixed").to_pylist()
-            a_all: list[int] = []
-            b_all: list[int] = []
-            for k in range(len(mixed)):
+            at = lists.offsets.to_numpy().astype(np.int64)
+            late, ids, *words_ = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            at = at - at[0]
+            fps = np.stack(words_, axis=1).view(np.uint64)
+            mixed = np.array(b.column("mixed").to_pylist(), bool)
+            size = np.diff(at)
+            short = ~mixed & (size <= SHORT)
+            which = np.repeat(np.arange(len(size)), size)
+            pick = short[which]
+            a, c = _short_lists(fps[pick], ids[pick], which[pick], shared, max_bits)
+            a_all, b_all = a.tolist(), c.tolist()
+            for k in np.flatnonzero(~short).tolist():
                 lo, hi = int(at[k]), int(at[k + 1])
-                order = np.lexsort((fps[lo:hi], late[lo:hi])) if mixed[k] else np.argsort(fps[lo:hi])
+                order = lo + np.lexsort((fps[lo:hi, 0], late[lo:hi]))
                 split = int(hi - lo - late[lo:hi].sum()) if mixed[k] else 0
                 if mixed[k] and split in (0, hi - lo):
                     continue
-                x, y = _links(fps[lo:hi][order].view(np.uint64), ids[lo:hi][order], split, shared, max_bits)
+                x, y = _links(fps[order], ids[order], split, shared, max_bits)
                 a_all += x
                 b_all += y
             yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.int64())], ["a", "b"])
@@ -154,21 +192,41 @@ def links(classes: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFram
     return pairs.select((F.col("x") != F.col("y")).alias("mixed"), "entries").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """doc_id, fp, component_id per row: documents whose fingerprints link, directly or by others.
+def groups(docs: DataFrame, shingle: int = 3, width: int = 1, index_bits: int = 3, shared: int = 5, max_bits: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, fp0, ..., component_id per row: documents whose fingerprints link, directly or by others.
 
     ``component_id`` is the smallest doc_id of the group. Rows without words have fingerprint zero
-    and link like any other; rows that repeat a doc_id share its component. A row with a null id
-    gets its group's component but carries no link of its own; alone it gets null.
+    and link like any other; rows that repeat a doc_id each get the group of their own text. A row with
+    a null id gets its group's component but carries no link of its own; alone it gets null.
+    """
+    cols = names(width)
+    rows = materialise(fingerprints(docs, shingle, width, id_col), "fingerprints")
+    classes = materialise(rows.groupBy(*cols).agg(F.min("doc_id").alias("id")), "classes")
+    roots = connected(links(classes.where("id is not null"), index_bits, shared, max_bits))
+    by_fp = materialise(classes.join(roots, classes["id"] == roots["node"], "left").select(*cols, F.coalesce("root", "id").alias("component_id")), "components")
+    return rows.join(by_fp, cols, "left").select("doc_id", *cols, "component_id")
+
+
+#: Near-duplicate documents: shingles of five words, 256 bits; as many equal bits as a Jaccard
+#: similarity of 0.8 leaves on average (cosine 2j / (1 + j), angle / pi of the bits differ).
+NEAR = {"shingle": 5, "width": 4, "index_bits": 5, "shared": 4, "max_bits": 40}
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates (NEAR) with all its columns: the smallest doc_id's.
+
+    Groups are of rows, so repeated and null ids do no harm; equal ids are told apart by scan order,
+    a null id comes last.
     """
-    rows = materialise(fingerprints(docs, shingle), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
-    roots = connected(links(classes.where("id is not null"), max_bits))
-    by_fp = materialise(classes.join(roots, classes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id")), "components")
-    return rows.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    numbered = docs.withColumn("near_row", F.monotonically_increasing_id())
+    found = groups(numbered, id_col="near_row", **NEAR).select(F.col("doc_id").alias("near_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")
+    named = found.join(numbered.select("near_row", "doc_id"), "near_row")
+    first = materialise(named.groupBy("component_id").agg(F.min(rank)["near_row"].alias("near_row")).select("near_row"), "kept")
+    return numbered.join(first, "near_row", "left_semi").select(*docs.columns)
 
 
 def component_table(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     out = groups(docs)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
