@@ -24,17 +24,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, text_or_empty
+from gridloom.llm.common import bound_batches, forget, memory, text_or_empty
 
 #: Texts longer than this many characters are cut into leaves.
 LEAF_CHARS = 16_384
-#: Distinct pieces of text a worker remembers the ids of; it starts anew when they are full.
-CACHE_PIECES = 1_000_000
+#: Pieces of text a worker remembers the ids of, in either of two generations.
+CACHE_PIECES = 600_000
+#: Rows that are encoded at once: the more, the fewer times Python sees a piece.
+ENCODE_ROWS = 2048
 
 _PIECE = re.compile(r"\s*\S+|\s+")
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-z]+)([.,;:!?|*$%&#]+)")
-#: White space of any kind (all that either library may take for it) before a space.
-_SPACE_BEFORE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+_CUT = "\x1e"
+#: Texts that plain rules do not cut: white space beside white space or other than space and line end.
+_ODD = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that follow a letter and end at white space: a pre-token of their own.
+_MARKS = r"(\pL)([^\pL\pN\s']+)( |\n|$)"
 
 
 def default_tokenizer() -> str:
@@ -46,8 +50,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """The tokenizers library's ids of whole texts, with a memory of repeated pieces.
 
-    A text is cut only where a character that is no white space meets white space: no token spans
-    that place and its pre-tokens do not depend on what stands beyond it.
+    A text is cut only where its pre-tokens end whatever surrounds them: before white space that
+    follows a character, behind a single line end, and between a word and the marks before a space.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,55 +60,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}  # ids of pieces, pre-tokens among them
-        self.spaced: dict[str, bytes] = {}  # of the pieces that begin with their only space, without it
+        self.known: dict[str, bytes] = memory({})  # ids of pieces
+        self.older: dict[str, bytes] = memory({})  # the generation before
         self._bytes: list[bytes] | None = None
         self._texts: list[str] | None = None
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        """Ids of new pieces; a word with marks behind it is two pre-tokens, each encoded once."""
-        known, halves, whole = self.known, [], []
-        for piece in missing:
-            m = _WORD_AND_MARKS.fullmatch(piece)
-            halves.append((piece, m[1], m[2])) if m else whole.append(piece)
-        new = [x for x in {y for _, a, b in halves for y in (a, b)}.union(whole) if x not in known]
-        for piece, ids in zip(new, self.plain(new)):
-            known[piece] = array("I", ids).tobytes()
-        for piece, a, b in halves:
-            known[piece] = known[a] + known[b]
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces; new ones are encoded together."""
+        if len(self.known) > CACHE_PIECES:
+            self.known, self.older = self.older, self.known
+            self.known.clear()
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (ids := older.get(pieces[i])) is None:
+                new.append(i)
+            else:
+                out[i] = known[pieces[i]] = ids
+        for i, ids in zip(new, self.plain([pieces[i] for i in new])):
+            out[i] = known[pieces[i]] = array("I", ids).tobytes()
+        return out
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids[offsets[i]:offsets[i + 1]] are those of text i, as the library gives them.
 
-        Arrow splits the texts at spaces and numbers the distinct pieces; Python sees each distinct
-        piece of a batch once. Texts with white space before a space are cut by a pattern instead.
+        Arrow cuts the texts and numbers the distinct pieces, so Python sees each distinct piece of a
+        batch once. Odd texts are cut by a pattern and put together from their own pieces.
         """
-        if len(self.known) + len(self.spaced) > CACHE_PIECES:
-            self.known.clear()
-            self.spaced.clear()
-        n = len(texts)
-        odd = pc.match_substring_regex(texts, _SPACE_BEFORE_SPACE).to_numpy(zero_copy_only=False).astype(bool)
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), " ")
-        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-        coded = flat.dictionary_encode()
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        cut = pc.replace_substring_regex(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), _MARKS, r"\1" + _CUT + r"\2\3")
+        cut = pc.replace_substring(pc.replace_substring(cut, "\n", _CUT + "\n" + _CUT), " ", _CUT + " ")
+        lists = pc.split_pattern(cut, _CUT)
+        coded = lists.flatten().dictionary_encode()
+        at = lists.offsets.to_numpy().astype(np.int64)
         code = coded.indices.to_numpy().astype(np.int64)
-        firsts = flat.take(pa.array(at[:-1])).to_pylist()
         special = {i: _PIECE.findall(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-        kept = set(firsts).union(*special.values())
-        if missing := [x for x in kept if x not in self.known]:
-            self._learn(missing)
-        distinct = coded.dictionary.to_pylist()
-        entries = list(map(self.spaced.get, distinct))
-        if missing := [i for i, x in enumerate(entries) if x is None]:
-            self._learn([" " + distinct[i] for i in missing])
-            for i in missing:
-                piece = " " + distinct[i]
-                entries[i] = self.spaced[distinct[i]] = self.known[piece] if piece in kept else self.known.pop(piece)
-        entries += [b"".join(map(self.known.__getitem__, special[i])) if i in special else self.known[x] for i, x in enumerate(firsts)]
-        code[at[:-1]] = len(distinct) + np.arange(n)
+        pieces = coded.dictionary.to_pylist()
+        extra = list(set().union(*special.values()).difference(pieces))
+        entries = self.look_up(pieces + extra)
+        if special:
+            ids_of = dict(zip(pieces + extra, entries))
+            code[at[[*special]]] = len(entries) + np.arange(len(special))
+            entries += [b"".join(map(ids_of.__getitem__, x)) for x in special.values()]
         ids, starts = np.frombuffer(b"".join(entries), "<u4"), np.cumsum([0, *map(len, entries)]) // 4
         lens = np.diff(starts)[code]
         ends = np.cumsum(lens)
@@ -197,7 +198,21 @@ def encoder(path: str) -> Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    enc = _encoders[path]
+    forget(enc.known, enc.older)
+    return enc
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int = ENCODE_ROWS, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``rows`` rows or ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def leaves(text: str, leaf_chars: int) -> list[str]:
@@ -220,7 +235,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
+        for b in regrouped(batches):
             ids = enc.encode_binary(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], ["id", "ids"])
 

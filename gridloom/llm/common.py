@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,37 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_memories: list[dict] = []
+
+
+def memory(held: dict) -> dict:
+    """Registers what a worker remembers between tasks (ids of pieces, hashes of words)."""
+    _memories.append(held)
+    return held
+
+
+def forget(*kept: dict) -> None:
+    """Empties every other operator's memory: workers are reused, and stages follow one another."""
+    for held in _memories:
+        if all(held is not k for k in kept):
+            held.clear()
+
+
+class Hashes(dict):
+    """word -> its 64-bit hash, computed once while remembered."""
+
+    MOST = 100_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.MOST:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return value
+
+
+word_hashes = memory(Hashes())
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; bytes methods know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -30,18 +30,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, id_fold, materialise, text_or_empty, words
+from gridloom.llm.common import bound_batches, forget, id_fold, materialise, text_or_empty, word_hashes, words
 
 #: The token behind each document; no word holds a space.
 END = b" "
 #: The history of a document's first token.
 START = b"  "
 BASE = 1.5
-PROBES = 5
+PROBES = 4
 #: Bits of the filter for each training token; each adds less than one distinct n-gram on average.
-BITS_PER_TOKEN = 8
+BITS_PER_TOKEN = 6
 BLOCK_BITS = 1 << 16
-MAX_FILTER_BYTES = 128 << 20
+MAX_FILTER_BYTES = 96 << 20
 MU = 2.0
 #: Words in the broadcast table and their longest length: at most about 16 MB.
 COMMON_WORDS = 1 << 17
@@ -65,23 +65,10 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hashes(dict):
-    """word -> its hash, computed once while remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
-
-
-_hashes = Hashes()
-
-
 def grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's tokens with START before and END behind, and of its bigrams."""
     tokens = [START, *ws, END]
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    h = np.fromiter(map(word_hashes.__getitem__, tokens), np.uint64, len(tokens))
     return h, mix(h[:-1], h[1:])
 
 
@@ -153,6 +140,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word binary, n long): exact counts of the training tokens, END among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: Counter[bytes] = Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -194,6 +182,7 @@ def packed_counts(train: DataFrame, segments: int, blocks: int) -> DataFrame:
     per = blocks // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
@@ -246,13 +235,14 @@ def _score(docs: DataFrame, filters: Iterator[Filter], passes: int, common: tupl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            forget(word_hashes)
             part, row = TaskContext.get().partitionId() << 33, 0
             for b in batches:
                 texts = [words(x) for x in b.column("text").to_pylist()]
                 if not texts:
                     continue
                 tokens = [t for ws in texts for t in (START, *ws, END)]
-                h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+                h = np.fromiter(map(word_hashes.__getitem__, tokens), np.uint64, len(tokens))
                 distinct, inverse = np.unique(h, return_inverse=True)
                 bound = shared.value
                 uni = bound.level(distinct)[inverse]
@@ -327,10 +317,10 @@ def scores(docs: DataFrame, parts: int = 10, mu: float = MU, max_filter_bytes: i
             bits[(segment - first) * segment_bytes : (segment - first + 1) * segment_bytes] = np.frombuffer(raw, np.uint8)
         return Filter(bits, first * (blocks // segments), blocks)
 
-    top = counts.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect()
-    keys = np.array([_hashes[bytes(w)] for w, _ in top], np.uint64)
+    top = counts.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
+    keys = np.array([xxhash.xxh64_intdigest(w, 7) for w in top["word"].to_pylist()], np.uint64)
     order = np.argsort(keys)
-    common = keys[order], np.array([n for _, n in top], np.int64)[order]
+    common = keys[order], top["n"].to_numpy()[order]
     rows = _score(src, (load(first) for first in range(0, segments, per_filter)), -(-segments // per_filter), common, n_train, v_train, mu)
 
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import default_tokenizer, encoder
+from gridloom.llm.bpe import default_tokenizer, encoder, regrouped
 from gridloom.llm.common import bound_batches, materialise, text_or_empty
 
 CAPACITY = 1024
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
         enc, part, row, full = encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], "<u4")
-        for b in batches:
+        for b in regrouped(batches):
             out: list[tuple] = []
             for key, text_ids in zip(b.column("doc_id").to_pylist(), enc.encode_texts(b.column("text"))):
                 ids = np.concatenate([text_ids, end]).astype("<u4")

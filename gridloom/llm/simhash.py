@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, connected, materialise, text_or_empty, words
+from gridloom.llm.common import bound_batches, connected, forget, materialise, text_or_empty, words
 
 BYTES = 8
 SEED = 42
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, width: int = 1, id_col: str
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             fps = [fingerprint(shingle_hashes(words(x), shingle), width) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([x[i] for x in fps], pa.int64()) for i in range(width)]], ["doc_id", *names(width)])

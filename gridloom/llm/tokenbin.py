@@ -8,7 +8,7 @@ A shard is a sequence of ids and the documents they belong to, in ascending docu
 
     u32 minimum | u8 width | u16 exceptions | packed low bits | u16 position[] | u32 high bits[]
 
-The minimum is subtracted, differences are packed at the width that holds ``percentile`` of them,
+The last block repeats its last id up to the block size. The minimum is subtracted, differences are packed at the width that holds ``percentile`` of them,
 and an outlier's bits above that width go to the exception list that patches the block.
 Shards are rows of a Parquet table (columns below), since Spark's writers reach any store.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import default_tokenizer, encoder
+from gridloom.llm.bpe import default_tokenizer, encoder, regrouped
 from gridloom.llm.common import bound_batches, shared_dir, text_or_empty
 
 MAGIC = b"PFR1"
@@ -38,47 +38,55 @@ END_ID = 0
 SHARD_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Low ``width`` bits of each value, least significant bit first."""
-    if not width:
-        return b""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits, bitorder="little").tobytes()
+def _pack(rows: np.ndarray, width: int) -> np.ndarray:
+    """Low ``width`` bits of each value, least significant first: (k, n) values -> (k, bytes).
 
-
-def _unpack(raw: memoryview, n: int, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(n, np.uint32)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
-    full[:, :width] = bits
-    return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
-
-
-def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    low = int(ids.min())
-    diff = (ids - np.uint32(low)).astype(np.uint32)
-    width = int(np.partition(diff, k := min(len(diff) - 1, int(len(diff) * percentile / 100)))[k]).bit_length()
-    where = np.flatnonzero(diff >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    high = (diff[where] >> np.uint32(width)).astype("<u4") if len(where) else np.empty(0, "<u4")
-    return struct.pack("<IBH", low, width, len(where)) + _pack(diff, width) + where.astype("<u2").tobytes() + high.tobytes()
-
-
-def decode_block(raw: memoryview, n: int) -> np.ndarray:
-    low, width, k = struct.unpack_from("<IBH", raw)
-    at = 7 + (n * width + 7) // 8
-    ids = _unpack(raw[7:at], n, width)
-    if k:
-        where = np.frombuffer(raw, "<u2", k, at)
-        ids[where] |= np.frombuffer(raw, "<u4", k, at + 2 * k) << np.uint32(width)
-    return ids + np.uint32(low)
+    n is a multiple of 64, so each 64 values fill ``width`` whole words and all rows go at once.
+    """
+    k, n = rows.shape
+    out = np.zeros((k, n // 64, width), "<u8")
+    values = (rows & np.uint64((1 << width) - 1)).reshape(k, n // 64, 64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[:, :, word] |= values[:, :, i] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, word + 1] |= values[:, :, i] >> np.uint64(64 - shift)
+    return out.reshape(k, -1).view(np.uint8)
+
+
+def _unpack(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    """(k, bytes) -> (k, n) values."""
+    k = len(raw)
+    words = np.ascontiguousarray(raw).view("<u8").reshape(k, n // 64, width)
+    out = np.empty((k, n // 64, 64), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        value = words[:, :, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[:, :, word + 1] << np.uint64(64 - shift)
+        out[:, :, i] = value
+    return out.reshape(k, n) & np.uint64((1 << width) - 1)
 
 
 def encode_shard(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """Block positions are 16 bit: ``block`` is 65,536 at most."""
-    blocks = [encode_block(ids[i : i + block], percentile) for i in range(0, len(ids), block)]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype("<u4")
-    return MAGIC + struct.pack("<III", len(ids), block, len(blocks)) + starts.tobytes() + b"".join(blocks)
+    """``block``: a multiple of 64, 65,536 at most (positions have 16 bits). The last block is filled up."""
+    n_blocks = -(-len(ids) // block)
+    rows = np.full((n_blocks, block), ids[-1] if len(ids) else 0, np.uint64)
+    rows.ravel()[: len(ids)] = ids
+    low = rows.min(axis=1)
+    diff = rows - low[:, None]
+    at = min(block - 1, int(block * percentile / 100))
+    widths = np.array([int(x).bit_length() for x in np.partition(diff, at, axis=1)[:, at]])
+    parts: list[bytes] = [b""] * n_blocks
+    for width in np.unique(widths).tolist():
+        which = np.flatnonzero(widths == width)
+        packed = _pack(diff[which], width) if width else np.empty((len(which), 0), np.uint8)
+        high = diff[which] >> np.uint64(width)
+        for i, low_bits, rest in zip(which.tolist(), packed, high):
+            where = np.flatnonzero(rest)
+            parts[i] = struct.pack("<IBH", int(low[i]), width, len(where)) + low_bits.tobytes() + where.astype("<u2").tobytes() + rest[where].astype("<u4").tobytes()
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype("<u4")
+    return MAGIC + struct.pack("<III", len(ids), block, n_blocks) + starts.tobytes() + b"".join(parts)
 
 
 def decode_shard(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -86,14 +94,26 @@ def decode_shard(payload: bytes, start: int = 0, stop: int | None = None) -> np.
     view = memoryview(payload)
     if bytes(view[:4]) != MAGIC:
         raise ValueError("not a token shard")
-    n, block, blocks = struct.unpack_from("<III", view, 4)
+    n, block, n_blocks = struct.unpack_from("<III", view, 4)
     stop = n if stop is None else min(stop, n)
     if start >= stop:
         return np.empty(0, np.uint32)
-    starts = np.frombuffer(view, "<u4", blocks + 1, 16)
-    base, first, last = 16 + 4 * (blocks + 1), start // block, (stop - 1) // block
-    parts = [decode_block(view[base + int(starts[i]) : base + int(starts[i + 1])], min(block, n - i * block)) for i in range(first, last + 1)]
-    return np.concatenate(parts)[start - first * block : stop - first * block]
+    starts = (np.frombuffer(view, "<u4", n_blocks + 1, 16) + np.uint32(16 + 4 * (n_blocks + 1))).tolist()
+    first, last = start // block, (stop - 1) // block
+    heads = [struct.unpack_from("<IBH", view, starts[i]) for i in range(first, last + 1)]
+    widths = np.array([h[1] for h in heads])
+    out = np.zeros((len(heads), block), np.uint64)
+    raw = np.frombuffer(view, np.uint8)
+    for width in np.unique(widths[widths > 0]).tolist():
+        which = np.flatnonzero(widths == width)
+        size = block // 8 * width
+        out[which] = _unpack(np.stack([raw[starts[first + i] + 7 : starts[first + i] + 7 + size] for i in which.tolist()]), block, width)
+    for i, (_, width, k) in enumerate(heads):
+        if k:
+            at = starts[first + i] + 7 + block // 8 * width
+            out[i, np.frombuffer(view, "<u2", k, at)] |= np.frombuffer(view, "<u4", k, at + 2 * k).astype(np.uint64) << np.uint64(width)
+    out += np.array([h[0] for h in heads], np.uint64)[:, None]
+    return out.ravel()[start - first * block : stop - first * block].astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, end_id: int = END_ID) -> None:
@@ -117,7 +137,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], ["part", "seq", "n_ids", "doc_ids", "doc_tokens", "payload"])
 
-        for b in batches:
+        for b in regrouped(batches):
             for key, text_ids in zip(b.column("doc_id").to_pylist(), enc.encode_texts(b.column("text"))):
                 keys.append(key)
                 ids.append(np.concatenate([text_ids, end]))
@@ -134,26 +154,29 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``first``, the number of ids before each."""
-    rows = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select("part", "seq", "n_ids").select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
-    return rows.join(starts, ["part", "seq"])
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 per document, decoded from the payloads."""
+    """doc_id, start, n_tokens, ids_crc32 per document, decoded from the payloads.
+
+    A shard knows its documents' places within itself; the ids before it are added from the shards'
+    sizes afterwards, so payloads are decoded where they are read.
+    """
+    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = shards.select("part", "seq", "n_ids").select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, keys, sizes, payload in zip(*(b.column(c).to_pylist() for c in ("first", "doc_ids", "doc_tokens", "payload"))):
-                ids = decode_shard(payload).astype("<u4")
+            for part, seq, keys, sizes, payload in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "doc_tokens", "payload"))):
+                ids, n = decode_shard(payload).astype("<u4"), len(keys)
                 ends = np.cumsum(sizes)
-                crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes)]
-                cols = [pa.array(keys, pa.int64()), pa.array(first + ends - np.array(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(ids[e - k : e]) for e, k in zip(ends.tolist(), sizes)]
+                cols = [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array(ends - np.array(sizes), pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    return shards.select("first", "doc_ids", "doc_tokens", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "seq", "doc_ids", "doc_tokens", "payload").mapInArrow(run, "part int, seq int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return rows.join(firsts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

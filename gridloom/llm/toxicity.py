@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import bound_batches, id_fold, text_or_empty, words
-from gridloom.llm.lm import Hashes, mix
+from gridloom.llm.common import bound_batches, forget, id_fold, text_or_empty, word_hashes, words
+from gridloom.llm.lm import mix
 
 BITS = 20
 #: Words between the two of a skip-gram, at most.
@@ -29,12 +29,10 @@ CLASS_ROWS = 8_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
 
-_hashes = Hashes()
-
 
 def features(ws: list[bytes]) -> np.ndarray:
     """Distinct slots of a text's words, bigrams and skip-grams, slot 0 (the bias) first."""
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
+    h = np.fromiter(map(word_hashes.__getitem__, ws), np.uint64, len(ws))
     grams = [h] + [mix(h[: -1 - k], h[1 + k :] + np.uint64(k)) for k in range(SKIP + 1) if len(h) > 1 + k]
     slots = np.unique(np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64)
     return np.concatenate([[0], slots[slots > 0]])
@@ -72,6 +70,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, class_rows: int =
     rows = texts.join(F.broadcast(by_class[0].unionByName(by_class[1])), "doc_id")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
         for b in batches:
             found = [features(words(x)).astype("<i4").tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary()), pa.array([0] * len(found), pa.int32())], ["doc_id", "label", "slots", "model"])
@@ -106,6 +105,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
         w = shared.value
         for b in batches:
             text = b.column(b.schema.get_field_index("text")).to_pylist()
