@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from gridloom.functions.cells import CELL_M, canonical_bounds, parent_key, utm_owner_epsg
-from gridloom.functions.projection import utm_forward, utm_inverse
+from gridloom.functions.projection import let, utm_forward, utm_inverse
 
 
 def corners(bounds: Column) -> list[tuple[Column, Column]]:
@@ -22,30 +22,45 @@ def corners(bounds: Column) -> list[tuple[Column, Column]]:
 
 def footprint(epsg: Column, bounds: Column) -> Column:
     """array<struct<x, y>>: the cell's corners in degrees."""
-    points = [utm_inverse(x, y, epsg) for x, y in corners(bounds)]
-    return F.array(*[F.struct(p["lon"].alias("x"), p["lat"].alias("y")) for p in points])
+    flat = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners(bounds)])
+    degrees = F.transform(flat, lambda p: utm_inverse(p["x"], p["y"], epsg))
+    return F.transform(degrees, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
 
 
 def ring_bounds(ring: Column) -> Column:
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    part = lambda r, k: F.transform(r, lambda p: p[k])
+    return let(ring, lambda r: F.array(F.array_min(part(r, "x")), F.array_min(part(r, "y")), F.array_max(part(r, "x")), F.array_max(part(r, "y"))))
 
 
 def ring_area(ring: Column) -> Column:
     """Absolute shoelace area; rings of fewer than three corners have none."""
-    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
-    terms = F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
-    return F.when(F.size(ring) >= 3, F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2).otherwise(0.0)
+
+    def area(r: Column) -> Column:
+        return F.when(F.size(r) >= 3, F.abs(doubled_area(r)) / 2).otherwise(0.0)
+
+    return let(ring, area)
+
+
+def following(r: Column) -> Column:
+    """The ring turned by one corner."""
+    return F.concat(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 1, 1))
+
+
+def doubled_area(r: Column) -> Column:
+    terms = F.zip_with(r, following(r), lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
 
 
 def canonical_ring(ring: Column, digits: int = 9) -> Column:
     """Rounded, counter-clockwise, starting at the least corner: equal for equal outlines."""
     rounded = F.transform(ring, lambda p: F.struct(F.bround(p["x"], digits).alias("x"), F.bround(p["y"], digits).alias("y")))
-    after = F.concat(F.slice(rounded, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(rounded, 1, 1))
-    turn = F.aggregate(F.zip_with(rounded, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, t: a + t)
-    wound = F.when(turn < 0, F.reverse(rounded)).otherwise(rounded)
-    at = F.array_position(wound, F.array_min(wound)).cast("int")
-    return F.concat(F.slice(wound, at, F.size(ring)), F.slice(wound, 1, at - 1))
+    wound = let(rounded, lambda r: F.when(doubled_area(r) < 0, F.reverse(r)).otherwise(r))
+
+    def turned(r: Column) -> Column:
+        at = F.array_position(r, F.array_min(r)).cast("int")
+        return F.concat(F.slice(r, at, F.size(r)), F.slice(r, F.lit(1), at - 1))
+
+    return let(wound, turned)
 
 
 def footprint_hash(ring: Column) -> Column:
@@ -56,14 +71,13 @@ def footprint_hash(ring: Column) -> Column:
 
 def ring_wkb(ring: Column) -> Column:
     """Little-endian WKB polygon with one closed ring, built from the doubles' bits."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    return _wkb(F.transform(closed, lambda p: p["x"]), F.transform(closed, lambda p: p["y"]))
+    return _wkb(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
 
 
 @F.pandas_udf(BinaryType())
 def _wkb(xs: pd.Series, ys: pd.Series) -> pd.Series:
     head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00"
-    return pd.Series([None if x is None else head + np.uint32(len(x)).tobytes() + np.stack([np.asarray(x, "<f8"), np.asarray(y, "<f8")], 1).tobytes() for x, y in zip(xs, ys)])
+    return pd.Series([None if x is None else head + np.uint32(len(x) + 1).tobytes() + np.stack([np.append(x, x[0]), np.append(y, y[0])], 1).astype("<f8").tobytes() for x, y in zip(xs, ys)])
 
 
 def vertex_difference(a: Column, b: Column) -> Column:
@@ -95,29 +109,39 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
 
 def cell_is_valid(epsg: Column, ring: Column, side: float = CELL_M, side_tolerance: float = 1e-3, area_tolerance: float = 1.0) -> Column:
     """Projected back to its zone, a footprint is a square of the nominal side and area."""
-    flat = F.transform(ring, lambda p: utm_forward(p["x"], p["y"], epsg))
-    box = ring_bounds(flat)
-    width, height = F.get(box, F.lit(2)) - F.get(box, F.lit(0)), F.get(box, F.lit(3)) - F.get(box, F.lit(1))
-    return (F.abs(width - side) <= side_tolerance) & (F.abs(height - side) <= side_tolerance) & (F.abs(ring_area(flat) - side * side) <= area_tolerance)
+
+    def square(flat: Column) -> Column:
+        close = lambda b, i: F.abs(F.get(b, F.lit(i + 2)) - F.get(b, F.lit(i)) - side) <= side_tolerance
+        sides = let(ring_bounds(flat), lambda b: close(b, 0) & close(b, 1))
+        return sides & (F.abs(ring_area(flat) - side * side) <= area_tolerance)
+
+    return let(F.transform(ring, lambda p: utm_forward(p["x"], p["y"], epsg)), square)
 
 
 def patch_bounds(epsg: Column, col: Column, row: Column) -> Column:
     """array(west, south, east, north) from two opposite corners."""
     b = canonical_bounds(col, row)
     get = lambda i: F.get(b, F.lit(i)).cast("double")
-    p, q = utm_inverse(get(0), get(1), epsg), utm_inverse(get(2), get(3), epsg)
-    return F.array(F.least(p["lon"], q["lon"]), F.least(p["lat"], q["lat"]), F.greatest(p["lon"], q["lon"]), F.greatest(p["lat"], q["lat"]))
+    both = F.struct(utm_inverse(get(0), get(1), epsg).alias("p"), utm_inverse(get(2), get(3), epsg).alias("q"))
+    pick = lambda f, b, k: f(b["p"][k], b["q"][k])
+    return let(both, lambda b: F.array(pick(F.least, b, "lon"), pick(F.least, b, "lat"), pick(F.greatest, b, "lon"), pick(F.greatest, b, "lat")))
 
 
 def snap_to_owner(lon: Column, lat: Column, side: float = CELL_M) -> Column:
     """struct(epsg, col, row, lon, lat, key, owned): the owner cell of a point; owned if its centre has the same owner."""
-    epsg = utm_owner_epsg(lon, lat)
-    xy = utm_forward(lon, lat, epsg)
-    col, row = F.floor(xy["x"] / side).cast("int"), F.floor(xy["y"] / side).cast("int")
-    centre = utm_inverse((col + 0.5) * side, (row + 0.5) * side, epsg)
-    return F.struct(
-        epsg.alias("epsg"), col.alias("col"), row.alias("row"), centre["lon"].alias("lon"), centre["lat"].alias("lat"), parent_key(epsg, col, row).alias("key"), (utm_owner_epsg(centre["lon"], centre["lat"]) == epsg).alias("owned")
-    )
+
+    def owner(epsg: Column) -> Column:
+        return let(utm_forward(lon, lat, epsg), lambda xy: cell(epsg, F.floor(xy["x"] / side).cast("int"), F.floor(xy["y"] / side).cast("int")))
+
+    def cell(epsg: Column, col: Column, row: Column) -> Column:
+        return let(
+            F.struct(col.alias("col"), row.alias("row"), utm_inverse((col + 0.5) * side, (row + 0.5) * side, epsg).alias("c")),
+            lambda s: F.struct(
+                epsg.alias("epsg"), s["col"].alias("col"), s["row"].alias("row"), s["c"]["lon"].alias("lon"), s["c"]["lat"].alias("lat"), parent_key(epsg, s["col"], s["row"]).alias("key"), (utm_owner_epsg(s["c"]["lon"], s["c"]["lat"]) == epsg).alias("owned")
+            ),
+        )
+
+    return let(utm_owner_epsg(lon, lat), owner)
 
 
 def densified(ring: Column, step: float = 0.01) -> Column:

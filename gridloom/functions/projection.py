@@ -49,6 +49,11 @@ DELTA = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def central_meridian(epsg: Column) -> Column:
     return (epsg % 100) * 6.0 - 183.0
 
@@ -61,22 +66,37 @@ def _conformal(tan_lat: Column) -> Column:
 
 def utm_forward(lon: Column, lat: Column, epsg: Column) -> Column:
     """struct(x, y) in metres of the UTM zone ``epsg``."""
-    lam, t = F.radians(lon - central_meridian(epsg)), _conformal(F.tan(F.radians(lat)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    north = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
-    east = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
-    return F.struct((500000.0 + K0 * RECTIFYING * east).alias("x"), (K0 * RECTIFYING * north + F.when(epsg >= 32700, 1e7).otherwise(0.0)).alias("y"))
+
+    def project(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        north = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+        east = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+        return F.struct((500000.0 + K0 * RECTIFYING * east).alias("x"), (K0 * RECTIFYING * north + F.when(epsg >= 32700, 1e7).otherwise(0.0)).alias("y"))
+
+    def sphere(p: Column) -> Column:
+        lam, t = p["lam"], p["t"]
+        return let(F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam))).alias("eta")), project)
+
+    start = F.struct(F.radians(lon - central_meridian(epsg)).alias("lam"), let(F.tan(F.radians(lat)), _conformal).alias("t"))
+    return let(start, sphere)
 
 
 def utm_inverse(x: Column, y: Column, epsg: Column) -> Column:
     """struct(lon, lat) in degrees."""
+
+    def sphere(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        a = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        b = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        return let(F.struct(a.alias("a"), b.alias("b")), degrees)
+
+    def degrees(q: Column) -> Column:
+        lon = central_meridian(epsg) + F.degrees(F.atan2(F.sinh(q["b"]), F.cos(q["a"])))
+        lat = let(F.asin(F.sin(q["a"]) / F.cosh(q["b"])), lambda chi: chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)))
+        return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
+
     xi = (y - F.when(epsg >= 32700, 1e7).otherwise(0.0)) / (K0 * RECTIFYING)
-    eta = (x - 500000.0) / (K0 * RECTIFYING)
-    a = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
-    b = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
-    return F.struct((central_meridian(epsg) + F.degrees(F.atan2(F.sinh(b), F.cos(a)))).alias("lon"), F.degrees(lat).alias("lat"))
+    return let(F.struct(xi.alias("xi"), ((x - 500000.0) / (K0 * RECTIFYING)).alias("eta")), sphere)
 
 
 def _q(sin_lat: Column | float):

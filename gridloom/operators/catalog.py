@@ -22,7 +22,7 @@ def renamed_strict(items: DataFrame, names: dict[str, str], prefix: str) -> Data
     required asset is absent or its address lacks the prefix."""
     assets = F.create_map(*[x for theirs, ours in names.items() for x in (F.lit(ours), F.try_element_at("assets", F.lit(theirs)))])
     ok = F.forall(F.map_values(assets), lambda href: F.coalesce(href.startswith(prefix), F.lit(False)))
-    return items.withColumn("assets", assets).withColumn("complete", ok)
+    return items.withColumns({"assets": assets, "complete": ok})
 
 
 def cache_status(items: DataFrame, query: Column) -> DataFrame:
