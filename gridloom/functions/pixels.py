@@ -33,7 +33,7 @@ def landsat_scaled(value: Column, is_qa: Column, valid: Column) -> Column:
 
 
 def z_score(value: Column, mean: Column, std: Column, valid: Column) -> Column:
-    return F.when(valid, (value - mean) / std).otherwise(0.0)
+    return F.when(valid, F.try_divide(value - mean, std)).otherwise(0.0)
 
 
 def clipped_sigmoid(x: Column, limit: float = 80.0) -> Column:

@@ -29,7 +29,7 @@ def covered(points: DataFrame, polygons: DataFrame, band: float = 0.5) -> DataFr
     rows = points.withColumn("band", F.floor(F.col("y") / band)).join(dealt, "band")
     x, y = F.col("x"), F.col("y")
     between = ((F.col("y1") > y) != (F.col("y2") > y))
-    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    at = F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
     crossing = F.when(between & (x < at), 1).otherwise(0)
     touch = segment_distance(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) == 0
     found = rows.groupBy("point_id", "name").agg(F.sum(crossing).alias("crossings"), F.max(touch).alias("touch"))
