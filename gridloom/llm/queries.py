@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import bpe, embdedup, lm, packing, pii, quality, simhash, tokenbin, toxicity, urlgraph
+from gridloom.llm import bpe, embdedup, lm, oracles, packing, pii, quality, simhash, tokenbin, toxicity, urlgraph
 from gridloom.llm.common import table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
