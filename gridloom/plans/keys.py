@@ -10,12 +10,21 @@ from gridloom.operators import audits, membership, sampling
 from gridloom.plans.bindings import ATLAS, CELLS, POINTS, REGISTRY, atlas, cells, points, query, registry, table, unit
 from gridloom.sources import sinks
 
-E, COL, ROW = F.col("grid_epsg"), F.col("grid_col"), F.col("grid_row")
+def epsg():
+    return F.col("grid_epsg")
+
+
+def col():
+    return F.col("grid_col")
+
+
+def row():
+    return F.col("grid_row")
 
 
 @query(f"SELECT id, parent_key FROM {CELLS}")
 def fn01_parent_key(spark, sf):
-    return cells(spark, sf).select("id", C.parent_key(E, COL, ROW).alias("parent_key"))
+    return cells(spark, sf).select("id", C.parent_key(epsg(), col(), row()).alias("parent_key"))
 
 
 @query(f"SELECT point_id, CAST(least(greatest(floor((x + 180) / 6) + 1, 1), 60) AS INT) AS zone, CAST(32600 + least(greatest(floor((x + 180) / 6) + 1, 1), 60) AS INT) AS epsg FROM {POINTS}")
@@ -31,13 +40,13 @@ def fn03_owner_range(spark, sf):
 @query(f"""SELECT id, CAST(grid_col % 10 AS INT) AS local_col, CAST(grid_row % 10 AS INT) AS local_row, CAST(grid_col AS BIGINT) * 1280 AS x0, CAST(grid_row AS BIGINT) * 1280 AS y0,
   (CAST(grid_col AS BIGINT) + 1) * 1280 AS x1, (CAST(grid_row AS BIGINT) + 1) * 1280 AS y1 FROM {CELLS}""")
 def fn04_fn05_cell_bounds(spark, sf):
-    b = C.canonical_bounds(COL, ROW)
-    return cells(spark, sf).select("id", C.local_index(COL).alias("local_col"), C.local_index(ROW).alias("local_row"), *[F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    b = C.canonical_bounds(col(), row())
+    return cells(spark, sf).select("id", C.local_index(col()).alias("local_col"), C.local_index(row()).alias("local_row"), *[F.get(b, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 @query(f"SELECT id, sha256('atlas:' || parent_key) AS grid_hash, sha256(parent_key || ':1280') AS registry_hash FROM {CELLS}")
 def fn12_identity_hash(spark, sf):
-    return cells(spark, sf).select("id", C.identity_hash(E, COL, ROW).alias("grid_hash"), C.identity_hash(E, COL, ROW, "registry").alias("registry_hash"))
+    return cells(spark, sf).select("id", C.identity_hash(epsg(), col(), row()).alias("grid_hash"), C.identity_hash(epsg(), col(), row(), "registry").alias("registry_hash"))
 
 
 @query(f"""SELECT id, sha256('{{"grid_col":' || grid_col || ',"grid_epsg":' || grid_epsg || ',"grid_row":' || grid_row || ',"parent_key":"' || parent_key || '"}}') AS metadata_hash FROM {CELLS}""")
@@ -76,7 +85,7 @@ def fn20_boxes_intersect(spark, sf):
 
 @query(f"SELECT id, abs((id % 3) * 1e-9) <= 1.5e-9 AS same FROM {CELLS}")
 def fn21_bounds_close(spark, sf):
-    b = C.canonical_bounds(COL, ROW)
+    b = C.canonical_bounds(col(), row())
     zero = F.array(F.lit(0.0), F.lit(1.0))
     moved = F.array((F.col("id") % 3) * 1e-9, F.lit(1.0))
     return cells(spark, sf).select("id", (C.bounds_close(b, b) & C.bounds_close(zero, moved, 1.5e-9)).alias("same"))
@@ -85,14 +94,14 @@ def fn21_bounds_close(spark, sf):
 @query(f"""SELECT id, CASE WHEN id % 4 = 0 THEN 'bounds' WHEN id % 4 = 1 THEN 'key,owner_zone' ELSE '' END AS broken FROM {CELLS}""")
 def fn33_parent_cell_contract(spark, sf):
     i = F.col("id") % 4
-    rules = K.parent_cell_rules(F.col("parent_key"), F.when(i == 1, 32660).otherwise(E), COL, ROW, C.canonical_bounds(COL + F.when(i == 0, 1).otherwise(0), ROW), C.local_index(COL), C.local_index(ROW))
+    rules = K.parent_cell_rules(F.col("parent_key"), F.when(i == 1, 32660).otherwise(epsg()), col(), row(), C.canonical_bounds(col() + F.when(i == 0, 1).otherwise(0), row()), C.local_index(col()), C.local_index(row()))
     return cells(spark, sf).select("id", F.array_join(K.violations(rules), ",").alias("broken"))
 
 
 @query(f"SELECT patch_id, CASE WHEN length(patch_id) % 2 = 0 THEN 'declared_count' ELSE '' END AS broken FROM {ATLAS}")
 def fn34_atlas_contract(spark, sf):
     count = F.when(F.length("patch_id") % 2 == 0, 101).otherwise(F.lit(7))
-    rules = K.atlas_rules(F.col("patch_id"), COL, ROW, C.canonical_bounds(COL, ROW), count, F.col("eligible"))
+    rules = K.atlas_rules(F.col("patch_id"), col(), row(), C.canonical_bounds(col(), row()), count, F.col("eligible"))
     return atlas(spark, sf).select("patch_id", F.array_join(K.violations(rules), ",").alias("broken"))
 
 
@@ -130,7 +139,7 @@ def join13_partition_mismatches(spark, sf):
 
 @query(f"SELECT sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::BIGINT AS unknown_key, sum(CASE WHEN o_orderstatus <> 'P' AND id % 9 = 0 THEN 1 ELSE 0 END)::BIGINT AS wrong_hash FROM {CELLS}")
 def join15_join17_against_canonical(spark, sf):
-    h = C.identity_hash(E, COL, ROW)
+    h = C.identity_hash(epsg(), col(), row())
     c = cells(spark, sf).withColumn("identity_hash", h)
     child = c.withColumn("identity_hash", F.when(F.col("id") % 9 == 0, "x").otherwise(F.col("identity_hash"))).select("parent_key", "identity_hash")
     return membership.against_canonical(child, c.where("o_orderstatus <> 'P'"), "parent_key", {"wrong_hash": "identity_hash"})
@@ -185,8 +194,8 @@ def agg04_macro_completeness(spark, sf):
 def agg05_grid_audit(spark, sf):
     c, r = cells(spark, sf), registry(spark, sf)
     key = F.when(F.col("id") % 10 == 0, F.concat(F.lit("x"), "parent_key")).otherwise(F.col("parent_key"))
-    h = F.when(F.col("id") % 15 == 0, "x").otherwise(C.identity_hash(E, COL, ROW))
-    rows = c.withColumn("identity_hash", h).withColumn("bounds", C.canonical_bounds(COL, ROW)).withColumn("parent_key", key)
+    h = F.when(F.col("id") % 15 == 0, "x").otherwise(C.identity_hash(epsg(), col(), row()))
+    rows = c.withColumn("identity_hash", h).withColumn("bounds", C.canonical_bounds(col(), row())).withColumn("parent_key", key)
     return audits.grid_audit(rows, r, c.where("o_orderstatus <> 'F'"), r)
 
 
@@ -214,7 +223,7 @@ def agg08_reconcile(spark, sf):
 
 @query(f"SELECT count(*) AS rows, count(DISTINCT id) AS unique_ids, count(*) AS unique_hashes, CAST(3 AS BIGINT) AS seeds, count(*) FILTER (id % 6 = 0) AS missing_values FROM {CELLS}")
 def agg09_registry_audit(spark, sf):
-    c = cells(spark, sf).select(F.col("id").alias("patch_id"), C.identity_hash(E, COL, ROW, "registry").alias("identity_hash"), (F.col("id") % 3).alias("sampling_seed"), F.when(F.col("id") % 6 != 0, "a").alias("admin1"))
+    c = cells(spark, sf).select(F.col("id").alias("patch_id"), C.identity_hash(epsg(), col(), row(), "registry").alias("identity_hash"), (F.col("id") % 3).alias("sampling_seed"), F.when(F.col("id") % 6 != 0, "a").alias("admin1"))
     return audits.registry_audit(c, ["patch_id", "admin1"])
 
 
@@ -261,10 +270,10 @@ def set06_manifest_identity(spark, sf):
 
 @query(f"SELECT id, CAST(grid_row // 1000 AS BIGINT) AS row_block FROM {CELLS}")
 def src04_row_blocks(spark, sf):
-    rows = cells(spark, sf).withColumn("grid_id", C.grid_id(E))
+    rows = cells(spark, sf).withColumn("grid_id", C.grid_id(epsg()))
     return sinks.row_blocks(rows).select("id", "row_block")
 
 
 @query(f"SELECT grid_epsg, count(*) AS n FROM {REGISTRY} WHERE grid_epsg BETWEEN 32643 AND 32653 GROUP BY 1")
 def src02_scan_cells(spark, sf):
-    return registry(spark, sf).where(C.owner_in_range(E)).groupBy("grid_epsg").agg(F.count(F.lit(1)).alias("n"))
+    return registry(spark, sf).where(C.owner_in_range(epsg())).groupBy("grid_epsg").agg(F.count(F.lit(1)).alias("n"))
