@@ -226,8 +226,8 @@ def src14_src15_tile_rows(spark, sf):
     return composite.pixel_rows(tiles(spark, sf)).where("value is not null").select("patch_id", "source", "month", "band", F.col("pixel").cast("long").alias("pixel"), "value")
 
 
-@query("SELECT c_custkey, c_acctbal AS a, c_acctbal + (c_custkey - c_acctbal) * 0.25::DOUBLE AS b, c_acctbal + (c_custkey - c_acctbal) * 0.75::DOUBLE AS c, c_custkey::DOUBLE AS d FROM customer")
+@query("SELECT c_custkey, c_acctbal AS a, round(0.75::DOUBLE * c_acctbal + 0.25::DOUBLE * c_custkey, 4) AS b, round(0.25::DOUBLE * c_acctbal + 0.75::DOUBLE * c_custkey, 4) AS c, c_custkey::DOUBLE AS d FROM customer")
 def fn44_resized(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", F.array("c_acctbal", F.col("c_custkey").cast("double")).alias("values"))
     out = composite.resized(rows, 1, 2, 1, 4)
-    return out.select("c_custkey", *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate("abcd")])
+    return out.select("c_custkey", *[F.round(F.get("values", F.lit(i)), 4).alias(n) for i, n in enumerate("abcd")])
