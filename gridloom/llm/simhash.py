@@ -224,7 +224,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")
     named = found.join(numbered.select("near_row", "doc_id"), "near_row")
     first = materialise(named.groupBy("component_id").agg(F.min(rank)["near_row"].alias("near_row")).select("near_row"), "kept")
-    return numbered.join(first, "near_row", "left_semi").select(*docs.columns)
+    # The dropped rows are the smaller side by far: texts need no shuffle while these are few.
+    dropped = materialise(found.select("near_row").join(first, "near_row", "left_anti"), "dropped")
+    return numbered.join(dropped, "near_row", "left_anti").select(*docs.columns)
 
 
 def component_table(docs: DataFrame) -> DataFrame:
