@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from gridloom.llm.common import bound_batches, forget, memory, text_or_empty
 #: Texts longer than this many characters are cut into leaves.
 LEAF_CHARS = 16_384
 #: Pieces of text a worker remembers the ids of, in either of two generations.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 #: Rows that are encoded at once: the more, the fewer times Python sees a piece.
 ENCODE_ROWS = 2048
 
@@ -113,11 +113,6 @@ class Encoder:
         where = np.repeat(starts[code] - (ends - lens), lens) + np.arange(total)
         return ids[where], np.concatenate([[0], ends])[at]
 
-    def encode_binary(self, texts: pa.Array) -> pa.Array:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        ids, at = self.encode_array(texts)
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_texts(pa.array(texts, pa.string()))
 
@@ -223,8 +218,21 @@ def leaves(text: str, leaf_chars: int) -> list[str]:
     return leaves(text[:mid], leaf_chars) + leaves(text[mid:], leaf_chars)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(id, ids binary) per row: the ids as little-endian unsigned 32-bit integers.
+def as_binary(enc: Encoder, ids: list[np.ndarray]) -> list[pa.Array]:
+    """The ids of each text as little-endian unsigned 32-bit integers."""
+    return [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+
+
+def encode_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str | None = None,
+    leaf_chars: int = LEAF_CHARS,
+    finish: Callable[[Encoder, list[np.ndarray]], list[pa.Array]] = as_binary,
+    columns: str = "ids binary",
+) -> DataFrame:
+    """(id, ids binary) per row, or the ``columns`` that ``finish`` makes of the ids where they are encoded.
 
     Null text counts as empty; empty text has no ids. Rows that repeat an id stay apart. Long
     texts travel by row number, which is derived from the scan and so the same when recomputed.
@@ -236,8 +244,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in regrouped(batches):
-            ids = enc.encode_binary(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), ids], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *finish(enc, enc.encode_texts(b.column("text")))], names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,22 +256,23 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            ids = enc.encode_binary(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("leaf"), ids], ["row", "id", "leaf", "ids"])
+            ids = as_binary(enc, enc.encode_texts(b.column("text")))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("leaf"), *ids], ["row", "id", "leaf", "ids"])
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            out = [enc.concatenate([np.frombuffer(x["ids"], "<u4") for x in parts]).astype("<u4").tobytes() for parts in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "ids"])
+            whole_ids = [enc.concatenate([np.frombuffer(x["ids"], "<u4") for x in parts]) for parts in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *finish(enc, whole_ids)], names)
 
     kind = src.schema["id"].dataType.simpleString()
-    short = src.where(F.length("text") <= leaf_chars).mapInArrow(whole, f"id {kind}, ids binary")
+    names = ["id", *[x.split()[0] for x in columns.split(", ")]]
+    short = src.where(F.length("text") <= leaf_chars).mapInArrow(whole, f"id {kind}, {columns}")
     long = src.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > leaf_chars)
     parts = long.mapInArrow(cut, f"row long, id {kind}, leaf int, text string").repartition(F.col("row"), F.col("leaf"))
     coded = parts.mapInArrow(encode_leaves, f"row long, id {kind}, leaf int, ids binary")
     joined = coded.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("leaf", "ids"))).alias("parts"))
-    return short.unionByName(joined.select("id", "parts").mapInArrow(tree, f"id {kind}, ids binary"))
+    return short.unionByName(joined.select("id", "parts").mapInArrow(tree, f"id {kind}, {columns}"))
 
 
 def decode_documents(coded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -281,22 +289,10 @@ def decode_documents(coded: DataFrame, tokenizer: str | None = None) -> DataFram
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, ids and text taken from the operators above."""
-    path = tokenizer or default_tokenizer()
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, made where its ids are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(enc.decimals(x).encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(enc.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    coded = encode_documents(docs, tokenizer=path, leaf_chars=leaf_chars)
-    return coded.mapInArrow(run, f"doc_id {coded.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(enc: Encoder, ids: list[np.ndarray]) -> list[pa.Array]:
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(enc.decimals(x)) for x in ids], pa.string()), pa.array([sha(enc.decode(x)) for x in ids], pa.string())]
+
+    return encode_documents(docs, tokenizer=tokenizer, leaf_chars=leaf_chars, finish=digest, columns="n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")
