@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.ranking import exact_rank
+from gridloom.operators.ranking import exact_rank, settled
 
 
 def capacities(n: int, shards: int) -> list[int]:
@@ -14,7 +14,7 @@ def capacities(n: int, shards: int) -> list[int]:
     return [low + (i >= shards - rest) for i in range(shards)]
 
 
-def equal_capacity(points: DataFrame, sizes: list[int], key: str = "parent_key", buckets: int = 64) -> DataFrame:
+def equal_capacity(points: DataFrame, sizes: list[int], key: str = "parent_key", buckets: int | None = None) -> DataFrame:
     """Adds ``shard_id``: each shard gets exactly its size, shards are numbered depth first.
 
     A node with several shards is cut across the longer side of its bounds at the rank that fills
@@ -37,7 +37,7 @@ def equal_capacity(points: DataFrame, sizes: list[int], key: str = "parent_key",
             table.append((node, bool(x1 - x0 >= y1 - y0), int(left), v["last"] - v["first"] > 1))
         plan = spark.createDataFrame(table, "node int, along_x boolean, left_size long, cut boolean")
         rows = rows.join(F.broadcast(plan), "node").withColumn("axis", F.when(F.col("along_x"), F.col("x")).otherwise(F.col("y")))
-        rows = exact_rank(rows, [F.col("axis"), F.col("tie")], ["node"], "rank", buckets).checkpoint()
+        rows = settled(exact_rank(rows, [F.col("axis"), F.col("tie")], ["node"], "rank", buckets))
         # Smallest and largest coordinate on either side of each cut: one small row per node.
         goes_left = F.col("rank") < F.col("left_size")
         edges = {r.node: r for r in rows.where("cut").groupBy("node").agg(F.max(F.when(goes_left, F.col("axis"))).alias("a"), F.min(F.when(~goes_left, F.col("axis"))).alias("b")).collect()}

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_rank(df: DataFrame, order: list[Column], partition: list[str] = (), name: str = "rank", buckets: int = 200) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint, so that all that reads it sees the same rows in the same ranges.
+
+    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def exact_rank(df: DataFrame, order: list[Column], partition: list[str] = (), name: str = "rank", buckets: int | None = None) -> DataFrame:
     """Adds the 0-based position of each row in ``order`` within ``partition`` groups.
 
     Rows are range-partitioned by (partition, order), numbered within each range, and the counts of
-    the ranges before are added. ``order`` must end in something unique for a fixed result.
+    the ranges before are added. There are as many ranges as the session has shuffle partitions, or
+    ``buckets``. ``order`` must end in something unique for a fixed result.
     """
     keys = [F.col(c) for c in partition]
-    placed = df.repartitionByRange(buckets, *keys, *order).withColumn("_part", F.spark_partition_id())
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges come from a sample: both uses below must see one and the same partitioning.
+    placed = settled(df.repartitionByRange(buckets, *keys, *order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", *partition).orderBy(*order)
     numbered = placed.withColumn("_local", F.row_number().over(local) - 1)
     before = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
