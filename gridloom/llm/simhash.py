@@ -208,9 +208,139 @@ def groups(docs: DataFrame, shingle: int = 3, width: int = 1, index_bits: int =
     return rows.join(by_fp, cols, "left").select("doc_id", *cols, "component_id")
 
 
-#: Near-duplicate documents: shingles of five words, 256 bits; as many equal bits as a Jaccard
-#: similarity of 0.8 leaves on average (cosine 2j / (1 + j), angle / pi of the bits differ).
-NEAR = {"shingle": 5, "width": 4, "index_bits": 5, "shared": 4, "max_bits": 40}
+#: Near-duplicate documents: sets of five-word shingles whose Jaccard similarity is 4/5 or more.
+NEAR_SHINGLE = 5
+NEAR = (4, 5)
+#: MinHash bands that propose pairs: (1 - 0.8 ** 4) ** 32 < 5e-8 of the pairs at 0.8 meet in none.
+BANDS, BAND_ROWS = 32, 4
+#: Rounds that compare each open list with one of its members before all its pairs are compared.
+LEADER_ROUNDS = 6
+#: All pairs are compared at once while they are at most this many for each listed entry.
+PAIRS_PER_ENTRY = 4
+
+_SPREAD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the text's five-word shingles."""
+    return np.unique(shingle_hashes(words(text), NEAR_SHINGLE))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One key a band, made of its number and the least of BAND_ROWS mixtures of the hashes."""
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        least = np.minimum(least, (shingles[i : i + 2048, None] * _SPREAD).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exact: the Jaccard similarity of two sets of distinct hashes is NEAR or more."""
+    part, whole = NEAR
+    if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return whole * both >= part * (len(x) + len(y) - both)
+
+
+def banded(docs: DataFrame) -> DataFrame:
+    """(id, whole binary, bands array<long>) of rows (id, text): a digest of the shingle set, and its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            sets = [shingle_set(x) for x in b.column("text").to_pylist()]
+            whole = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
+            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), whole, keys], ["id", "whole", "bands"])
+
+    return docs.mapInArrow(run, "id long, whole binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(id, shingles binary) of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            sets = pa.array([shingle_set(x).tobytes() for x in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), sets], ["id", "shingles"])
+
+    return docs.mapInArrow(run, "id long, shingles binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            ok = [similar(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_links(posted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, id) band entries, (id, text) -> (node, root): components of all similar pairs that share a band.
+
+    A pair needs no comparison once other links connect it. So lists are first compared with one
+    member each, another in each round; what still spans components is then compared pair by pair.
+    """
+    lists = materialise(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1"), "lists")
+    met = materialise(posted.join(lists, "value").select("value", "id", "leader"), "met")
+    sets = materialise(shingle_sets(texts.join(met.select("id").distinct(), "id", "left_semi")), "sets")
+    entries = met.count()
+    tested = materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    found = materialise(verified(tested, sets), "similar")
+    for turn in range(1, LEADER_ROUNDS + 1):
+        roots = connected(found)
+        named = met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root"))
+        spans = named.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
+        spans = materialise(spans.select("value", "n", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "open")
+        left = spans.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0
+        if not left:
+            return roots
+        last = turn == LEADER_ROUNDS or left <= PAIRS_PER_ENTRY * entries
+        among = materialise(named.join(spans, "value"), "spanning")
+        if last:
+            pairs = _spanning_pairs(among)
+        else:
+            pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        fresh = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(found.unionByName(verified(fresh, sets)), "similar")
+        if last:
+            return connected(found)
+        tested = tested.unionByName(fresh)
+
+
+def _spanning_pairs(among: DataFrame) -> DataFrame:
+    """All pairs (a, b) of one list and different roots; lists over BLOCK are dealt over several tasks."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = among.select("value", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("root").alias("a_root"))
+    other = among.select("value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("b_root"))
+    return one.join(other, ["value", "part"]).where("a < b and a_root <> b_root").select("a", "b")
+
+
+def near_groups(docs: DataFrame, id_col: str) -> DataFrame:
+    """(id, component_id) per row: texts whose shingle sets are similar (NEAR), directly or by others.
+
+    Equal sets are one entry of the index; texts without words have the empty set and are equal.
+    """
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col("text")).alias("text"))
+    rows = materialise(banded(texts), "bands")
+    classes = materialise(rows.groupBy("whole").agg(F.min("id").alias("id")), "classes")
+    posted = rows.join(classes.select("id"), "id").select("id", F.explode("bands").alias("value"))
+    roots = near_links(posted, texts)
+    by_set = materialise(classes.join(roots, classes["id"] == roots["node"], "left").select("whole", F.coalesce("root", "id").alias("component_id")), "components")
+    return rows.select("id", "whole").join(by_set, "whole").select("id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,7 +350,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     a null id comes last.
     """
     numbered = docs.withColumn("near_row", F.monotonically_increasing_id())
-    found = groups(numbered, id_col="near_row", **NEAR).select(F.col("doc_id").alias("near_row"), "component_id")
+    found = near_groups(numbered, "near_row").withColumnRenamed("id", "near_row")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")
     named = found.join(numbered.select("near_row", "doc_id"), "near_row")
     first = materialise(named.groupBy("component_id").agg(F.min(rank)["near_row"].alias("near_row")).select("near_row"), "kept")
