@@ -52,6 +52,7 @@ class Encoder:
 
     A text is cut only where its pre-tokens end whatever surrounds them: before white space that
     follows a character, behind a single line end, and between a word and the marks before a space.
+    A text that holds an added token's content is not cut at all.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,6 +61,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = memory({})  # ids of pieces
         self.older: dict[str, bytes] = memory({})  # the generation before
         self._bytes: list[bytes] | None = None
@@ -89,16 +91,20 @@ class Encoder:
         """(ids, offsets): ids[offsets[i]:offsets[i + 1]] are those of text i, as the library gives them.
 
         Arrow cuts the texts and numbers the distinct pieces, so Python sees each distinct piece of a
-        batch once. Odd texts are cut by a pattern and put together from their own pieces.
+        batch once. Odd texts are cut by a pattern and put together from their own pieces; texts with
+        added tokens are encoded as they are and not remembered.
         """
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        uncut = np.zeros(len(texts), bool)
+        for content in self.added:
+            uncut |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False).astype(bool) | uncut
         cut = pc.replace_substring_regex(pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts), _MARKS, r"\1" + _CUT + r"\2\3")
         cut = pc.replace_substring(pc.replace_substring(cut, "\n", _CUT + "\n" + _CUT), " ", _CUT + " ")
         lists = pc.split_pattern(cut, _CUT)
         coded = lists.flatten().dictionary_encode()
         at = lists.offsets.to_numpy().astype(np.int64)
         code = coded.indices.to_numpy().astype(np.int64)
-        special = {i: _PIECE.findall(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        special = {i: _PIECE.findall(texts[i].as_py()) for i in np.flatnonzero(odd & ~uncut).tolist()}
         pieces = coded.dictionary.to_pylist()
         extra = list(set().union(*special.values()).difference(pieces))
         entries = self.look_up(pieces + extra)
@@ -106,6 +112,10 @@ class Encoder:
             ids_of = dict(zip(pieces + extra, entries))
             code[at[[*special]]] = len(entries) + np.arange(len(special))
             entries += [b"".join(map(ids_of.__getitem__, x)) for x in special.values()]
+        if uncut.any():
+            rows = np.flatnonzero(uncut)
+            code[at[rows]] = len(entries) + np.arange(len(rows))
+            entries += [array("I", x).tobytes() for x in self.plain([texts[i].as_py() for i in rows.tolist()])]
         ids, starts = np.frombuffer(b"".join(entries), "<u4"), np.cumsum([0, *map(len, entries)]) // 4
         lens = np.diff(starts)[code]
         ends = np.cumsum(lens)
