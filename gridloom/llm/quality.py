@@ -24,8 +24,10 @@ from gridloom.llm.common import bound_batches, forget, materialise, text_or_empt
 KEPT_BITS = 5
 REACH = 3
 MIN_GROUP = 50
-#: Metric (per thousand) -> the least width its interquartile range counts as.
+#: Metric (per thousand) -> the least width its interquartile range counts as, as op6's SQL has it.
 METRICS = {"symbols": 30, "dup_lines": 200, "repeats": 100}
+#: The pipeline's metrics: no width over a bucket's at 160 to 319, and copied lines of those with a word.
+CLOSE = {"symbols": 10, "dup_word_lines": 10, "repeats": 10}
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -63,14 +65,14 @@ def repeated_words(ws: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def measure(text: str) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
+def measure(text: str) -> tuple[int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_word_lines of one whole text."""
     ws = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(_SPACES)]
-    return len(ws), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ws)
+    return len(ws), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, _SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ws), text.count("\n") + 1, len(lines)
 
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_word_lines"]
 
 
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -81,7 +83,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         forget()
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            found = np.array([(*measure(x), x.count("\n") + 1) for x in texts], np.int64).reshape(-1, len(MEASURES))
+            found = np.array([measure(x) for x in texts], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(x) for x in found.T)], out.names)
 
     src = docs.select(*keep, F.col("lang").alias("q_lang"), F.col("source").alias("q_source"), text_or_empty(F.col("text")).alias("q_text"))
@@ -95,7 +97,7 @@ def failed_base() -> F.Column:
 
 def metric(name: str) -> F.Column:
     """A metric per thousand, rounded down; an empty denominator counts as one."""
-    a, b = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}[name]
+    a, b = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "dup_word_lines": ("n_dup_lines", "n_word_lines"), "repeats": ("n_repeat_words", "n_words")}[name]
     return F.floor(1000 * F.col(f"q_{a}") / F.greatest(F.col(f"q_{b}"), F.lit(1))).cast("long")
 
 
@@ -105,44 +107,44 @@ def bucket(value: F.Column) -> F.Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop).cast("long")
 
 
-def sketches(measured: DataFrame) -> DataFrame:
+def sketches(measured: DataFrame, metrics: dict[str, int] = METRICS) -> DataFrame:
     """(lang, source, metric, bucket, n) over all documents that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(metric(k)).alias("bucket")) for k in METRICS]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bucket(metric(k)).alias("bucket")) for k in metrics]))
     rows = measured.where(~failed_base()).select(F.col("q_lang").alias("lang"), F.col("q_source").alias("source"), each.alias("m"))
     return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), F.col("m.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], tag: str) -> DataFrame:
+def fences(sketch: DataFrame, by: list[str], tag: str, metrics: dict[str, int]) -> DataFrame:
     """(by..., docs, one fence per metric) from sketches merged over ``by``."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "metric")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("docs"))
     quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= q * F.col("docs"), F.col("bucket")))
     found = ranked.groupBy(*by, "metric").agg(F.max("docs").alias("docs"), quartile(1).alias("low"), quartile(3).alias("high"))
-    fence = lambda k: F.max(F.when(F.col("metric") == k, F.col("high") + REACH * F.greatest(F.col("high") - F.col("low"), F.lit(METRICS[k]))))
-    return found.groupBy(*by).agg(F.max("docs").alias(f"{tag}_docs"), *[fence(k).alias(f"{tag}_{k}") for k in METRICS])
+    fence = lambda k: F.max(F.when(F.col("metric") == k, F.col("high") + REACH * F.greatest(F.col("high") - F.col("low"), F.lit(metrics[k]))))
+    return found.groupBy(*by).agg(F.max("docs").alias(f"{tag}_docs"), *[fence(k).alias(f"{tag}_{k}") for k in metrics])
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame, metrics: dict[str, int] = METRICS) -> DataFrame:
     """(lang, source, max_<metric>...) for each pair in the sketches; small ones take a coarser sketch's."""
     sketch = materialise(sketch, "sketch")
-    own = fences(sketch, ["lang", "source"], "own")
-    of_lang = fences(sketch, ["lang"], "lang").withColumnRenamed("lang", "l")
-    of_all = fences(sketch, [], "all").first()  # one row of numbers
-    top = {k: F.lit(of_all[f"all_{k}"] if of_all else None) for k in METRICS}
+    own = fences(sketch, ["lang", "source"], "own", metrics)
+    of_lang = fences(sketch, ["lang"], "lang", metrics).withColumnRenamed("lang", "l")
+    of_all = fences(sketch, [], "all", metrics).first()  # one row of numbers
+    top = {k: F.lit(of_all[f"all_{k}"] if of_all else None) for k in metrics}
     pick = lambda k: F.when(F.col("own_docs") >= MIN_GROUP, F.col(f"own_{k}")).when(F.col("lang_docs") >= MIN_GROUP, F.col(f"lang_{k}")).otherwise(top[k])
-    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select("lang", "source", *[pick(k).alias(f"max_{k}") for k in METRICS])
+    return own.join(of_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select("lang", "source", *[pick(k).alias(f"max_{k}") for k in metrics])
 
 
-def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], metrics: dict[str, int] = METRICS) -> DataFrame:
     """Columns ``keep`` of every row with its measures (q_*), ``base_failed`` and ``kept``.
 
     A metric above its group's fence rejects a document. Null languages and sources are groups of
     their own; documents that fail the base rules enter no sketch. Nothing is dropped here.
     """
     measured = materialise(measures(docs, keep), "measures")
-    limits = materialise(thresholds(sketches(measured)), "thresholds")
-    above = [F.coalesce(metric(k) > F.col(f"max_{k}"), F.lit(False)) for k in METRICS]
+    limits = materialise(thresholds(sketches(measured, metrics), metrics), "thresholds")
+    above = [F.coalesce(metric(k) > F.col(f"max_{k}"), F.lit(False)) for k in metrics]
     rejected = failed_base()
     for x in above:
         rejected = rejected | x
@@ -153,4 +155,4 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row."""
-    return judge(docs, ["doc_id"]).select("doc_id", *[F.col(f"q_{x}").alias(x) for x in MEASURES[:-1]], "base_failed", "kept")
+    return judge(docs, ["doc_id"]).select("doc_id", *[F.col(f"q_{x}").alias(x) for x in MEASURES[:-2]], "base_failed", "kept")
