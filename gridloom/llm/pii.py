@@ -1,26 +1,25 @@
 """Personal data: patterns for base entities, and terms that disclose them by corpus co-occurrence.
 
-Base entities are e-mail addresses, IP addresses, card and phone numbers. Beyond them a term near an
-entity may give it away. How strongly is estimated from the whole corpus: with df the number of
+Base entities are e-mail addresses, IP addresses, card and phone numbers. Beyond them a term of the
+same document may give it away. How strongly is estimated from the whole corpus: with df the number of
 documents, the pointwise mutual information of entity e and term t over the information of e is
 
     disclosure(e, t) = log2(df(e, t) * N / (df(e) * df(t))) / log2(N / df(e)),
 
-1 if t occurs nowhere but beside e. Evidence needs ``MIN_SUPPORT`` documents that share both; terms
-are words within ``REACH`` words of the entity. A term at or over ``THRESHOLD`` is generalised to its
-class (number, capitalised, word, mixed), or removed where the class discloses the entity as well.
+1 if t occurs in no document without e. Evidence needs ``MIN_SUPPORT`` documents that share both, anywhere in
+their texts. A term at or over ``THRESHOLD`` is generalised to its class (number, word, mixed), or removed
+where the class discloses an entity as well, at every place of every text.
 
 Everything is DataFrame functions: no Python runs on the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialise, text_or_empty
 
-REACH = 5
 MIN_SUPPORT = 3
 THRESHOLD = 0.9
 
@@ -33,6 +32,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = [*PATTERNS, "term"]
+SPANS = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
 def digits(col: Column) -> Column:
@@ -63,7 +63,7 @@ def matches(text: Column, kind: str) -> Column:
     The text between matches gives their places: each match starts behind all that precedes it.
     """
     pattern = PATTERNS[kind]
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
+    none = F.array().cast(SPANS)
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
@@ -82,14 +82,16 @@ def base_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     src = docs.select(*keep, text_or_empty(F.col("text")).alias("pii_text"))
     text = F.col("pii_text")
     may = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(PATTERNS["card"]), "phone": text.contains("+")}
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
+    none = F.array().cast(SPANS)
     each = [F.when(may[k], matches(text, k)).otherwise(none) for k in PATTERNS]
     return src.withColumn("pii_base", F.array_sort(F.concat(*each)))
 
 
-#: A term is a run of letters and digits; it is looked for this many characters around an entity.
+#: A term is a run of letters and digits.
 TERM = r"[\p{L}\p{N}]++"
-CONTEXT_CHARS = 160
+#: Stands for the characters of base entities; a term that touches one is part of it.
+MASK = "\uffff"
+CLEAR_TERM = rf"(?<![\p{{L}}\p{{N}}{MASK}]){TERM}(?!{MASK})"
 #: Generalisations of a term, and the pattern of texts that hold one.
 CLASSES = {
     "number": r"(?<![\p{L}\p{N}])[0-9]++(?![\p{L}\p{N}])",
@@ -102,46 +104,30 @@ def term_class(term: Column) -> Column:
     return F.when(term.rlike(r"^[0-9]+$"), "number").when(term.rlike(r"[0-9]"), "mixed").otherwise("word")
 
 
-def terms_of(text: Column, offset: Column) -> Column:
-    """array<struct<start, stop, term>> of a short text's terms; ``offset`` is added to the places."""
-    none = F.array().cast("array<struct<start:int,stop:int,term:string>>")
-    start = F.struct(offset.cast("int").alias("at"), none.alias("out"))
+def terms(text: Column, pattern: str = TERM) -> Column:
+    """A text's distinct terms in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.length(pair["gap"])
-        stop = at + F.length(pair["found"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), stop.alias("stop"), F.lower(pair["found"]).alias("term")))).alias("out"))
-
-    gaps, found = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), found, lambda g, f: F.struct(g.alias("gap"), f.alias("found")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
+def masked(text: Column, base: Column) -> Column:
+    """The text with the characters of base entities masked; places stay."""
 
-def near(text: Column, base: Column) -> Column:
-    """array<struct<start, stop, term, kind, value>>: the REACH terms on either side of each base entity.
+    def step(acc: Column, b: Column) -> Column:
+        first = F.greatest(acc["at"], b["start"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, first - acc["at"]), F.repeat(F.lit(MASK), F.greatest(b["stop"] - first, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), more.alias("out"))
 
-    A term that the edge of the context cuts, or that is part of a base entity, is none.
-    """
+    return F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    def around(b: Column) -> Column:
-        low = F.greatest(b["start"] - CONTEXT_CHARS, F.lit(0))
-        left = terms_of(F.substring(text, low + 1, b["start"] - low), low)
-        right = terms_of(F.substring(text, b["stop"] + 1, F.lit(CONTEXT_CHARS)), b["stop"])
-        left = F.filter(left, lambda t: (t["start"] > low) | (low == 0))
-        right = F.filter(right, lambda t: (t["stop"] < b["stop"] + CONTEXT_CHARS) | (t["stop"] == F.length(text)))
-        both = F.concat(F.slice(F.reverse(left), 1, REACH), F.slice(right, 1, REACH))
-        return F.transform(both, lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["term"].alias("term"), b["kind"].alias("kind"), b["value"].alias("value")))
 
-    found = F.flatten(F.transform(base, around))
-    clear = F.filter(found, lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    return F.array_distinct(clear)
+def texts(docs: DataFrame) -> DataFrame:
+    """(pii_row, pii_text); the row number is that of the scan."""
+    return docs.select(F.monotonically_increasing_id().alias("pii_row"), text_or_empty(F.col("text")).alias("pii_text"))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """pii_row, doc_id, pii_base and pii_near per row; the row number is that of the scan."""
-    rows = base_spans(docs.withColumn("pii_row", F.monotonically_increasing_id()), ["pii_row", "doc_id"])
-    none = F.array().cast("array<struct<start:int,stop:int,term:string,kind:int,value:string>>")
-    return rows.select("pii_row", "doc_id", "pii_base", F.when(F.size("pii_base") > 0, near(F.col("pii_text"), F.col("pii_base"))).otherwise(none).alias("pii_near"))
+    """pii_row, doc_id and pii_base per row; the row number is that of the scan."""
+    return base_spans(docs.withColumn("pii_row", F.monotonically_increasing_id()), ["pii_row", "doc_id"]).select("pii_row", "doc_id", "pii_base")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,11 +138,15 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     total = docs.count()
     text = text_or_empty(F.col("text"))
     pair = ["kind", "value", "term"]
-    pairs = found.select(F.explode(F.array_distinct(F.transform("pii_near", lambda t: F.struct(t["kind"].alias("kind"), t["value"].alias("value"), t["term"].alias("term"))))).alias("p"))
-    counted = materialise(pairs.groupBy(*[F.col(f"p.{c}").alias(c) for c in pair]).agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support), "pairs")
-    entities = found.select(F.explode(F.array_distinct(F.transform("pii_base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"))))).alias("e"))
-    entity_docs = materialise(entities.groupBy(F.col("e.kind").alias("kind"), F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support), "entities")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    each = F.explode(F.array_distinct(F.transform("pii_base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value")))))
+    entities = found.select("pii_row", each.alias("e")).select("pii_row", "e.*")
+    entity_docs = materialise(entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support), "entities")
+    held = materialise(entities.join(entity_docs.select("kind", "value"), ["kind", "value"]), "holders")
+    holders = found.join(held.select("pii_row").distinct(), "pii_row", "left_semi").select("pii_row", "pii_base")
+    beside = texts(docs).join(holders, "pii_row").select("pii_row", terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM).alias("terms"))
+    beside = materialise(beside, "beside").join(held, "pii_row")
+    counted = materialise(beside.select("kind", "value", F.explode("terms").alias("term")).groupBy(*pair).agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support), "pairs")
+    words = docs.select(F.explode(terms(text)).alias("term"))
     term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).where(F.col("term_docs") >= min_support)
 
     def strength(both: str, other: Column) -> Column:
@@ -169,19 +159,30 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
 
     class_docs = docs.agg(*[F.sum(text.rlike(p).cast("long")).alias(k) for k, p in CLASSES.items()]).first()
     of_class = F.coalesce(*[F.when(F.col("class") == k, F.lit(class_docs[k] or 1)) for k in CLASSES])
-    classes = found.select(F.explode(F.array_distinct(F.transform("pii_near", lambda t: F.struct(t["kind"].alias("kind"), t["value"].alias("value"), term_class(t["term"]).alias("class"))))).alias("p"))
-    by_class = materialise(classes.groupBy(*[F.col(f"p.{c}").alias(c) for c in ("kind", "value", "class")]).agg(F.count(F.lit(1)).alias("class_both")), "classes")
+    classes = beside.select("kind", "value", F.explode(F.array_distinct(F.transform("terms", term_class))).alias("class"))
+    by_class = materialise(classes.groupBy("kind", "value", "class").agg(F.count(F.lit(1)).alias("class_both")), "classes")
     judged = strong.join(by_class, ["kind", "value", "class"])
     return judged.select(*pair, F.when(strength("class_both", of_class) >= threshold, "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(pii_row, pii_terms array<struct<start, kind, stop, value>>): disclosing terms; value is the replacement."""
-    flagged = materialise(disclosing(docs, found), "flagged")
-    near_rows = found.select("pii_row", F.explode("pii_near").alias("t")).select("pii_row", "t.*")
-    hits = near_rows.join(flagged, ["kind", "value", "term"]).groupBy("pii_row", "start", "stop").agg(F.min("replacement").alias("value"))
-    item = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "stop", "value")
-    return hits.groupBy("pii_row").agg(F.collect_list(item).alias("pii_terms"))
+    """(pii_row, pii_terms array<struct<start, kind, stop, value>>): disclosing terms; value is the replacement.
+
+    Every occurrence in every text but inside base entities. Only texts that hold a flagged term are
+    exploded by place, since the places are running sums over a text's terms.
+    """
+    flagged = materialise(disclosing(docs, found).groupBy("term").agg(F.min("replacement").alias("value")), "flagged")
+    rows = texts(docs)
+    hit = materialise(rows.select("pii_row", F.explode(terms(F.col("pii_text"))).alias("term")).join(flagged.select("term"), "term", "left_semi").select("pii_row").distinct(), "hit")
+    gaps, runs = F.split(F.col("pii_text"), TERM, -1), F.regexp_extract_all(F.col("pii_text"), F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), runs, lambda g, f: F.struct((F.length(g) + F.length(f)).alias("step"), F.length(f).alias("size"), F.lower(f).alias("term")))
+    places = rows.join(hit, "pii_row").select("pii_row", F.posexplode(pairs).alias("pos", "t")).select("pii_row", "pos", "t.*")
+    stop = F.sum("step").over(Window.partitionBy("pii_row").orderBy("pos")).cast("int")
+    placed = places.withColumn("stop", stop).join(flagged, "term")
+    item = F.struct((F.col("stop") - F.col("size")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), "stop", "value")
+    spans = placed.groupBy("pii_row").agg(F.collect_list(item).alias("pii_terms")).join(found.select("pii_row", "pii_base"), "pii_row", "left")
+    clear = F.filter("pii_terms", lambda t: ~F.exists(F.coalesce("pii_base", F.array().cast(SPANS)), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return spans.select("pii_row", clear.alias("pii_terms")).where(F.size("pii_terms") > 0)
 
 
 def written(spans: Column) -> Column:
@@ -198,7 +199,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = materialise(located(docs), "located")
     terms = term_spans(docs, found)
     rows = found.select("pii_row", "doc_id", "pii_base").join(terms, "pii_row", "left")
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
+    none = F.array().cast(SPANS)
     count = lambda k: F.size(F.filter("pii_base", lambda b: b["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     every = F.concat("pii_base", F.coalesce("pii_terms", none))
     return rows.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(written(F.col("pii_base")).cast("binary"), 256).alias("base_sha256"), written(every).alias("spans"))
@@ -207,16 +208,18 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced: entities by <kind>, terms generalised or removed.
 
-    Only documents that hold an entity are shuffled; the others keep their text as it is. A null
-    text stays null. ``n_chars``, where there is one, follows the new text.
+    Documents that hold an entity are shuffled; of the others those with a disclosing term are few
+    and the rest keep their text as it is. A null text stays null. ``n_chars``, where there is one, follows the new text.
     """
     columns = docs.columns
     found = materialise(located(docs).where(F.size("pii_base") > 0), "located")
     terms = term_spans(docs, found)
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int,value:string>>")
+    none = F.array().cast(SPANS)
     names = F.array(*[F.lit(f"<{k}>") for k in PATTERNS])
     entities = F.transform("pii_base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop"), F.get(names, b["kind"]).alias("value")))
-    cuts = materialise(found.join(terms, "pii_row", "left").select("pii_row", F.array_sort(F.concat(entities, F.coalesce("pii_terms", none))).alias("pii_cuts")), "cuts")
+    every = found.select("pii_row", "pii_base").join(terms, "pii_row", "full")
+    cuts = every.select("pii_row", F.array_sort(F.concat(F.coalesce(entities, none), F.coalesce("pii_terms", none))).alias("pii_cuts"), F.col("pii_base").isNull().alias("pii_only_terms"))
+    cuts = materialise(cuts, "cuts")
 
     text = F.col("text").cast("string")
     may = F.coalesce(text.rlike("|".join(f"(?:{p})" for p in PATTERNS.values())), F.lit(False))
@@ -227,8 +230,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), kept.alias("out"))
 
     clean = F.aggregate("pii_cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    changed = rows.where(may).join(cuts, "pii_row", "left").withColumn("text", F.when(F.col("pii_cuts").isNull(), text).otherwise(clean))
+    few = cuts.where("pii_only_terms")
+    changed = rows.where(may).join(cuts, "pii_row", "left").unionByName(rows.where(~may).join(few, "pii_row"))
+    changed = changed.withColumn("text", F.when(F.col("pii_cuts").isNull(), text).otherwise(clean))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.where(~may).select(*columns).unionByName(changed.select(*columns))
+    return rows.where(~may).join(few.select("pii_row"), "pii_row", "left_anti").select(*columns).unionByName(changed.select(*columns))
 
