@@ -30,7 +30,7 @@ def manifest_report(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.schema(RECORD).json(f"{path}/records")
     meta = spark.read.schema(META).json(f"{path}/meta")
     found = content_digest(records, records.columns).select(F.col("digest").alias("found_digest"), F.col("n").alias("found"))
-    repeats = duplicate_keys(records, ["region", "patch_id"]).agg(F.count(F.lit(1)).alias("repeated"))
+    repeats = duplicate_keys(records, ["region", "patch_id"], None).agg(F.count(F.lit(1)).alias("repeated"))
     rows = meta.crossJoin(found).crossJoin(repeats)  # one-row reports
     passed = (F.col("schema_version") == VERSION) & (F.col("digest") == F.col("found_digest")) & (F.col("record_count") == F.col("found")) & (F.col("repeated") == 0)
     return rows.withColumn("passed", passed)

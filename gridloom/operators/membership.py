@@ -12,9 +12,10 @@ def split_membership(cells: DataFrame, registry: DataFrame, key: str = "parent_k
     return cells.join(keys, key, "left_semi"), cells.join(keys, key, "left_anti")
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], examples: int = 100) -> DataFrame:
-    """Keys that occur more than once with their counts, the first ``examples`` in key order."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(*keys).limit(examples)
+def duplicate_keys(df: DataFrame, keys: list[str], examples: int | None = 100) -> DataFrame:
+    """Keys that occur more than once with their counts: the first ``examples`` in key order, None: all."""
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return repeated if examples is None else repeated.orderBy(*keys).limit(examples)
 
 
 def tagged_counts(parts: dict[str, DataFrame], key: str) -> DataFrame:
