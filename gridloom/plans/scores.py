@@ -233,7 +233,7 @@ def win13_overlap_resolution(spark, sf):
     layer = F.lit("base_expected_1pct").alias("layer")
     rows = candidates(spark, sf).join(cells(spark, sf).select("parent_key", "grid_epsg", "grid_col", "grid_row"), "parent_key").select("macro_id", F.col("parent_key").alias("id"), "parent_key", "local_col", "local_row", "grid_epsg", "grid_row", (F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90)).alias("grid_col"), layer)
     start = rows.where("local_col = 0")
-    return overlaps.resolved(start, rows.where("local_col = 1"), 3, 2).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    return overlaps.resolved(start, rows.where("local_col = 1"), 3).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(1 AS INT) AS schema_version, count(*) AS record_count, count(*) AS found, CAST(0 AS BIGINT) AS repeated, true AS passed FROM customer")
