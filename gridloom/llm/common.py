@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,30 +31,63 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share (``spark.checkpoint.dir``, or the checkpoint folder that was set).
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only a session within one process may go without: a temporary folder is made there. On a cluster
+    that is an error, since executors could not see each other's files.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; all that is written between stages lies there."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs a reread, not a recomputation) and gives the next
-    shuffle a plain scan below it, so that adaptive execution can split skewed partitions.
+    shuffle a plain scan below it, so that adaptive execution can split skewed partitions. What no
+    later step reads is deleted with ``release``; what a returned DataFrame reads stays until
+    ``clear`` or the end of whoever owns the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` once everything that was derived from them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._written)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has written between stages; results not yet read become unreadable."""
+    _delete(spark, work_dir(spark))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until no column of the user's has it (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 _memories: list[dict] = []
@@ -100,6 +135,10 @@ def id_fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+#: Nodes that a task holds while it reduces edges; what it has so far is passed on then.
+FOREST_NODES = 1_000_000
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one partition -> star edges (node, smallest node of its local component)."""
     parent: dict[int, int] = {}
@@ -112,6 +151,12 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             parent[x], x = top, parent[x]
         return top
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in parent if root(x) != x]
+        for i in range(0, len(nodes), 100_000):
+            part = nodes[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
@@ -119,17 +164,17 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             parent.setdefault(b, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if root(x) != x]
-    for i in range(0, len(nodes), 100_000):
-        part = nodes[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+        if len(parent) > FOREST_NODES:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """Components of (a long, b long) edges -> (node, root), root the smallest node; roots are left out.
 
     Each partition first reduces its edges to stars (union-find), then large-star and small-star
-    rounds run as joins on materialised tables until nothing changes. The minima are written
+    rounds run as joins on written tables until nothing changes. The minima are written
     before they are joined, so that a hub with very many edges is split, never one task.
     """
     cur = materialise(edges.where("a <> b").select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
@@ -138,12 +183,14 @@ def connected(edges: DataFrame) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialise(large.where("a <> b").distinct(), "edges")
-        least = materialise(cur.groupBy("a").agg(F.min("b").alias("m")), "small")
-        moved = cur.join(least, "a")
+        spread = materialise(large.where("a <> b").distinct(), "edges")
+        release(cur, least)
+        least = materialise(spread.groupBy("a").agg(F.min("b").alias("m")), "small")
+        moved = spread.join(least, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b")))
         cur = materialise(small.where("a <> b").distinct(), "edges")
+        release(spread, least)
         now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now

@@ -1,16 +1,20 @@
 """Personal data: patterns for base entities, and terms that disclose them by corpus co-occurrence.
 
-Base entities are e-mail addresses, IP addresses, card and phone numbers. Beyond them a term of the
-same document may give it away. How strongly is estimated from the whole corpus: with df the number of
+Base entities are e-mail addresses, IP addresses, card and phone numbers; what is protected is each of
+them and the group it belongs to (mail domain, /24 network, issuer, dialling prefix). A term of the same
+text may give one away. How strongly is estimated from the whole corpus: with df the number of
 documents, the pointwise mutual information of entity e and term t over the information of e is
 
     disclosure(e, t) = log2(df(e, t) * N / (df(e) * df(t))) / log2(N / df(e)),
 
-1 if t occurs in no document without e. Evidence needs ``MIN_SUPPORT`` documents that share both, anywhere in
-their texts. A term at or over ``THRESHOLD`` is generalised to its class (number, word, mixed), or removed
-where the class discloses an entity as well, at every place of every text.
+1 if t occurs in no document without e. Evidence must outweigh the search for it: among V distinct terms,
+some meet e in all of n documents by chance unless n * log2(N / df(e)) > log2(V), so that many shared documents
+are asked for, anywhere in their texts, and two at least (one document estimates nothing). A term at or
+over ``THRESHOLD`` is generalised to its class (number, word, mixed), or removed where the class
+discloses an entity as well, at every place of every text.
 
-Everything is DataFrame functions: no Python runs on the executors.
+Everything is DataFrame functions: no Python runs on the executors. Columns of the caller's may have any
+names: own ones get names that no column has.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, text_or_empty
+from gridloom.llm.common import fresh, materialise, release, text_or_empty
 
-MIN_SUPPORT = 3
+#: Documents that an entity and a term must share at least.
+MIN_SUPPORT = 2
 THRESHOLD = 0.9
+#: Terms that are broadcast to filter all texts' terms before these are counted; more are counted unfiltered.
+BROADCAST_TERMS = 200_000
 
 #: Kinds in the order of the report; possessive quantifiers keep long runs linear, and a look-behind
 #: starts a match only at a run's first character or where the last match ended.
@@ -127,7 +134,24 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def located(docs: DataFrame) -> DataFrame:
     """pii_row, doc_id and pii_base per row; the row number is that of the scan."""
-    return base_spans(docs.withColumn("pii_row", F.monotonically_increasing_id()), ["pii_row", "doc_id"]).select("pii_row", "doc_id", "pii_base")
+    named = docs.select(F.monotonically_increasing_id().alias("pii_row"), "doc_id", "text")
+    return base_spans(named, ["pii_row", "doc_id"]).select("pii_row", "doc_id", "pii_base")
+
+
+def group_of(kind: Column, value: Column) -> Column:
+    """The group of a base entity: mail domain, /24 network, card issuer (6 digits), phone number without its last 4 digits."""
+    numbers = digits(value)
+    prefix = F.concat(F.lit("+"), F.substring(numbers, F.lit(1), F.length(numbers) - 4))
+    of = [F.lower(F.regexp_extract(value, "@.*$", 0)), F.regexp_extract(value, r"^(?:[0-9]+\.){3}", 0), F.substring(numbers, 1, 6), prefix]
+    return F.get(F.array(*of), kind)
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """(pii_row, kind, value) distinct: each text's base entities and, of kind + 4, their groups; ``found`` is located()."""
+    each = F.explode(F.array_distinct(F.transform("pii_base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("pii_value")))))
+    one = found.select("pii_row", each.alias("e")).select("pii_row", "e.kind", "e.pii_value")
+    groups = one.select("pii_row", (F.col("kind") + len(PATTERNS)).alias("kind"), group_of(F.col("kind"), F.col("pii_value")).alias("value")).distinct()
+    return one.select("pii_row", "kind", F.col("pii_value").alias("value")).unionByName(groups)
 
 
 def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
@@ -135,32 +159,37 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
 
     The replacement is the term's class in angle brackets, or empty where the class discloses too.
     """
-    total = docs.count()
     text = text_or_empty(F.col("text"))
     pair = ["kind", "value", "term"]
-    each = F.explode(F.array_distinct(F.transform("pii_base", lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value")))))
-    entities = found.select("pii_row", each.alias("e")).select("pii_row", "e.*")
-    entity_docs = materialise(entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support), "entities")
-    held = materialise(entities.join(entity_docs.select("kind", "value"), ["kind", "value"]), "holders")
+    every = materialise(entities(found), "entities")
+    entity_docs = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support)
+    held = materialise(every.join(entity_docs, ["kind", "value"]), "holders")
     holders = found.join(held.select("pii_row").distinct(), "pii_row", "left_semi").select("pii_row", "pii_base")
     beside = texts(docs).join(holders, "pii_row").select("pii_row", terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM).alias("terms"))
     beside = materialise(beside, "beside").join(held, "pii_row")
-    counted = materialise(beside.select("kind", "value", F.explode("terms").alias("term")).groupBy(*pair).agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support), "pairs")
-    words = docs.select(F.explode(terms(text)).alias("term"))
-    term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).where(F.col("term_docs") >= min_support)
+    both = beside.select("kind", "value", "entity_docs", F.explode("terms").alias("term")).groupBy(*pair).agg(F.count(F.lit(1)).alias("both"), F.first("entity_docs").alias("entity_docs"))
+    both = materialise(both.where(F.col("both") >= min_support), "pairs")
 
-    def strength(both: str, other: Column) -> Column:
-        mutual = F.log2(F.col(both) * F.lit(float(total)) / (F.col("entity_docs") * other))
-        information = F.log2(F.lit(float(max(total, 1))) / F.col("entity_docs"))
+    numbers = docs.agg(F.count(F.lit(1)).alias("total"), *[F.sum(text.rlike(p).cast("long")).alias(k) for k, p in CLASSES.items()]).first()
+    words = docs.select(F.explode(terms(text)).alias("term"))
+    distinct = words.agg(F.approx_count_distinct("term", 0.01)).first()[0]
+    total = float(max(numbers["total"], 1))
+    information = F.log2(F.lit(total) / F.col("entity_docs"))
+    evident = both.where(F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))
+
+    candidates = materialise(evident.select("term").distinct(), "terms")
+    if candidates.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(candidates), "term", "left_semi")
+    term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+
+    def strength(shared: str, other: Column) -> Column:
+        mutual = F.log2(F.col(shared) * F.lit(total) / (F.col("entity_docs") * other))
         return F.when(information > 0, mutual / information).otherwise(0.0)
 
-    known = counted.join(entity_docs, ["kind", "value"]).join(term_docs, "term")
-    strong = known.where(strength("both", F.col("term_docs")) >= threshold).withColumn("class", term_class(F.col("term")))
-
-    class_docs = docs.agg(*[F.sum(text.rlike(p).cast("long")).alias(k) for k, p in CLASSES.items()]).first()
-    of_class = F.coalesce(*[F.when(F.col("class") == k, F.lit(class_docs[k] or 1)) for k in CLASSES])
+    strong = evident.join(term_docs, "term").where(strength("both", F.col("term_docs")) >= threshold).withColumn("class", term_class(F.col("term")))
+    of_class = F.coalesce(*[F.when(F.col("class") == k, F.lit(numbers[k] or 1)) for k in CLASSES])
     classes = beside.select("kind", "value", F.explode(F.array_distinct(F.transform("terms", term_class))).alias("class"))
-    by_class = materialise(classes.groupBy("kind", "value", "class").agg(F.count(F.lit(1)).alias("class_both")), "classes")
+    by_class = classes.groupBy("kind", "value", "class").agg(F.count(F.lit(1)).alias("class_both"))
     judged = strong.join(by_class, ["kind", "value", "class"])
     return judged.select(*pair, F.when(strength("class_both", of_class) >= threshold, "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
 
@@ -182,7 +211,9 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     item = F.struct((F.col("stop") - F.col("size")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), "stop", "value")
     spans = placed.groupBy("pii_row").agg(F.collect_list(item).alias("pii_terms")).join(found.select("pii_row", "pii_base"), "pii_row", "left")
     clear = F.filter("pii_terms", lambda t: ~F.exists(F.coalesce("pii_base", F.array().cast(SPANS)), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    return spans.select("pii_row", clear.alias("pii_terms")).where(F.size("pii_terms") > 0)
+    out = materialise(spans.select("pii_row", clear.alias("pii_terms")).where(F.size("pii_terms") > 0), "term_spans")
+    release(flagged, hit)
+    return out
 
 
 def written(spans: Column) -> Column:
@@ -209,31 +240,35 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced: entities by <kind>, terms generalised or removed.
 
     Documents that hold an entity are shuffled; of the others those with a disclosing term are few
-    and the rest keep their text as it is. A null text stays null. ``n_chars``, where there is one, follows the new text.
+    and the rest keep their text as it is. A null text stays null, an empty table stays empty; rows that
+    repeat an id or are equal are treated each. All other columns keep their names and values, whatever
+    they are called; only ``n_chars``, where there is one, follows the new text.
     """
     columns = docs.columns
+    row, cuts_col = fresh("pii_row", columns), fresh("pii_cuts", columns)
     found = materialise(located(docs).where(F.size("pii_base") > 0), "located")
     terms = term_spans(docs, found)
     none = F.array().cast(SPANS)
     names = F.array(*[F.lit(f"<{k}>") for k in PATTERNS])
     entities = F.transform("pii_base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop"), F.get(names, b["kind"]).alias("value")))
     every = found.select("pii_row", "pii_base").join(terms, "pii_row", "full")
-    cuts = every.select("pii_row", F.array_sort(F.concat(F.coalesce(entities, none), F.coalesce("pii_terms", none))).alias("pii_cuts"), F.col("pii_base").isNull().alias("pii_only_terms"))
+    cuts = every.select(F.col("pii_row").alias(row), F.array_sort(F.concat(F.coalesce(entities, none), F.coalesce("pii_terms", none))).alias(cuts_col), F.col("pii_base").isNull().alias("pii_only_terms"))
     cuts = materialise(cuts, "cuts")
+    release(found, terms)
 
     text = F.col("text").cast("string")
     may = F.coalesce(text.rlike("|".join(f"(?:{p})" for p in PATTERNS.values())), F.lit(False))
-    rows = docs.withColumn("pii_row", F.monotonically_increasing_id())
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
 
     def step(acc: Column, c: Column) -> Column:
         kept = F.when(c["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["value"])).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], c["stop"]).alias("at"), kept.alias("out"))
 
-    clean = F.aggregate("pii_cuts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    few = cuts.where("pii_only_terms")
-    changed = rows.where(may).join(cuts, "pii_row", "left").unionByName(rows.where(~may).join(few, "pii_row"))
-    changed = changed.withColumn("text", F.when(F.col("pii_cuts").isNull(), text).otherwise(clean))
+    clean = F.aggregate(F.col(cuts_col), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    all_cuts, few = cuts.select(row, cuts_col), cuts.where("pii_only_terms").select(row, cuts_col)
+    changed = rows.where(may).join(all_cuts, row, "left").unionByName(rows.where(~may).join(few, row))
+    changed = changed.withColumn("text", F.when(F.col(cuts_col).isNull(), text).otherwise(clean))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.where(~may).join(few.select("pii_row"), "pii_row", "left_anti").select(*columns).unionByName(changed.select(*columns))
-
+    own = [F.col(f"`{c}`") for c in columns]
+    return rows.where(~may).join(few.select(row), row, "left_anti").select(*own).unionByName(changed.select(*own))
