@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm.quality import KEPT_BITS, METRICS, MIN_GROUP, REACH
+from gridloom.llm.quality import FAR, KEPT_BITS, METRICS, MIN_GROUP, RATIOS, REACH
 from gridloom.llm.urlgraph import BLOCK_SHARE, DAMPING, ROUNDS, RULES
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -11,29 +11,31 @@ SPACE = r"[\x20\x09-\x0D]"
 def _fences(name: str, by: str) -> str:
     keys = by + ", " if by else ""
     part = f"PARTITION BY {keys}metric"
-    return f"""{name} AS (SELECT {keys}metric, max(docs) AS docs, min(bucket) FILTER (upto * 4 >= docs) AS lo, min(bucket) FILTER (upto * 4 >= 3 * docs) AS hi FROM (
+    at = lambda q: f"min(bucket) FILTER (upto * 100 >= {q} * docs)"
+    return f"""{name} AS (SELECT {keys}metric, max(docs) AS docs, {at(25)} AS q1, {at(50)} AS q2, {at(75)} AS q3, {at(FAR)} AS top FROM (
   SELECT {keys}metric, bucket, sum(count(*)) OVER ({part} ORDER BY bucket) AS upto, sum(count(*)) OVER ({part}) AS docs FROM k GROUP BY {keys}metric, bucket) GROUP BY {keys}metric)"""
 
 
 def quality() -> str:
+    ratios = ", ".join(f"{scale} * {a} // greatest({b}, 1) AS {k}" for k, (a, scale, b) in RATIOS.items())
     rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM b WHERE NOT base_failed" for m in METRICS)
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, s in METRICS.items()) + " END"
-    fence = lambda t: f"{t}.hi + {REACH} * greatest({t}.hi - {t}.lo, {slack.replace('metric', 'own.metric')})"
     drop = f"greatest(length(bin(v)) - {KEPT_BITS}, 0)::INT"
-    above = " AND ".join(f"coalesce({m} <= max(fence) FILTER (metric = '{m}'), true)" for m in METRICS)
+    fence = {"low": f"q1 - {REACH} * (q3 - q1)", "high": f"q3 + {REACH} * (q3 - q1)", "far": "2 * top - q2"}
+    inside = " AND ".join(f"coalesce({m} {'>=' if side == 'low' else '<='} max({fence[side]}) FILTER (metric = '{m}'), true)" for m, sides in METRICS.items() for side in sides)
+    pick = lambda c: f"CASE WHEN own.docs >= {MIN_GROUP} THEN own.{c} WHEN l.docs >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}"
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, i, list_slice(ws, i, i + 7) AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS c FROM win) WHERE c > 1) GROUP BY 1),
 m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{SPACE}', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(string_split(t, chr(10))) AS n_lines FROM w LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_lines, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats FROM m),
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_word_lines, length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {ratios} FROM m),
 k AS (SELECT lang, source, metric, (v >> {drop}) << {drop} AS bucket FROM ({rows})),
 {_fences("own", "lang, source")}, {_fences("l", "lang")}, {_fences("a", "")},
-lim AS (SELECT own.lang AS t_lang, own.source AS t_source, own.metric, CASE WHEN own.docs >= {MIN_GROUP} THEN {fence("own")} WHEN l.docs >= {MIN_GROUP} THEN {fence("l")} ELSE {fence("a")} END AS fence
+lim AS (SELECT own.lang AS t_lang, own.source AS t_source, own.metric, {", ".join(map(pick, ("q1", "q2", "q3", "top")))}
   FROM own LEFT JOIN l ON l.lang IS NOT DISTINCT FROM own.lang AND l.metric = own.metric JOIN a ON a.metric = own.metric)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {above} AS kept FROM b LEFT JOIN lim ON lang IS NOT DISTINCT FROM t_lang AND source IS NOT DISTINCT FROM t_source
-GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbols, dup_lines, repeats"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept FROM b LEFT JOIN lim ON lang IS NOT DISTINCT FROM t_lang AND source IS NOT DISTINCT FROM t_source
+GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {", ".join(METRICS)}"""
 
 
 def embeddings() -> str:
