@@ -2,7 +2,8 @@
 
 Training uses a bounded, deterministic sample of the labelled rows (``class_rows`` of either class at
 most, by a hash of the id), with whole texts; it is joined by broadcast, about half a megabyte. FTRL
-learns row after row, so one task sees that sample, as sets of feature slots made by all tasks.
+learns row after row, so one task sees that sample, as sets of feature slots made by all tasks. They come
+in order out of a sorted shuffle, once for each epoch, so the task holds one batch of rows and the model.
 Per-coordinate rates learn rare words fast and L1 leaves few weights: the vector has ``2 ** BITS``
 slots at most (4 MB), which bounds the broadcast. Scoring reads every whole text and nothing else.
 """
@@ -12,13 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import bound_batches, forget, id_fold, text_or_empty, word_hashes, words
+from gridloom.llm.common import bound_batches, forget, fresh, id_fold, text_or_empty, word_hashes, words
 from gridloom.llm.lm import mix
 
 BITS = 20
@@ -73,36 +73,37 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, class_rows: int =
         forget(word_hashes)
         for b in batches:
             found = [features(words(x)).astype("<i4").tobytes() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(found, pa.binary()), pa.array([0] * len(found), pa.int32())], ["doc_id", "label", "slots", "model"])
+            turns = [hash_turn(x) for x in b.column("doc_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int64()), b.column("doc_id"), b.column("label"), pa.array(found, pa.binary())], ["turn", "doc_id", "label", "slots"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(turn=[hash_turn(x) for x in pdf["doc_id"]]).sort_values(["turn", "doc_id", "slots"])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl()
-        rows = [np.frombuffer(x, "<i4") for x in pdf["slots"]]
-        for _ in range(EPOCHS):
-            for at, label in zip(rows, pdf["label"]):
-                model.learn(at, label)
+        for b in batches:
+            for at, label in zip(b.column("slots").to_pylist(), b.column("label").to_pylist()):
+                model.learn(np.frombuffer(at, "<i4"), label)
         w = model.weights()
         used = np.flatnonzero(w)
-        return pd.DataFrame({"slot": used, "w": w[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], ["slot", "w"])
 
-    found = rows.select("doc_id", "label", "text").mapInArrow(slots, "doc_id long, label double, slots binary, model int")
-    fitted = found.groupBy("model").applyInPandas(fit, "slot long, w double").toPandas()
+    found = rows.select("doc_id", "label", "text").mapInArrow(slots, "turn long, doc_id long, label double, slots binary")
+    epochs = found.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+    ordered = epochs.repartition(1).sortWithinPartitions("epoch", "turn", "doc_id", "slots")  # a bounded sample
+    fitted = ordered.select("slots", "label").mapInArrow(fit, "slot long, w double").toPandas()
     out = np.zeros(1 << BITS, np.float32)
     out[fitted["slot"].to_numpy(np.int64)] = fitted["w"].to_numpy()
     return out
 
 
 def hash_turn(doc_id: int) -> int:
-    """A fixed shuffle of the training order."""
-    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    """A fixed shuffle of the training order, as a signed number."""
+    return ((doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``score`` in [0, 1]; the text column may be null (empty)."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """``docs`` with the score in [0, 1] as column ``name``, which it must not have; null text is empty."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget(word_hashes)
@@ -110,11 +111,24 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         for b in batches:
             text = b.column(b.schema.get_field_index("text")).to_pylist()
             got = [sigmoid(float(w[features(words(x))].sum(dtype=np.float64))) for x in text]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5 after learning from ``labels``; all columns, whatever their names.
+
+    Null and empty texts score the bias alone; rows that repeat an id, or are equal, are scored each; an
+    empty table stays empty. A model that has learnt nothing (no labels) rejects nothing.
+    """
+    weights = train(docs, labels)
+    if not weights.any():
+        return docs
+    name = fresh("score", docs.columns)
+    return score(docs, weights, name).where(F.col(name) < 0.5).drop(name)
+
+
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
