@@ -8,6 +8,12 @@ their Hamming distance is verified. Equal fingerprints are one entry, so copies
 
 A list of any length is worked in blocks of bounded size; a block pair reports only the links that
 connect what is not yet connected within it, so its output grows with its fingerprints, not pairs.
+
+Near-duplicates by Jaccard similarity (the pipeline's stage) use the same index over other positions: sign
+bits of a fingerprint differ too much at a similarity of 0.8 to be told from 0.7, so a text's positions
+hold the minima of its shingles under ``POSITIONS`` mixtures instead. The index lists texts under small
+sets of positions with their values, the bytes that a pair shares over all positions are tallied, pairs
+that reach ``MINIMUM`` are retained, and each of these is verified exactly on the shingles.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, connected, forget, materialise, text_or_empty, words
+from gridloom.llm.common import bound_batches, connected, forget, fresh, materialise, release, text_or_empty, words
 
 BYTES = 8
 SEED = 42
@@ -211,14 +217,17 @@ def groups(docs: DataFrame, shingle: int = 3, width: int = 1, index_bits: int =
 #: Near-duplicate documents: sets of five-word shingles whose Jaccard similarity is 4/5 or more.
 NEAR_SHINGLE = 5
 NEAR = (4, 5)
-#: MinHash bands that propose pairs: (1 - 0.8 ** 4) ** 32 < 5e-8 of the pairs at 0.8 meet in none.
+#: Sets of positions that propose pairs: (1 - 0.8 ** 4) ** 32 < 5e-8 of the pairs at 0.8 meet in none.
 BANDS, BAND_ROWS = 32, 4
+POSITIONS = BANDS * BAND_ROWS
+#: Bytes that a pair shares at least: 3e-9 of the pairs at 0.8 have fewer of 128; half are shared at 0.5.
+MINIMUM = 74
 #: Rounds that compare each open list with one of its members before all its pairs are compared.
 LEADER_ROUNDS = 6
 #: All pairs are compared at once while they are at most this many for each listed entry.
 PAIRS_PER_ENTRY = 4
 
-_SPREAD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SPREAD = np.random.default_rng(SEED).integers(0, 2**63, POSITIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -226,11 +235,16 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(words(text), NEAR_SHINGLE))
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """One key a band, made of its number and the least of BAND_ROWS mixtures of the hashes."""
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+def positions(shingles: np.ndarray) -> np.ndarray:
+    """The least of each mixture of the hashes; all ones without any."""
+    least = np.full(POSITIONS, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(0, len(shingles), 2048):
         least = np.minimum(least, (shingles[i : i + 2048, None] * _SPREAD).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """One key for each set of BAND_ROWS positions, made of its number and its values."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in least.reshape(BANDS, BAND_ROWS).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -238,6 +252,11 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def position_bytes(least: np.ndarray) -> bytes:
+    """A byte of each position: one of its middle bits' bytes, since the least have zeros in front."""
+    return ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Exact: the Jaccard similarity of two sets of distinct hashes is NEAR or more."""
     part, whole = NEAR
@@ -248,17 +267,17 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(id, whole binary, bands array<long>) of rows (id, text): a digest of the shingle set, and its bands."""
+    """(id, whole binary, places binary, bands array<long>) of rows (id, text): a digest of the shingle set, its positions' bytes, its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
             sets = [shingle_set(x) for x in b.column("text").to_pylist()]
-            whole = pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary())
-            keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), whole, keys], ["id", "whole", "bands"])
+            least = [positions(x) for x in sets]
+            cols = [pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([position_bytes(x) for x in least], pa.binary()), pa.array([bands(x) for x in least], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "whole", "places", "bands"])
 
-    return docs.mapInArrow(run, "id long, whole binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, whole binary, places binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -273,6 +292,19 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles binary")
 
 
+def retained(pairs: DataFrame, places: DataFrame, minimum: int) -> DataFrame:
+    """The pairs (a, b) that share ``minimum`` positions' bytes at least; ``places``: id, places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, POSITIONS) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= minimum))
+
+    left = pairs.join(places.select(F.col("id").alias("a"), F.col("places").alias("x")), "a")
+    both = left.join(places.select(F.col("id").alias("b"), F.col("places").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar."""
 
@@ -287,37 +319,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_links(posted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value, id) band entries, (id, text) -> (node, root): components of all similar pairs that share a band.
+def near_links(posted: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value, id) index entries, (id, places), (id, text) -> (node, root): components of all similar pairs that share a list.
 
     A pair needs no comparison once other links connect it. So lists are first compared with one
     member each, another in each round; what still spans components is then compared pair by pair.
     """
     lists = materialise(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1"), "lists")
     met = materialise(posted.join(lists, "value").select("value", "id", "leader"), "met")
-    sets = materialise(shingle_sets(texts.join(met.select("id").distinct(), "id", "left_semi")), "sets")
+    release(lists)
+    listed = materialise(met.select("id").distinct(), "listed")
+    sets = materialise(shingle_sets(texts.join(listed, "id", "left_semi")), "sets")
+    held = materialise(places.join(listed, "id", "left_semi"), "places")
     entries = met.count()
+    links = lambda pairs: materialise(verified(materialise(retained(pairs, held, MINIMUM), "retained"), sets), "similar")
     tested = materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    found = materialise(verified(tested, sets), "similar")
+    found = links(tested)
     for turn in range(1, LEADER_ROUNDS + 1):
         roots = connected(found)
-        named = met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root"))
+        named = materialise(met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root")), "named")
         spans = named.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
         spans = materialise(spans.select("value", "n", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "open")
         left = spans.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0
         if not left:
             return roots
         last = turn == LEADER_ROUNDS or left <= PAIRS_PER_ENTRY * entries
-        among = materialise(named.join(spans, "value"), "spanning")
+        among = named.join(spans, "value")
         if last:
-            pairs = _spanning_pairs(among)
+            pairs = _spanning_pairs(materialise(among, "spanning"))
         else:
             pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        fresh = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(found.unionByName(verified(fresh, sets)), "similar")
+        fresh_pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        release(named, spans)
+        found = materialise(found.unionByName(links(fresh_pairs)), "similar")
         if last:
             return connected(found)
-        tested = tested.unionByName(fresh)
+        tested = tested.unionByName(fresh_pairs)
 
 
 def _spanning_pairs(among: DataFrame) -> DataFrame:
@@ -335,10 +372,10 @@ def near_groups(docs: DataFrame, id_col: str) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col("text")).alias("text"))
-    rows = materialise(banded(texts), "bands")
+    rows = materialise(banded(texts), "positions")
     classes = materialise(rows.groupBy("whole").agg(F.min("id").alias("id")), "classes")
     posted = rows.join(classes.select("id"), "id").select("id", F.explode("bands").alias("value"))
-    roots = near_links(posted, texts)
+    roots = near_links(posted, rows.select("id", "places"), texts)
     by_set = materialise(classes.join(roots, classes["id"] == roots["node"], "left").select("whole", F.coalesce("root", "id").alias("component_id")), "components")
     return rows.select("id", "whole").join(by_set, "whole").select("id", "component_id")
 
@@ -346,20 +383,23 @@ def near_groups(docs: DataFrame, id_col: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates (NEAR) with all its columns: the smallest doc_id's.
 
-    Groups are of rows, so repeated and null ids do no harm; equal ids are told apart by scan order,
-    a null id comes last.
+    Null, empty and blank texts are one group. Groups are of rows, so repeated and null ids do no harm;
+    equal ids are told apart by scan order, a null id comes last. An empty table stays empty. Columns may
+    have any names.
     """
-    numbered = docs.withColumn("near_row", F.monotonically_increasing_id())
-    found = near_groups(numbered, "near_row").withColumnRenamed("id", "near_row")
+    row = fresh("near_row", docs.columns)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    ids = numbered.select(F.col(row).alias("near_row"), "doc_id")
+    found = near_groups(numbered.select(F.col(row).alias("near_row"), "text"), "near_row").withColumnRenamed("id", "near_row")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "near_row")
-    named = found.join(numbered.select("near_row", "doc_id"), "near_row")
+    named = found.join(ids, "near_row")
     first = materialise(named.groupBy("component_id").agg(F.min(rank)["near_row"].alias("near_row")).select("near_row"), "kept")
     # The dropped rows are the smaller side by far: texts need no shuffle while these are few.
-    dropped = materialise(found.select("near_row").join(first, "near_row", "left_anti"), "dropped")
-    return numbered.join(dropped, "near_row", "left_anti").select(*docs.columns)
+    dropped = materialise(found.select("near_row").join(first, "near_row", "left_anti").select(F.col("near_row").alias(row)), "dropped")
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def component_table(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id."""
+    """doc_id, fingerprint (16 hex digits), component_id for every row, as ``groups`` defines them; other columns are not read."""
     out = groups(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
