@@ -6,8 +6,10 @@ is missing; false positives can only raise a count, and rarely by more than a le
 probes stay inside one block of the filter, so blocks are built independently: the counts are
 shuffled once, packed, to the segment that owns their block, and every segment is a bitmap.
 
-A filter is broadcast up to ``max_filter_bytes``. More n-grams need more filters: each owns a range
-of the hash space and is broadcast in a pass of its own, which fills in the levels of its n-grams.
+A filter is broadcast up to ``max_filter_bytes``. One that has grown beyond stays in its segments: the
+distinct n-grams of ``CHUNK_ROWS`` texts at a time are dealt to the segments that own their blocks, probed there
+and sent back as one byte each, so a filter of any size takes one pass. Both ways probe the same
+bits and give the same levels.
 
 The model is a bigram with Dirichlet smoothing towards the unigram::
 
@@ -26,11 +28,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bound_batches, forget, id_fold, materialise, text_or_empty, word_hashes, words
+from gridloom.llm.common import bound_batches, forget, id_fold, materialise, release, text_or_empty, word_hashes, words
 
 #: The token behind each document; no word holds a space.
 END = b" "
@@ -49,6 +52,8 @@ COMMON_BYTES = 48
 #: Tokens of a counting chunk, and n-grams that a segment is meant to hold.
 CHUNK_TOKENS = 1 << 21
 SEGMENT_GRAMS = 1 << 20
+#: Texts whose distinct n-grams are looked up together in a filter that is not broadcast.
+CHUNK_ROWS = 256
 
 #: Levels a count can reach: 1.5 ** 100 is beyond 64 bits.
 MAX_LEVEL = 100
@@ -225,70 +230,141 @@ def segment_bitmaps(train: DataFrame, segments: int, blocks: int) -> DataFrame:
     return packed.groupBy("segment").agg(F.collect_list(F.struct("hashes", "counts")).alias("parts")).mapInArrow(run, "segment long, bits binary")
 
 
-def _score(docs: DataFrame, filters: Iterator[Filter], passes: int, common: tuple[np.ndarray, np.ndarray], n_train: int, v_train: int, mu: float) -> DataFrame:
-    """Levels from each filter in turn, then the score, per row; levels travel between passes as bytes."""
-    sc = docs.sparkSession.sparkContext
-    shared_common = sc.broadcast(common)
-    state = docs.withColumn("levels", F.lit(None).cast("binary"))
-
-    def fill(shared, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            forget(word_hashes)
-            part, row = TaskContext.get().partitionId() << 33, 0
-            for b in batches:
-                texts = [words(x) for x in b.column("text").to_pylist()]
-                if not texts:
-                    continue
-                tokens = [t for ws in texts for t in (START, *ws, END)]
-                h = np.fromiter(map(word_hashes.__getitem__, tokens), np.uint64, len(tokens))
-                distinct, inverse = np.unique(h, return_inverse=True)
-                bound = shared.value
-                uni = bound.level(distinct)[inverse]
-                bi = np.concatenate([[0], bound.level(mix(h[:-1], h[1:]))])
-                found = np.stack([uni, bi]).astype(np.uint8)
-                sizes = np.array([len(ws) + 2 for ws in texts])
-                ends = np.cumsum(sizes)
-                before = b.column("levels").to_pylist()
-                if before[0] is not None:
-                    found = np.maximum(found, np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in before], axis=1))
-                if not last:
-                    kept = [found[:, e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())]
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("text"), pa.array(kept, pa.binary())], ["doc_id", "held_out", "text", "levels"])
-                    continue
-                counts = level_counts(found.astype(np.float64))
-                plain = (counts[0] + 0.1) / (n_train + 0.1 * (v_train + 1))
-                history = np.concatenate([[0.0], counts[0][:-1]])
-                model = np.log10((np.minimum(counts[1], history) + mu * plain) / (history + mu))
-                keys, values = shared_common.value
-                place = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
-                exact = np.where(keys[place] == distinct, values[place], 0)[inverse] if len(keys) else np.zeros(len(h), np.int64)
-                model[ends - sizes] = 0.0  # START is no token of the text
-                exact[ends - sizes] = -1
-                common_log = np.where(exact > 0, np.log10(np.maximum(exact, 1) + 0.1), 0.0)
-                rare = [Counter([tokens[i] for i in (e - n + np.flatnonzero(exact[e - n : e] == 0)).tolist()]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                out = [
-                    pa.array(part + row + np.arange(len(texts)), pa.int64()),
-                    b.column("doc_id"),
-                    b.column("held_out"),
-                    pa.array(sizes - 1, pa.int64()),
-                    pa.array(np.add.reduceat(exact > 0, ends - sizes, dtype=np.int64), pa.int64()),
-                    pa.array(np.add.reduceat(common_log, ends - sizes), pa.float64()),
-                    pa.array(np.add.reduceat(model, ends - sizes), pa.float64()),
-                    pa.array([list(x) for x in rare], pa.list_(pa.binary())),
-                    pa.array([list(x.values()) for x in rare], pa.list_(pa.int64())),
-                ]
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays(out, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "score", "rare", "rare_n"])
-
-        return run
-
-    for i, f in enumerate(filters):
-        last = i == passes - 1
-        schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double, rare array<binary>, rare_n array<long>" if last else "doc_id long, held_out boolean, text string, levels binary"
-        state = materialise(state.mapInArrow(fill(sc.broadcast(f), last), schema), "levels")
-    return state
+class Scorer:
+    """What turns the levels of texts' n-grams into rows; ``common`` has the exact counts of frequent words."""
+
+    NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_log", "score", "rare", "rare_n"]
+    SCHEMA = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double, rare array<binary>, rare_n array<long>"
+
+    def __init__(self, common, n_train: int, v_train: int, mu: float) -> None:
+        self.common, self.n_train, self.v_train, self.mu = common, n_train, v_train, mu
+
+    def rows(self, ids: list[pa.Array], texts: list[list[bytes]], h: np.ndarray, uni: np.ndarray, bi: np.ndarray) -> pa.RecordBatch:
+        """``ids``: row, doc_id, held_out; h, uni, bi: hash and levels of each token (START before each text) and of the pair it ends."""
+        tokens = [t for ws in texts for t in (START, *ws, END)]
+        counts = level_counts(np.stack([uni, bi]).astype(np.float64))
+        plain = (counts[0] + 0.1) / (self.n_train + 0.1 * (self.v_train + 1))
+        history = np.concatenate([[0.0], counts[0][:-1]])
+        model = np.log10((np.minimum(counts[1], history) + self.mu * plain) / (history + self.mu))
+        keys, values = self.common.value
+        place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        exact = np.where(keys[place] == h, values[place], 0) if len(keys) else np.zeros(len(h), np.int64)
+        sizes = np.array([len(ws) + 2 for ws in texts])
+        ends = np.cumsum(sizes)
+        model[ends - sizes] = 0.0  # START is no token of the text
+        exact[ends - sizes] = -1
+        common_log = np.where(exact > 0, np.log10(np.maximum(exact, 1) + 0.1), 0.0)
+        rare = [Counter([tokens[i] for i in (e - n + np.flatnonzero(exact[e - n : e] == 0)).tolist()]) for e, n in zip(ends.tolist(), sizes.tolist())]
+        out = [
+            *ids,
+            pa.array(sizes - 1, pa.int64()),
+            pa.array(np.add.reduceat(exact > 0, ends - sizes, dtype=np.int64), pa.int64()),
+            pa.array(np.add.reduceat(common_log, ends - sizes), pa.float64()),
+            pa.array(np.add.reduceat(model, ends - sizes), pa.float64()),
+            pa.array([list(x) for x in rare], pa.list_(pa.binary())),
+            pa.array([list(x.values()) for x in rare], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(out, self.NAMES)
+
+
+def token_hashes(texts: list[list[bytes]]) -> np.ndarray:
+    """Hashes of all texts' tokens in a row, START before and END behind each text."""
+    tokens = [t for ws in texts for t in (START, *ws, END)]
+    return np.fromiter(map(word_hashes.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def by_broadcast(src: DataFrame, whole, scorer: Scorer) -> DataFrame:
+    """Scored rows of (row, doc_id, held_out, text); ``whole`` is the broadcast filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
+        bound = whole.value
+        for b in batches:
+            texts = [words(x) for x in b.column("text").to_pylist()]
+            if not texts:
+                continue
+            h = token_hashes(texts)
+            distinct, inverse = np.unique(h, return_inverse=True)
+            bi = np.concatenate([[0], bound.level(mix(h[:-1], h[1:]))])
+            yield scorer.rows([b.column(c) for c in ("row", "doc_id", "held_out")], texts, h, bound.level(distinct)[inverse], bi)
+
+    return src.mapInArrow(run, Scorer.SCHEMA)
+
+
+def chunk_grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token hashes, distinct hashes of a chunk's n-grams as the filter tells them apart, the place of each unigram and bigram there)."""
+    h = token_hashes(texts)
+    distinct, inverse = np.unique(np.concatenate([h, mix(h[:-1], h[1:])]) & KEPT, return_inverse=True)
+    return h, distinct, inverse
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(chunk, its rows) of batches in the order of ``chunk``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        values = b.column("chunk").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and held[0].column("chunk")[0].as_py() != int(values[i]):
+                yield held[0].column("chunk")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held[0].column("chunk")[0].as_py(), pa.Table.from_batches(held)
+
+
+def by_segments(src: DataFrame, bitmaps: DataFrame, segments: int, blocks: int, scorer: Scorer) -> DataFrame:
+    """The same rows from a filter that stays in its segments.
+
+    Two shuffles of streams sorted by key: n-grams behind the segment that owns them, then texts behind their
+    chunk's levels. A task holds a segment and a row of n-grams, then a chunk.
+    """
+    per = blocks // segments
+    src = src.withColumn("chunk", F.floor(F.col("row") / CHUNK_ROWS))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
+        for chunk, rows in chunks(batches):
+            _, distinct, _ = chunk_grams([words(x) for x in rows.column("text").to_pylist()])
+            cuts = np.searchsorted(block_of(distinct, blocks), np.arange(segments + 1, dtype=np.uint64) * np.uint64(per))
+            which = np.flatnonzero(np.diff(cuts)).tolist()
+            packed = [pack_hashes(distinct[cuts[s] : cuts[s + 1]]) for s in which]
+            sizes = [int(cuts[s + 1] - cuts[s]) for s in which]
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([chunk] * len(which), pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes, pa.int32())], ["segment", "chunk", "payload", "n"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for b in batches:
+            out: list[tuple[int, int, bytes]] = []
+            for segment, chunk, payload, n in zip(*(b.column(c).to_pylist() for c in ("segment", "chunk", "payload", "n"))):
+                if chunk < 0:
+                    part = Filter(np.frombuffer(payload, np.uint8), segment * per, blocks)
+                else:
+                    out.append((chunk, segment, part.level(unpack_hashes(payload, n)).astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["chunk", "segment", "levels"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(word_hashes)
+        for _, rows in chunks(batches):
+            rows = rows.combine_chunks()
+            is_text = pc.is_null(rows.column("levels"))
+            level = np.frombuffer(b"".join(rows.column("levels").drop_null().to_pylist()), np.uint8).astype(np.int64)
+            docs = rows.filter(is_text).combine_chunks().to_batches()[0]
+            texts = [words(x) for x in docs.column("text").to_pylist()]
+            h, _, inverse = chunk_grams(texts)
+            uni, bi = level[inverse[: len(h)]], np.concatenate([[0], level[inverse[len(h) :]]])
+            yield scorer.rows([docs.column(c) for c in ("row", "doc_id", "held_out")], texts, h, uni, bi)
+
+    asked = src.select("chunk", "text").mapInArrow(ask, "segment long, chunk long, payload binary, n int")
+    owners = bitmaps.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("payload"), F.lit(0).alias("n"))
+    dealt = owners.unionByName(asked).repartition("segment").sortWithinPartitions("segment", "chunk")
+    answers = dealt.mapInArrow(answer, "chunk long, segment long, levels binary")
+    none = lambda t: F.lit(None).cast(t)
+    heads = answers.select("chunk", F.lit(-1).cast("long").alias("row"), "segment", "levels", none("long").alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"))
+    bodies = src.select("chunk", "row", none("long").alias("segment"), none("binary").alias("levels"), "doc_id", "held_out", "text")
+    return heads.unionByName(bodies).repartition("chunk").sortWithinPartitions("chunk", "row", "segment").mapInArrow(score, Scorer.SCHEMA)
 
 
 def scores(docs: DataFrame, parts: int = 10, mu: float = MU, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -296,11 +372,12 @@ def scores(docs: DataFrame, parts: int = 10, mu: float = MU, max_filter_bytes: i
 
     The training rows are those whose id's crc32 is no multiple of ``parts``. Null and empty texts
     have one token, their end. Rows that repeat an id are scored apart, each as a row of its own; a null id
-    is folded like an empty one. Without training rows every count is zero.
+    is folded like an empty one. Without training rows every count is zero. Other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_fold(F.col("doc_id"), parts) == 0).alias("held_out"), text_or_empty(F.col("text")).alias("text"))
+    fold = (id_fold(F.col("doc_id"), parts) == 0).alias("held_out")
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), fold, text_or_empty(F.col("text")).alias("text"))
     train = src.where("not held_out").select("text")
     counts = materialise(word_counts(train), "words")
     n_train, v_train = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
@@ -309,19 +386,24 @@ def scores(docs: DataFrame, parts: int = 10, mu: float = MU, max_filter_bytes: i
     blocks = segments * max(1, -(-n_train * BITS_PER_TOKEN // (segments * BLOCK_BITS)))
     segment_bytes = blocks // segments * BLOCK_BITS // 8
     bitmaps = materialise(segment_bitmaps(train, segments, blocks), "filter")
-    per_filter = max(1, max_filter_bytes // segment_bytes)
-
-    def load(first: int) -> Filter:
-        bits = np.zeros(min(per_filter, segments - first) * segment_bytes, np.uint8)
-        for segment, raw in bitmaps.where(F.col("segment").between(first, first + per_filter - 1)).toLocalIterator():
-            bits[(segment - first) * segment_bytes : (segment - first + 1) * segment_bytes] = np.frombuffer(raw, np.uint8)
-        return Filter(bits, first * (blocks // segments), blocks)
 
     top = counts.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).toArrow()
     keys = np.array([xxhash.xxh64_intdigest(w, 7) for w in top["word"].to_pylist()], np.uint64)
     order = np.argsort(keys)
-    common = keys[order], top["n"].to_numpy()[order]
-    rows = _score(src, (load(first) for first in range(0, segments, per_filter)), -(-segments // per_filter), common, n_train, v_train, mu)
+    common = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order]))
+    scorer, shared = Scorer(common, n_train, v_train, mu), [common]
+    if segments * segment_bytes <= max_filter_bytes:
+        bits = np.zeros(segments * segment_bytes, np.uint8)
+        for segment, raw in bitmaps.toLocalIterator():
+            bits[segment * segment_bytes : (segment + 1) * segment_bytes] = np.frombuffer(raw, np.uint8)
+        shared.append(spark.sparkContext.broadcast(Filter(bits, 0, blocks)))
+        del bits
+        rows = materialise(by_broadcast(src, shared[1], scorer), "scored")
+    else:
+        rows = materialise(by_segments(src, bitmaps, segments, blocks, scorer), "scored")
+    for x in shared:
+        x.destroy()
+    release(bitmaps)
 
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
     seen = rare.join(counts, "word", "left").groupBy("row")
