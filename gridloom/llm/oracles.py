@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from gridloom.llm.quality import FAR, KEPT_BITS, METRICS, MIN_GROUP, RATIOS, REACH
-from gridloom.llm.urlgraph import BLOCK_SHARE, DAMPING, ROUNDS, RULES
+from gridloom.llm.urlgraph import BLOCK_SHARE, DAMPING, RULES, TOLERANCE
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -53,20 +55,22 @@ def urls() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in order) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{k}'" for k, h, p in order) + " END"
 
+    # After so many rounds no more than TOLERANCE of the seeds is on its way, whatever the graph.
+    rounds = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
+
     def ranks(tag: str, seed: str, src: str, dst: str) -> str:
-        steps = [f"{tag}0 AS (SELECT host, {1 - DAMPING} * {seed} AS r FROM h WHERE {seed} > 0)", f"{tag}s AS (SELECT {src} AS s, {dst} AS t, n / sum(n) OVER (PARTITION BY {src}) AS share FROM e)"]
-        for i in range(1, ROUNDS + 1):
-            steps.append(f"{tag}{i} AS (SELECT host, sum(r) AS r FROM (SELECT * FROM {tag}0 UNION ALL SELECT t, share * r * {DAMPING} FROM {tag}s JOIN {tag}{i - 1} ON host = s) GROUP BY 1)")
-        return ", ".join(steps)
+        return f"""{tag}s AS (SELECT {src} AS s, {dst} AS t, n / sum(n) OVER (PARTITION BY {src}) AS share FROM e),
+{tag}w AS (SELECT 0 AS i, host, {seed}::DOUBLE AS r FROM h WHERE {seed} > 0 UNION ALL SELECT i + 1, t, sum(share * r * {DAMPING}) FROM {tag}w JOIN {tag}s ON host = s WHERE i < {rounds} GROUP BY 1, 2),
+{tag}r AS (SELECT host, sum(r) / sum(sum(r)) OVER () * (SELECT sum({seed}) FROM h) AS r FROM {tag}w GROUP BY 1)"""
 
-    return f"""WITH p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    return f"""WITH RECURSIVE p AS (SELECT page_id, html, {host("url")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 q AS (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM p),
 h AS (SELECT host, avg((by_rule IS NOT DISTINCT FROM 'allow')::INT) AS good, avg((by_rule IS NOT DISTINCT FROM 'block')::INT) AS bad FROM q WHERE host <> '' GROUP BY 1),
 x AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)\\b(?:href|src)\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s<>]+)', 1)) AS link FROM p),
 y AS (SELECT src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link FROM x),
 e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host("link")} AS dst FROM y) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 {ranks("g", "good", "src", "dst")}, {ranks("d", "bad", "dst", "src")},
-bad AS (SELECT d.host FROM d{ROUNDS} d LEFT JOIN g{ROUNDS} g ON g.host = d.host WHERE d.r > {BLOCK_SHARE} * (d.r + coalesce(g.r, 0)))
+bad AS (SELECT d.host FROM dr d LEFT JOIN gr g ON g.host = d.host WHERE d.r > {BLOCK_SHARE} * (d.r + coalesce(g.r, 0)))
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM q"""
 
 

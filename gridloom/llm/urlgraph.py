@@ -5,6 +5,12 @@ at hosts with pages that a rule allows; distrust one on the reversed links that
 with pages that a rule blocks: who links to bad hosts is bad, who is linked from good ones is good.
 A host whose share of distrust exceeds ``BLOCK_SHARE`` is blocked where no rule decides.
 
+A host's seed is the share of its pages that rules allow or block, and a walk's ranks add up to its seeds:
+each walk is a distribution times the prior weight of its side, so that a host's share of distrust is the
+posterior of Bayes' rule. Rank that reaches a host without links returns to the seeds; that scales
+all ranks of a walk alike, and is done at the end. A walk ends when what is still on its way is less than
+``TOLERANCE`` of the seeds, however many rounds that takes.
+
 The link table has one row per pair of hosts with its number of links, so a hub costs what it links
 to, not how often. Ranks are joined as rows; sums are partially aggregated before each shuffle. All
 of it is DataFrame functions.
@@ -15,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import materialise, release
 
 #: (verdict, host, path prefix), fixed values of the rule list.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DAMPING = 0.85
-ROUNDS = 12
+#: Part of the seeds that may still be on its way when a walk ends; each round leaves DAMPING of it at most.
+TOLERANCE = 1e-6
 #: Share of distrust in a host's trust and distrust from which on it is blocked.
 BLOCK_SHARE = 0.75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,27 +69,34 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rank(links: DataFrame, hosts: DataFrame, seed: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank over (src, dst, n); ``hosts`` has ``host`` and the seed weight.
+def rank(links: DataFrame, hosts: DataFrame, seed: str, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank over (src, dst, n), summing to the seeds; ``hosts`` has ``host`` and the seed weight.
 
-    Rank that leaves a host without links is lost, like the rank of one who walks off the graph:
-    only proportions between hosts are used. ``links`` and ``hosts`` are written tables.
+    ``links`` and ``hosts`` are written tables. Ranks only grow from round to round, by what was on its way.
     """
-    out = links.groupBy("src").agg(F.sum("n").alias("out"))
-    shares = materialise(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
+    seeds = hosts.agg(F.sum(seed)).first()[0] or 0.0
     restart = hosts.select("host", ((1 - damping) * F.col(seed)).alias("base")).where("base > 0")
     ranks = restart.select("host", F.col("base").alias("rank"))
-    if shares.isEmpty():
-        return ranks
-    for _ in range(rounds):
+    total = (1 - damping) * seeds
+    if links.isEmpty() or not seeds:
+        return ranks.withColumn("rank", F.col("rank") / (1 - damping))
+    out = links.groupBy("src").agg(F.sum("n").alias("out"))
+    shares = materialise(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share")), "shares")
+    before = None
+    while True:
         sent = shares.join(ranks, shares["src"] == ranks["host"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank") * damping).alias("got"))
         both = restart.select("host", F.col("base").alias("r")).unionAll(sent.select(F.col("dst").alias("host"), F.col("got").alias("r")))
         ranks = materialise(both.groupBy("host").agg(F.sum("r").alias("rank")), "ranks")
-    return ranks
+        if before is not None:
+            release(before)
+        now = ranks.agg(F.sum("rank")).first()[0]
+        if now - total <= tolerance * seeds:
+            return ranks.withColumn("rank", F.col("rank") * F.lit(seeds / now))
+        before, total = ranks, now
 
 
 def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """(host, trust, distrust, blocked) for every host that pages or links name."""
+    """(host, trust, distrust, blocked) for every host that a walk reaches."""
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     seen = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("verdict", verdict)
     share = lambda k: F.avg((F.coalesce(F.col("verdict"), F.lit("")) == k).cast("double"))
@@ -90,7 +104,7 @@ def host_scores(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
     links = materialise(host_links(pages), "links")
     trust = rank(links, hosts, "good").select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = rank(materialise(back, "links"), hosts, "bad").select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust"))
+    distrust = rank(back, hosts, "bad").select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust"))
     both = trust.unionAll(distrust).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     return both.withColumn("blocked", F.col("distrust") > BLOCK_SHARE * (F.col("trust") + F.col("distrust")))
 
@@ -99,7 +113,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Dat
     """page_id, host, path, rule, verdict for every row.
 
     A null address, or one without ``://``, has empty host and path, fits no rule and is allowed, as
-    is a host that neither trust nor distrust reaches. Rows that repeat a page are judged each.
+    is a host that neither trust nor distrust reaches. Rows that repeat a page are judged each; other columns are not read.
     """
     scores = materialise(host_scores(pages, rules).where("blocked").select(F.col("host").alias("bad_host")), "scores")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
