@@ -7,9 +7,9 @@ documents, the pointwise mutual information of entity e and term t over the info
 
     disclosure(e, t) = log2(df(e, t) * N / (df(e) * df(t))) / log2(N / df(e)),
 
-1 if t occurs in no document without e. Evidence must outweigh the search for it: among V distinct terms,
-some meet e in all of n documents by chance unless n * log2(N / df(e)) > log2(V), so that many shared documents
-are asked for, anywhere in their texts, and two at least (one document estimates nothing). A term at or
+1 if t occurs in no document without e. Evidence must outweigh the search for it: among the V terms of two
+documents or more, some meet e in all of n documents by chance unless n * log2(N / df(e)) > log2(V), so that
+many shared documents are asked for, anywhere in their texts, and two at least (one estimates nothing). A term at or
 over ``THRESHOLD`` is generalised to its class (number, word, mixed), or removed where the class
 discloses an entity as well, at every place of every text.
 
@@ -27,8 +27,8 @@ from gridloom.llm.common import fresh, materialise, release, text_or_empty
 #: Documents that an entity and a term must share at least.
 MIN_SUPPORT = 2
 THRESHOLD = 0.9
-#: Terms that are broadcast to filter all texts' terms before these are counted; more are counted unfiltered.
-BROADCAST_TERMS = 200_000
+#: Common terms, at most, whose counts are broadcast to leave out pairs that cannot disclose.
+COMMON_TERMS = 100_000
 
 #: Kinds in the order of the report; possessive quantifiers keep long runs linear, and a look-behind
 #: starts a match only at a run's first character or where the last match ended.
@@ -99,14 +99,6 @@ TERM = r"[\p{L}\p{N}]++"
 #: Stands for the characters of base entities; a term that touches one is part of it.
 MASK = "\uffff"
 CLEAR_TERM = rf"(?<![\p{{L}}\p{{N}}{MASK}]){TERM}(?!{MASK})"
-#: Generalisations of a term, and the pattern of texts that hold one.
-CLASSES = {
-    "number": r"(?<![\p{L}\p{N}])[0-9]++(?![\p{L}\p{N}])",
-    "mixed": r"(?<![\p{L}\p{N}])(?:[0-9]++\p{L}|\p{L}++[0-9])",
-    "word": r"(?<![\p{L}\p{N}])\p{L}++(?![\p{L}\p{N}])",
-}
-
-
 def term_class(term: Column) -> Column:
     return F.when(term.rlike(r"^[0-9]+$"), "number").when(term.rlike(r"[0-9]"), "mixed").otherwise("word")
 
@@ -116,6 +108,11 @@ def terms(text: Column, pattern: str = TERM) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower))
 
 
+def with_classes(found: Column) -> Column:
+    """A text's terms and, marked by a character that no term has, the classes that they generalise to."""
+    return F.concat(found, F.array_distinct(F.transform(found, lambda t: F.concat(F.lit(MASK), term_class(t)))))
+
+
 def masked(text: Column, base: Column) -> Column:
     """The text with the characters of base entities masked; places stay."""
 
@@ -157,41 +154,45 @@ def entities(found: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, value, term, replacement): terms that disclose an entity; ``found`` is located(), written.
 
-    The replacement is the term's class in angle brackets, or empty where the class discloses too.
+    The replacement is the term's class in angle brackets, or empty where the class discloses too. Classes
+    are counted like terms, in the same pass.
     """
-    text = text_or_empty(F.col("text"))
-    pair = ["kind", "value", "term"]
+    total = float(max(docs.count(), 1))
     every = materialise(entities(found), "entities")
     entity_docs = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support)
     held = materialise(every.join(entity_docs, ["kind", "value"]), "holders")
+    counted = docs.select(F.explode(with_classes(terms(text_or_empty(F.col("text"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    term_docs = materialise(counted.where(F.col("term_docs") >= min_support), "terms")
+    is_class = F.col("term").startswith(MASK)
+
+    # Sizes by powers of two: a small table from which the cut between common and other terms is read.
+    sizes = sorted(((r["size"], r["n"]) for r in term_docs.where(~is_class).groupBy(F.length(F.bin("term_docs")).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    distinct, cut, so_far = sum(n for _, n in sizes), 1 << 62, 0
+    for size, n in sizes:
+        so_far += n
+        if so_far > COMMON_TERMS:
+            break
+        cut = 1 << (size - 1)
+    common = term_docs.where(~is_class & (F.col("term_docs") >= cut)).select("term", F.col("term_docs").alias("common_docs"))
+
     holders = found.join(held.select("pii_row").distinct(), "pii_row", "left_semi").select("pii_row", "pii_base")
-    beside = texts(docs).join(holders, "pii_row").select("pii_row", terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM).alias("terms"))
-    beside = materialise(beside, "beside").join(held, "pii_row")
-    both = beside.select("kind", "value", "entity_docs", F.explode("terms").alias("term")).groupBy(*pair).agg(F.count(F.lit(1)).alias("both"), F.first("entity_docs").alias("entity_docs"))
-    both = materialise(both.where(F.col("both") >= min_support), "pairs")
-
-    numbers = docs.agg(F.count(F.lit(1)).alias("total"), *[F.sum(text.rlike(p).cast("long")).alias(k) for k, p in CLASSES.items()]).first()
-    words = docs.select(F.explode(terms(text)).alias("term"))
-    distinct = words.agg(F.approx_count_distinct("term", 0.01)).first()[0]
-    total = float(max(numbers["total"], 1))
+    beside = texts(docs).join(holders, "pii_row").select("pii_row", with_classes(terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM)).alias("terms"))
+    beside = materialise(beside, "beside")
+    met = beside.join(held, "pii_row").select("kind", "value", "entity_docs", F.explode("terms").alias("term"))
+    # A term of more documents than this reaches the threshold with no entity of so few, even if it is in all of them.
+    most = F.pow("entity_docs", F.lit(threshold)) * total ** (1 - threshold) * (1 + 1e-9)
+    able = met.join(F.broadcast(common), "term", "left").where(F.col("common_docs").isNull() | (F.col("common_docs") <= most))
+    pair = ["kind", "value", "term"]
+    both = materialise(able.groupBy(*pair).agg(F.count(F.lit(1)).alias("both"), F.first("entity_docs").alias("entity_docs")).where(F.col("both") >= min_support), "pairs")
+
     information = F.log2(F.lit(total) / F.col("entity_docs"))
-    evident = both.where(F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))
-
-    candidates = materialise(evident.select("term").distinct(), "terms")
-    if candidates.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(candidates), "term", "left_semi")
-    term_docs = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-
-    def strength(shared: str, other: Column) -> Column:
-        mutual = F.log2(F.col(shared) * F.lit(total) / (F.col("entity_docs") * other))
-        return F.when(information > 0, mutual / information).otherwise(0.0)
-
-    strong = evident.join(term_docs, "term").where(strength("both", F.col("term_docs")) >= threshold).withColumn("class", term_class(F.col("term")))
-    of_class = F.coalesce(*[F.when(F.col("class") == k, F.lit(numbers[k] or 1)) for k in CLASSES])
-    classes = beside.select("kind", "value", F.explode(F.array_distinct(F.transform("terms", term_class))).alias("class"))
-    by_class = classes.groupBy("kind", "value", "class").agg(F.count(F.lit(1)).alias("class_both"))
-    judged = strong.join(by_class, ["kind", "value", "class"])
-    return judged.select(*pair, F.when(strength("class_both", of_class) >= threshold, "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
+    mutual = F.log2(F.col("both") * F.lit(total) / (F.col("entity_docs") * F.col("term_docs")))
+    known = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))).join(term_docs, "term")
+    strong = materialise(known.where(F.when(information > 0, mutual / information).otherwise(0.0) >= threshold).select(*pair), "strong")
+    release(every, held, beside, both, term_docs)
+    general = strong.where(is_class).select("kind", "value", F.substring("term", 2, 100).alias("class"), F.lit(True).alias("general"))
+    judged = strong.where(~is_class).withColumn("class", term_class(F.col("term"))).join(general, ["kind", "value", "class"], "left")
+    return judged.select(*pair, F.when(F.col("general"), "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
