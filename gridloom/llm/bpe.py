@@ -299,7 +299,11 @@ def decode_documents(coded: DataFrame, tokenizer: str | None = None) -> DataFram
 
 
 def digests(docs: DataFrame, tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, made where its ids are."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, made where its ids are.
+
+    Null text is empty (no ids, the hash of nothing); rows that repeat an id or are equal are a row each; an
+    empty table gives none; other columns are not read.
+    """
 
     def digest(enc: Encoder, ids: list[np.ndarray]) -> list[pa.Array]:
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()

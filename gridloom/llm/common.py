@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch may hold; texts can be long, so batches stay small.
@@ -135,6 +135,20 @@ def id_fold(doc_id, parts: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def sums_before(df: DataFrame, bucket: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each, by (bucket, order), as column ``name``.
+
+    Sums within buckets and sums of whole buckets are taken apart, so one task sees a row per bucket only.
+    """
+    inside = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    whole = df.groupBy(bucket).agg(F.sum(value).alias("_n"))
+    whole = whole.select(F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    rows = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = rows.join(whole, rows[bucket] == whole["_bucket"])
+    return joined.withColumn(name, (F.col("_inside") + F.col("_ahead")).cast("long")).drop("_inside", "_bucket", "_ahead")
+
+
 #: Nodes that a task holds while it reduces edges; what it has so far is passed on then.
 FOREST_NODES = 1_000_000
 

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import default_tokenizer, encoder, regrouped
-from gridloom.llm.common import bound_batches, materialise, text_or_empty
+from gridloom.llm.common import bound_batches, materialise, sums_before, text_or_empty
 
 CAPACITY = 1024
 #: A document's rest is cut into items of this size and one smaller, so that windows come out even.
@@ -96,7 +96,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def windows(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, fragment: int = FRAGMENT, group_items: int = GROUP_ITEMS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null text is an empty document (its end id only). Rows that repeat an id are packed apart.
+    Null text is an empty document (its end id only). Rows that repeat an id are packed apart; an empty table
+    gives no pieces; other columns are not read.
     Full pieces take the sequence ids from 0 on, the groups' windows follow, group by group.
     """
     docs_of = materialise(pieces(docs, tokenizer, capacity, fragment), "pieces")
@@ -118,13 +119,12 @@ def windows(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPAC
     dealt = items.withColumn("grp", F.pmod(F.xxhash64("row", "k"), F.lit(groups)))
     placed = materialise(dealt.groupBy("grp").applyInPandas(solve, "grp long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long"), "windows")
 
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    of_parts = docs_of.groupBy(F.col("part").cast("long").alias("at")).agg(F.sum(full).alias("n"))
-    of_groups = placed.groupBy(F.col("grp").alias("at")).agg((F.max("window") + 1).alias("n"))
-    ahead = F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("ahead")
-    first_of_part = of_parts.select(F.col("at").cast("int").alias("part"), ahead)
+    run_of = lambda c: F.floor(F.col(c) / 4096).alias("run")
+    of_parts = docs_of.groupBy("part").agg(F.sum(full).alias("n")).select("part", run_of("part"), "n")
+    of_groups = placed.groupBy("grp").agg((F.max("window") + 1).alias("n")).select("grp", run_of("grp"), "n")
+    first_of_part = sums_before(of_parts, "run", "part", "n", "ahead").select("part", "ahead")
+    first_of_group = sums_before(of_groups, "run", "grp", "n", "ahead").select("grp", "ahead")
     n_full = docs_of.agg(F.coalesce(F.sum(full), F.lit(0)).cast("long").alias("n_full"))
-    first_of_group = of_groups.select(F.col("at").alias("grp"), ahead)
 
     whole = docs_of.where(F.col("doc_tokens") >= capacity).join(first_of_part, "part")
     whole = whole.select("doc_id", "doc_tokens", "crcs", (F.col("ahead") + F.col("full_before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("k"))

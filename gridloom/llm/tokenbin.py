@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import default_tokenizer, encoder, regrouped
-from gridloom.llm.common import bound_batches, shared_dir, text_or_empty
+from gridloom.llm.common import bound_batches, sums_before, text_or_empty, work_dir
 
 MAGIC = b"PFR1"
 BLOCK = 1024
@@ -163,8 +163,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
     A shard knows its documents' places within itself; the ids before it are added from the shards'
     sizes afterwards, so payloads are decoded where they are read.
     """
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = shards.select("part", "seq", "n_ids").select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))
+    firsts = sums_before(shards.select("part", "seq", "n_ids"), "part", "seq", "n_ids", "first").select("part", "seq", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,8 +179,12 @@ def documents_of(shards: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write ``docs`` to a new folder of the shared storage and read the documents back."""
+    """Write ``docs`` to a new folder of the shared storage and read the documents back.
+
+    Null text is the end id only; null ids come first, rows that repeat an id or are equal follow in the
+    order of the scan, each a document; an empty table gives none; other columns are not read.
+    """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_shards(docs, path, tokenizer)
     return documents_of(read_shards(spark, path))
