@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
 from gridloom.functions.cells import CELL_M, canonical_bounds, parent_key, utm_owner_epsg
 from gridloom.functions.projection import let, utm_forward, utm_inverse
@@ -161,16 +161,18 @@ def zones_of(west: Column, east: Column) -> Column:
     return F.sequence(zone(west), zone(east))
 
 
-def clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
-    """Area of a polygon inside a convex one, by cutting with each of its edges."""
+def clip_ring(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
+    """The part of a polygon inside a convex one, by cutting with each of its edges."""
     if len(subject) < 3 or len(clip) < 3:
-        return 0.0
+        return np.empty((0, 2))
     turn = float(np.sum(clip[:, 0] * np.roll(clip[:, 1], -1) - np.roll(clip[:, 0], -1) * clip[:, 1]))
     clip = clip if turn > 0 else clip[::-1]
     for (ax, ay), (bx, by) in zip(clip, np.roll(clip, -1, axis=0)):
         if not len(subject):
-            return 0.0
+            break
         side = (bx - ax) * (subject[:, 1] - ay) - (by - ay) * (subject[:, 0] - ax)
+        if (side >= 0).all():
+            continue
         out = []
         for i in range(len(subject)):
             j = (i + 1) % len(subject)
@@ -179,7 +181,26 @@ def clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
             if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
                 out.append(subject[i] + (subject[j] - subject[i]) * (side[i] / (side[i] - side[j])))
         subject = np.array(out).reshape(-1, 2)
-    return abs(float(np.sum(subject[:, 0] * np.roll(subject[:, 1], -1) - np.roll(subject[:, 0], -1) * subject[:, 1]))) / 2 if len(subject) >= 3 else 0.0
+    return subject
+
+
+def clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
+    """Area of a polygon inside a convex one."""
+    part = clip_ring(subject, clip)
+    return abs(float(np.sum(part[:, 0] * np.roll(part[:, 1], -1) - np.roll(part[:, 0], -1) * part[:, 1]))) / 2 if len(part) >= 3 else 0.0
+
+
+def clipped(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The ring's part inside a box; empty where they do not meet."""
+    part = lambda k: F.transform(ring, lambda p: p[k])
+    cut = _clipped(part("x"), part("y"), F.array(*[c.cast("double") for c in (west, south, east, north)]))
+    return F.arrays_zip(cut["x"].alias("x"), cut["y"].alias("y"))
+
+
+@F.pandas_udf(StructType([StructField("x", ArrayType(DoubleType())), StructField("y", ArrayType(DoubleType()))]))
+def _clipped(xs: pd.Series, ys: pd.Series, boxes: pd.Series) -> pd.DataFrame:
+    cut = [clip_ring(np.stack([x, y], 1), np.array([(w, s), (e, s), (e, n), (w, n)])) for x, y, (w, s, e, n) in zip(xs, ys, boxes)]
+    return pd.DataFrame({"x": [c[:, 0] for c in cut], "y": [c[:, 1] for c in cut]})
 
 
 def overlap_area(subject: Column, clip: Column) -> Column:

@@ -105,20 +105,30 @@ def _q(sin_lat: Column | float):
     return (1 - E2) * (sin_lat / (1 - E2 * sin_lat * sin_lat) + F.atanh(E * sin_lat) / E)
 
 
+def equal_area_scale(parallel: float) -> float:
+    s = math.sin(math.radians(parallel))
+    return math.cos(math.radians(parallel)) / math.sqrt(1 - E2 * s * s)
+
+
 def equal_area(lon: Column, lat: Column, parallel: float = 30.0) -> Column:
     """struct(x, y): ellipsoidal cylindrical equal-area with the given standard parallel."""
-    s = math.sin(math.radians(parallel))
-    k = math.cos(math.radians(parallel)) / math.sqrt(1 - E2 * s * s)
+    k = equal_area_scale(parallel)
     return F.struct((A * k * F.radians(lon)).alias("x"), (A * _q(F.sin(F.radians(lat))) / (2 * k)).alias("y"))
 
 
+def conic_constants(first: float, second: float, lat0: float) -> tuple[float, float, float]:
+    """Cone constant, scale factor and radius of the origin's parallel."""
+    m = lambda p: math.cos(math.radians(p)) / math.sqrt(1 - E2 * math.sin(math.radians(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - math.radians(p) / 2) / ((1 - E * math.sin(math.radians(p))) / (1 + E * math.sin(math.radians(p)))) ** (E / 2)
+    n = (math.log(m(first)) - math.log(m(second))) / (math.log(t(first)) - math.log(t(second)))
+    f = m(first) / (n * t(first) ** n)
+    return n, f, A * f * t(lat0) ** n
+
+
 def conformal_conic(lon: Column, lat: Column, first: float = 25.0, second: float = 47.0, lat0: float = 0.0, lon0: float = 105.0) -> Column:
     """struct(x, y): Lambert conformal conic with two standard parallels."""
-    m = lambda p: math.cos(math.radians(p)) / math.sqrt(1 - E2 * math.sin(math.radians(p)) ** 2)
-    t0 = lambda p: math.tan(math.pi / 4 - math.radians(p) / 2) / ((1 - E * math.sin(math.radians(p))) / (1 + E * math.sin(math.radians(p)))) ** (E / 2)
-    n = (math.log(m(first)) - math.log(m(second))) / (math.log(t0(first)) - math.log(t0(second)))
-    f = m(first) / (n * t0(first) ** n)
+    n, f, origin = conic_constants(first, second, lat0)
     s = F.sin(F.radians(lat))
     t = F.tan(math.pi / 4 - F.radians(lat) / 2) / F.pow((1 - E * s) / (1 + E * s), F.lit(E / 2))
     rho, theta = A * f * F.pow(t, F.lit(n)), n * F.radians(lon - lon0)
-    return F.struct((rho * F.sin(theta)).alias("x"), (A * f * t0(lat0) ** n - rho * F.cos(theta)).alias("y"))
+    return F.struct((rho * F.sin(theta)).alias("x"), (origin - rho * F.cos(theta)).alias("y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.cells import stable_unit_hash
 from gridloom.functions.pixels import finite, month_index, z_score
+from gridloom.operators.ranking import small
 
 
 def band_statistics(values: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def band_count_conflicts(files: DataFrame) -> DataFrame:
 
 def with_statistics(observations: DataFrame, statistics: DataFrame) -> DataFrame:
     """Observations with their band's mean and std (a small dimension) and their z-score; ``problem`` names gaps."""
-    stats = F.broadcast(statistics.select("source", "band", "mean", "std"))
+    stats = small(statistics.select("source", "band", "mean", "std"))
     rows = observations.join(stats, ["source", "band"], "left")
     usable = finite(F.col("mean")) & finite(F.col("std")) & (F.col("std") > 0)
     problem = F.when(F.col("mean").isNull() & F.col("std").isNull(), "no_statistics").when(~F.coalesce(usable, F.lit(False)), "bad_statistics")
@@ -77,9 +78,11 @@ def availability(records: DataFrame) -> DataFrame:
 
 def fused(rows: DataFrame) -> DataFrame:
     """(patch_id, month, value): softmax of ``score`` over available sources; none available gives zero."""
-    weight = F.when(F.col("available"), F.exp(F.col("score"))).otherwise(0.0)
+    there = rows.where("available").groupBy("patch_id", "month").agg(F.max("score").alias("_top"))
+    both = rows.join(there, ["patch_id", "month"], "left")
+    weight = F.when(F.col("available"), F.exp(F.col("score") - F.col("_top"))).otherwise(0.0)  # at most 1, so no score overflows
     total = F.sum(weight)
-    return rows.groupBy("patch_id", "month").agg(F.when(total > 0, F.sum(weight * F.coalesce("value", F.lit(0.0))) / total).otherwise(0.0).alias("value"))
+    return both.groupBy("patch_id", "month").agg(F.when(total > 0, F.sum(weight * F.coalesce("value", F.lit(0.0))) / total).otherwise(0.0).alias("value"))
 
 
 def source_dropout(samples: DataFrame, seed: int, rate: float) -> DataFrame:

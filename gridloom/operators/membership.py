@@ -99,14 +99,31 @@ def group_counts(df: DataFrame, by: list[str | Column]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def content_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+#: Rows whose hashes one task puts in order; the number of buckets grows with the table.
+DIGEST_ROWS = 100_000
+#: Children of a node of the digest's tree.
+DIGEST_FAN = 4096
+
+
+def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (digest, n): order-free SHA-256 of a table.
 
-    Rows are hashed, the hashes sorted within ``buckets`` of their first bytes, each bucket hashed,
-    and the buckets' hashes in order hashed again: no task holds more than a bucket of hashes.
+    Rows are hashed and dealt by the first bits of the hash to as many buckets (a power of two) as there are
+    ``DIGEST_ROWS``; a bucket's hashes are put in order and hashed, and so are the buckets' hashes, a
+    fixed number at a time, up to one. No task holds more than a bucket, and equal tables have equal
+    digests however they are partitioned.
     """
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    hashes = df.select(row.alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % buckets)
-    each = hashes.groupBy("bucket").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("part"), F.count(F.lit(1)).alias("n"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "part"))), lambda x: x["part"])
-    return each.agg(F.sha2(F.concat_ws("", ordered), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    hashes = df.select(row.alias("h"))
+    total = hashes.count()
+    buckets = 1
+    while buckets * DIGEST_ROWS < total:
+        buckets *= 2
+    placed = hashes.withColumn("at", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long"))
+    level = placed.groupBy("at").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
+    while buckets > 1:
+        buckets = -(-buckets // DIGEST_FAN)
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
+        level = level.groupBy(F.floor(F.col("at") / DIGEST_FAN).alias("node")).agg(F.sha2(F.concat_ws("", parts), 256).alias("h")).withColumnRenamed("node", "at")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return level.agg(F.coalesce(F.max("h"), empty).alias("digest")).withColumn("n", F.lit(total).cast("long"))

@@ -15,7 +15,7 @@ def capacities(n: int, shards: int) -> list[int]:
 
 
 def equal_capacity(points: DataFrame, sizes: list[int], key: str = "parent_key", buckets: int | None = None) -> DataFrame:
-    """Adds ``shard_id``: each shard gets exactly its size, shards are numbered depth first.
+    """Adds ``shard_id``: each shard gets exactly its size, shards are numbered from 1, depth first.
 
     A node with several shards is cut across the longer side of its bounds at the rank that fills
     its left half of shards; bounds follow the cuts (half-way between the neighbours), only the root
@@ -54,7 +54,7 @@ def equal_capacity(points: DataFrame, sizes: list[int], key: str = "parent_key",
             after[2 * node], after[2 * node + 1] = {"first": v["first"], "last": half, "box": low}, {"first": half, "last": v["last"], "box": high}
         nodes = after
         rows = rows.withColumn("node", (F.col("node") * 2 + (F.col("cut") & ~goes_left).cast("int")).cast("int")).withColumn("tie", F.col("rank")).drop("along_x", "left_size", "cut", "axis", "rank")
-    ids = F.create_map(*[F.lit(x) for n, v in nodes.items() for x in (n, v["first"])])
+    ids = F.create_map(*[F.lit(x) for n, v in nodes.items() for x in (n, v["first"] + 1)])
     return rows.withColumn("shard_id", ids[F.col("node")].cast("int")).drop("node", "tie")
 
 

@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint, so that all that reads it sees the same rows in the same ranges.
+#: Rows of a table that is broadcast by request.
+MOST_BROADCAST = 100_000
+
+
+def small(df: DataFrame, rows: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is, so that the join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests) a temporary one.
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that was set.
+
+    A session within one process may go without and gets a temporary one; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint in the shared folder, so that all that reads it sees the same rows in the same ranges."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -35,4 +56,4 @@ def exact_rank(df: DataFrame, order: list[Column], partition: list[str] = (), na
     before = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_part", *partition).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_part", *partition, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(offsets), ["_part", *partition]).withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
+    return numbered.join(offsets, ["_part", *partition]).withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import macro_key, stable_hash, stable_unit_hash, stratum_score, stratum_tie
+from gridloom.operators.ranking import exact_rank, settled
 
 
 def with_macro(atlas: DataFrame, side: int = 10) -> DataFrame:
@@ -53,11 +55,13 @@ def fill_quotas(pool: DataFrame, base: DataFrame, quotas: dict[str, int], per_ma
 
     ``pool`` is bounded by the policy (quota times multiplier), so the walk is one group; ``base``
     rows carry patch_id, macro_id, region and strata and count towards quotas and caps. A region may
-    hold ceil(quota * share) of a stratum.
+    hold ceil(quota * share) of a stratum; a missing region is the region ``unknown``, which is skipped
+    unless allowed and then capped like any other.
     """
     columns = ["patch_id", "macro_id", "region", "stratum", "place"]
-    wanted = pool.select(*columns, F.lit(False).alias("in_base"))
-    covered = base.select("patch_id", "macro_id", "region", F.explode("strata").alias("stratum")).where(F.col("stratum").isin(list(quotas)))
+    named = F.coalesce("region", F.lit("unknown")).alias("region")
+    wanted = pool.select("patch_id", "macro_id", named, "stratum", "place", F.lit(False).alias("in_base"))
+    covered = base.select("patch_id", "macro_id", named, F.explode("strata").alias("stratum")).where(F.col("stratum").isin(list(quotas)))
     counts = covered.groupBy("stratum", "region").agg(F.count(F.lit(1)).cast("int").alias("place")).select(F.lit(None).cast(pool.schema["patch_id"].dataType).alias("patch_id"), F.lit(None).cast("string").alias("macro_id"), "region", "stratum", "place", F.lit(True).alias("in_base"))
     chosen_before = base.count()
     everything = wanted.join(base.select("patch_id"), "patch_id", "left_anti").select(*columns, "in_base").unionByName(counts)
@@ -73,8 +77,8 @@ def fill_quotas(pool: DataFrame, base: DataFrame, quotas: dict[str, int], per_ma
             for r in own[~own["in_base"]].sort_values("place").itertuples(index=False):
                 if have >= quota or total >= max_total:
                     break
-                known = isinstance(r.region, str) and r.region != ""
-                if r.patch_id in taken or macros.get(r.macro_id, 0) >= per_macro or not known and not allow_unknown or known and regions.get(r.region, 0) >= cap:
+                full = macros.get(r.macro_id, 0) >= per_macro or regions.get(r.region, 0) >= cap
+                if r.patch_id in taken or full or r.region == "unknown" and not allow_unknown:
                     continue
                 taken.add(r.patch_id)
                 macros[r.macro_id] = macros.get(r.macro_id, 0) + 1
@@ -128,57 +132,132 @@ def sqrt_allocation(groups: DataFrame, name: str, count: str, total: int) -> Dat
     return rows.withColumn("quota", (F.col("_whole") + (place <= rest).cast("long")).cast("long")).drop("_exact", "_whole")
 
 
-def replacements(candidates: DataFrame, seed: int, layer: str, count: int, existing: DataFrame | None = None) -> DataFrame:
+def cell_of_each(candidates: DataFrame, placed: DataFrame, seed: Column) -> DataFrame:
+    """(macro_id, ordinal, parent_key): of each placed macrocell the cell of least hash under its own seed."""
+    text = F.concat(F.lit("candidate-cell:"), F.col("macro_id"), F.lit(":"), F.col("local_col").cast("string"), F.lit(":"), F.col("local_row").cast("string"))
+    ranked = candidates.join(placed, "macro_id").withColumn("_h", stable_hash(seed.cast("string"), text))
+    return ranked.groupBy("macro_id", "ordinal").agg(F.min_by("parent_key", F.struct("_h", "parent_key")).alias("parent_key"))
+
+
+def replacements(candidates: DataFrame, seed: int, layer: str, count: int, existing: DataFrame | None = None, label: str | None = None, first: int = 0, accept: Callable[[DataFrame], DataFrame] | Column | None = None) -> DataFrame:
     """``count`` cells, one per macrocell: macrocells by hash, in each the cell of least hash.
 
     ``candidates`` (macro_id, local_col, local_row, parent_key) have passed all predicates, so a
-    macrocell succeeds whatever its place; its cell order depends on how many came before it.
+    macrocell succeeds whatever its place; its cell order depends on how many came before it, ``first``
+    of them in an earlier call. Macrocells are hashed under ``label``, usually ``<layer>:macro:``. ``accept``
+    is a caller's predicate, a column or a function of the whole table.
     """
     rows = candidates if existing is None else candidates.join(existing.select("parent_key"), "parent_key", "left_anti")
-    macros = rows.select("macro_id").distinct()
-    first = stable_hash(seed, F.concat(F.lit(f"{layer}:macro:"), F.col("macro_id")))
-    chosen = macros.withColumn("_h", first).orderBy("_h", "macro_id").limit(count)
-    placed = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy("_h", "macro_id")) - 1).drop("_h")  # count rows at most
-    cell = F.concat(F.lit("candidate-cell:"), F.col("macro_id"), F.lit(":"), F.col("local_col").cast("string"), F.lit(":"), F.col("local_row").cast("string"))
-    ranked = rows.join(placed, "macro_id").withColumn("_h", stable_hash((F.lit(seed) + F.col("ordinal")).cast("string"), cell))
-    picked = ranked.groupBy("macro_id", "ordinal").agg(F.min_by("parent_key", F.struct("_h", "parent_key")).alias("parent_key"))
-    return picked
-
-
-def with_fallback(strict: DataFrame, near: DataFrame, seed: int, count: int) -> DataFrame:
-    """Strict coastal cells, the shortfall from near ones, with a status text."""
-    first = replacements(strict, seed, "coastal", count).withColumn("status", F.lit("strict"))
-    short = max(0, count - first.count())
+    rows = rows if accept is None else rows.where(accept) if isinstance(accept, Column) else accept(rows)
+    by = stable_hash(seed, F.concat(F.lit(f"{layer}:macro:" if label is None else label), F.col("macro_id")))
+    chosen = rows.select("macro_id").distinct().withColumn("_h", by).orderBy("_h", "macro_id").limit(count)
+    placed = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy("_h", "macro_id")) - 1 + first).drop("_h")  # count rows at most
+    return cell_of_each(rows, placed, F.lit(seed) + F.col("ordinal"))
+
+
+def complete(chosen: DataFrame, count: int, what: str) -> DataFrame:
+    """``chosen`` itself; an error if it has not ``count`` rows."""
+    if (n := chosen.count()) != count:
+        raise ValueError(f"{n} {what} of {count}")
+    return chosen
+
+
+#: Status texts of coastal cells, fixed values.
+COAST_STATUS = ("verified_boundary_crossing_ocean", "near_coast_pending")
+
+
+def with_fallback(strict: DataFrame, near: DataFrame, seed: int, count: int, existing: DataFrame | None = None) -> DataFrame:
+    """Strict coastal cells, the shortfall from near ones in other macrocells, with a status text; fewer than ``count`` are an error."""
+    first = settled(replacements(strict, seed, "coastal", count, existing).withColumn("status", F.lit(COAST_STATUS[0])))
+    have = first.count()
+    if have == count:
+        return first
     rest = near.join(first.select("macro_id"), "macro_id", "left_anti")
-    return first.unionByName(replacements(rest, seed, "near-coast-fallback", short).withColumn("status", F.lit("near_coast_fallback"))) if short else first
+    more = replacements(rest, seed, "coastal", count - have, existing, "near-coast-fallback:", have)
+    return complete(settled(first.unionByName(more.withColumn("status", F.lit(COAST_STATUS[1])))), count, "coastal cells")
+
+
+#: The layer of spatially balanced cells, fixed value.
+BALANCED = "utm_spatial_balance_supplement"
 
 
-def spatially_balanced(candidates: DataFrame, seed: int, total: int) -> DataFrame:
-    """Square-root quotas per grid, then replacements per grid in parallel: (grid_id, macro_id, parent_key)."""
+def spatially_balanced(candidates: DataFrame, seed: int, total: int, existing: DataFrame | None = None, forbidden: DataFrame | None = None) -> DataFrame:
+    """Square-root quotas per grid, then replacements per grid in parallel: (grid_id, macro_id, ordinal, parent_key).
+
+    Quotas count all candidates of a grid; ``existing`` cells and ``forbidden`` macrocells are not chosen. A
+    grid's seed is ``seed`` plus its zone.
+    """
     per_grid = candidates.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
     quotas = sqrt_allocation(per_grid, "grid_id", "n", total).select("grid_id", "quota")
-    macros = candidates.select("grid_id", "macro_id").distinct().withColumn("_h", stable_hash(seed, F.concat(F.lit("spatial:macro:"), F.col("macro_id"))))
+    rows = candidates if existing is None else candidates.join(existing.select("parent_key"), "parent_key", "left_anti")
+    rows = rows if forbidden is None else rows.join(forbidden.select("macro_id"), "macro_id", "left_anti")
+    own = F.lit(seed) + F.regexp_extract("grid_id", "([0-9]+)", 1).cast("int")
+    macros = rows.select("grid_id", "macro_id").distinct().withColumn("seed", own)
+    macros = macros.withColumn("_h", stable_hash(F.col("seed").cast("string"), F.concat(F.lit(f"{BALANCED}:macro:"), F.col("macro_id"))))
     place = F.row_number().over(Window.partitionBy("grid_id").orderBy("_h", "macro_id"))
-    chosen = macros.withColumn("ordinal", place - 1).join(quotas, "grid_id").where("ordinal < quota").select("grid_id", "macro_id", "ordinal")
-    cell = F.concat(F.lit("candidate-cell:"), F.col("macro_id"), F.lit(":"), F.col("local_col").cast("string"), F.lit(":"), F.col("local_row").cast("string"))
-    ranked = candidates.join(chosen, ["grid_id", "macro_id"]).withColumn("_h", stable_hash((F.lit(seed) + F.col("ordinal")).cast("string"), cell))
-    return ranked.groupBy("grid_id", "macro_id").agg(F.min_by("parent_key", F.struct("_h", "parent_key")).alias("parent_key"))
-
-
-#: Layer of a sampling tier and its priority when cells overlap; fixed values.
-LAYERS = {"base_spatial": "base_expected_1pct", "coastal": "coastal_supplement", "spatial": "spatial_supplement", "semantic": "semantic_supplement"}
-PRIORITY = {"base_expected_1pct": 0, "coastal_supplement": 1, "spatial_supplement": 2, "semantic_supplement": 3}
+    chosen = macros.withColumn("ordinal", place - 1).join(quotas, "grid_id").where("ordinal < quota").select("grid_id", "macro_id", "ordinal", "seed")
+    cells = cell_of_each(rows, chosen.select("macro_id", "ordinal", "seed"), F.col("seed") + F.col("ordinal"))
+    return cells.join(chosen.select("grid_id", "macro_id"), "macro_id").select("grid_id", "macro_id", "ordinal", "parent_key")
+
+
+#: Layer of a sampling tier, and which layer's cell goes first when two overlap (the highest number); fixed values.
+LAYERS = {
+    "base_spatial": "base_expected_1pct",
+    "spatial_stratified_supplement": "utm_spatial_balance_supplement",
+    "spatial_stratified_supplement_fallback": "utm_spatial_balance_supplement",
+    "coastal_ocean_adjacent_supplement": "coastal_supplement",
+    "semantic_audit_reserve": "semantic_and_difficult_supplement",
+}
+PRIORITY = {"base_expected_1pct": 0, "utm_spatial_balance_supplement": 1, "coastal_supplement": 2, "semantic_and_difficult_supplement": 3}
+NO_PRIORITY = 99
+#: What a normalised record has where it says nothing itself; fixed values.
+DEFAULTS = {
+    "sampling_design_type": "fixed_size_design_candidate",
+    "ecoregion": "pending",
+    "semantic_verification_status": "not_applicable",
+}
+STATES = {
+    "registry_status": "design_candidate_not_quality_eligible",
+    "source_coverage_by_quarter": "pending",
+    "quality_summary_by_quarter": "pending",
+    "split": "unassigned",
+}
+
+
+def layer_of(tier: Column) -> Column:
+    tiers = F.create_map(*[F.lit(x) for kv in LAYERS.items() for x in kv])
+    return F.coalesce(F.try_element_at(tiers, tier), F.lit("unknown"))
 
 
-def normalised_registry(records: DataFrame) -> DataFrame:
-    """Layer of the tier, the base layer's inclusion probability, rounded coordinates and identity hash."""
-    from gridloom.functions.cells import identity_hash
+def normalised_registry(records: DataFrame, version: str = "1") -> DataFrame:
+    """Records with a layer, the base layer's inclusion probability, hashes, rounded bounds and defaults.
 
-    tiers = F.create_map(*[F.lit(x) for kv in LAYERS.items() for x in kv])
-    layer = F.coalesce(F.try_element_at(tiers, F.col("sampling_tier")), F.col("sampling_tier"))
-    probability = F.when(layer == LAYERS["base_spatial"], F.lit(0.01))
-    rounded = {c: F.bround(c, 8) for c in ("longitude", "latitude") if c in records.columns}
-    return records.withColumns({"layer": layer, "inclusion_probability": probability, "identity_hash": identity_hash(F.col("grid_epsg"), F.col("grid_col"), F.col("grid_row"), "registry"), **rounded})
+    ``records``: grid_epsg, grid_col, grid_row, sampling_tier and any of the defaulted columns. Bounds are rounded
+    to 3 decimals in metres and 8 in degrees.
+    """
+    from gridloom.functions.cells import canonical_bounds, identity_hash
+    from gridloom.functions.geometry import footprint, footprint_hash, ring_bounds
+
+    have = set(records.columns)
+    tier = F.col("sampling_tier")
+    layer = F.coalesce(F.col("layer"), layer_of(tier)) if "layer" in have else layer_of(tier)
+    own = lambda c, default: F.coalesce(F.col(c), default) if c in have else default
+    named = F.coalesce(tier, F.lit("unknown"))
+    bounds = canonical_bounds(F.col("grid_col"), F.col("grid_row"))
+    ring = footprint(F.col("grid_epsg"), bounds)
+    return records.withColumn("_ring", ring).withColumns({
+        "layer": layer,
+        "registry_version": F.lit(version),
+        "sampling_primary_reason": own("sampling_primary_reason", named),
+        "sampling_reasons": own("sampling_reasons", F.array(named)),
+        "inclusion_probability": F.when(layer == LAYERS["base_spatial"], F.lit(0.01)),
+        "identity_hash": identity_hash(F.col("grid_epsg"), F.col("grid_col"), F.col("grid_row"), "registry"),
+        "footprint_hash": footprint_hash(F.col("_ring")),
+        "utm_bounds": F.transform(bounds, lambda x: F.bround(x.cast("double"), 3)),
+        "wgs84_bounds": F.transform(ring_bounds(F.col("_ring")), lambda x: F.bround(x, 8)),
+        **{k: own(k, F.lit(v)) for k, v in DEFAULTS.items()},
+        **{k: F.lit(v) for k, v in STATES.items()},
+    }).drop("_ring")
 
 
 def layered(layers: dict[str, DataFrame]) -> DataFrame:
@@ -205,8 +284,8 @@ def merged_policy(policy: DataFrame, overrides: dict[str, int]) -> DataFrame:
 
 
 def every_nth(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """Rows 1, n + 1, 2n + 1, ... of each group."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where((F.col("_i") - 1) % n == 0).drop("_i")
+    """Rows 1, n + 1, 2n + 1, ... of each group; a group of any size is ranked by ranges, not in one task."""
+    return exact_rank(df, order, group, "_i").where(F.col("_i") % n == 0).drop("_i")
 
 
 def few_shot(patches: DataFrame, fold: int, seed: int, shots: int) -> DataFrame:
@@ -217,11 +296,17 @@ def few_shot(patches: DataFrame, fold: int, seed: int, shots: int) -> DataFrame:
     return ranked.where(F.col("place") <= shots)
 
 
+#: Regions that are broadcast for a range join; more are an error, since a range join cannot be shuffled.
+MOST_REGIONS = 100_000
+
+
 def weighted_draw(regions: DataFrame, steps: DataFrame, seed: int) -> DataFrame:
     """(step, region, index): a region per step by cumulative weight, then a row of it, both from hashes.
 
-    ``regions`` (region, weight, size) is a small dimension table; the range join is broadcast.
+    ``regions`` (region, weight, size) is a dimension table of at most ``MOST_REGIONS`` rows, which is checked.
     """
+    if regions.limit(MOST_REGIONS + 1).count() > MOST_REGIONS:
+        raise ValueError("too many regions to draw from")
     upto = F.sum("weight").over(Window.orderBy("region").rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("weight").over(Window.partitionBy())
     ranges = regions.select("region", "size", ((upto - F.col("weight")) / total).alias("low"), (upto / total).alias("high"))
@@ -232,5 +317,5 @@ def weighted_draw(regions: DataFrame, steps: DataFrame, seed: int) -> DataFrame:
 
 
 def region_batches(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:
-    """Adds ``batch``: runs of ``size`` rows of one region."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("region").orderBy(*order)) - 1) / size).cast("long"))
+    """Adds ``batch``: runs of ``size`` rows of one region; a region of any size is ranked by ranges."""
+    return exact_rank(rows, order, ["region"], "_i").withColumn("batch", F.floor(F.col("_i") / size).cast("long")).drop("_i")

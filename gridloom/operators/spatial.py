@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import CELL_M, boxes_intersect, canonical_bounds, parent_key, utm_owner_epsg
-from gridloom.functions.geometry import footprint, overlap_area, ring_area, ring_bounds, segment_distance
-from gridloom.functions.projection import equal_area, utm_inverse
+from gridloom.functions.geometry import clipped, corners, densified, footprint, overlap_area, ring_area, ring_bounds, segment_distance, zones_of
+from gridloom.functions.projection import equal_area, utm_forward, utm_inverse
 
 
 def edges_of(polygons: DataFrame) -> DataFrame:
@@ -114,19 +114,20 @@ def largest_overlap(cells: DataFrame, parts: DataFrame, size: float = 1.0, defau
     return cells.select("id").join(best, "id", "left").withColumn("name", F.coalesce("name", F.lit(default)))
 
 
-def covered_share(cells: DataFrame, parts: DataFrame, size: float = 1.0) -> DataFrame:
-    """(id, share): part of each cell's area that the polygons cover (parts do not overlap)."""
+def covered_share(cells: DataFrame, parts: DataFrame, size: float = 1.0, equal: bool = False) -> DataFrame:
+    """(id, share): part of each cell's area that the polygons cover (parts do not overlap), ``equal``: on the equal-area plane."""
+    flat = lambda c: F.transform(c, lambda p: equal_area(p["x"], p["y"])) if equal else F.col(c)
     c = cells.select("id", F.col("ring").alias("clip"), F.explode(buckets(ring_bounds(F.col("ring")), size)).alias("b"))
     p = parts.select("name", "place", "ring", F.explode(buckets(ring_bounds(F.col("ring")), size)).alias("b"))
     pairs = c.join(p, "b").dropDuplicates(["id", "name", "place"])
-    areas = pairs.withColumn("area", overlap_area(F.col("ring"), F.col("clip"))).groupBy("id").agg(F.sum("area").alias("area"))
-    whole = cells.select("id", ring_area(F.col("ring")).alias("full"))
+    areas = pairs.withColumn("area", overlap_area(flat("ring"), flat("clip"))).groupBy("id").agg(F.sum("area").alias("area"))
+    whole = cells.select("id", ring_area(flat("ring")).alias("full"))
     return whole.join(areas, "id", "left").select("id", (F.coalesce("area", F.lit(0.0)) / F.col("full")).alias("share"))
 
 
 def coastal(cells: DataFrame, ocean: DataFrame, land: DataFrame, least: float = 0.001) -> DataFrame:
-    """Cells that meet the ocean and of whose area land and the rest are ``least`` each at least."""
-    share = covered_share(cells, land).join(covered_share(cells, ocean).withColumnRenamed("share", "sea"), "id")
+    """Cells (id, ring) that meet the ocean and of whose area land and the rest are ``least`` each at least."""
+    share = covered_share(cells, land, equal=True).join(covered_share(cells, ocean, equal=True).withColumnRenamed("share", "sea"), "id")
     return share.where((F.col("sea") > 0) & (F.col("share") >= least) & (1 - F.col("share") >= least)).select("id")
 
 
@@ -141,21 +142,38 @@ def near_outline(points: DataFrame, polygons: DataFrame, distance: float = 0.035
 
 
 def near_coast(points: DataFrame, ocean: DataFrame, boundary: DataFrame, distance: float = 0.035) -> DataFrame:
-    return near_outline(points, ocean, distance).select("point_id").join(near_outline(points, boundary, distance).select("point_id"), "point_id")
+    """(point_id): points within ``distance`` of the ocean, where one inside has distance 0, and of the boundary's outline."""
+    by_sea = near_outline(points, ocean, distance).select("point_id").unionByName(covered(points, ocean).select("point_id")).distinct()
+    return by_sea.join(near_outline(points, boundary, distance).select("point_id"), "point_id")
 
 
-def macro_inventory(extents: DataFrame, parts: DataFrame, side_m: int = 12_800) -> DataFrame:
-    """(grid_epsg, macro_col, macro_row, land_fraction, estimated_patch_count) of macrocells with land.
+def macro_inventory(parts: DataFrame, side_m: int = 12_800, step: float = 0.01) -> DataFrame:
+    """(grid_epsg, macro_col, macro_row, land_fraction, estimated_patch_count, admin1) of macrocells with land.
 
-    ``extents``: grid_epsg, left, bottom, right, top in metres of the zone; ``parts``: name, place and
-    ring in degrees.
+    ``parts``: name, place and ring in degrees, without overlaps. A part is cut to the strip of each zone that
+    it touches, its edges are divided (a meridian is curved on the plane), and it is projected; what is
+    left is cut into columns of macrocells, then into cells. ``admin1`` is the name with the largest area.
     """
-    at = lambda c: F.floor(F.col(c) / side_m)
-    rows = extents.withColumn("macro_col", F.explode(F.sequence(at("left"), at("right")))).withColumn("macro_row", F.explode(F.sequence(at("bottom"), at("top"))))
-    ring = footprint(F.col("grid_epsg"), canonical_bounds(F.col("macro_col"), F.col("macro_row"), side_m))
-    cells = rows.select("grid_epsg", "macro_col", "macro_row", F.concat_ws(":", "grid_epsg", "macro_col", "macro_row").alias("id"), ring.alias("ring"))
-    share = covered_share(cells, parts).where("share > 0")
-    return cells.join(share, "id").select("grid_epsg", "macro_col", "macro_row", F.col("share").alias("land_fraction"), (F.col("share") * 100).alias("estimated_patch_count"))
+    box = ring_bounds(F.col("ring"))
+    rows = parts.withColumn("box", box).withColumn("zone", F.explode(zones_of(F.get("box", F.lit(0)), F.get("box", F.lit(2)))))
+    west = F.col("zone") * 6.0 - 186.0
+    strip = clipped(F.col("ring"), west, F.get("box", F.lit(1)) - 0.01, west + 6, F.get("box", F.lit(3)) + 0.01)
+    rows = rows.select("name", "place", (F.lit(32600) + F.col("zone")).cast("int").alias("grid_epsg"), strip.alias("ring")).where(F.size("ring") >= 3)
+    metres = F.transform(densified(F.col("ring"), step), lambda p: utm_forward(p["x"], p["y"], F.col("grid_epsg")))
+    rows = rows.withColumn("ring", metres).withColumn("box", ring_bounds(F.col("ring")))
+    at = lambda i: F.floor(F.get("box", F.lit(i)) / side_m).cast("int")
+    columns = rows.withColumn("macro_col", F.explode(F.sequence(at(0), at(2))))
+    left = F.col("macro_col") * side_m
+    column = clipped(F.col("ring"), left, F.get("box", F.lit(1)) - 1, left + side_m, F.get("box", F.lit(3)) + 1)
+    columns = columns.withColumn("ring", column).where(F.size("ring") >= 3).withColumn("box", ring_bounds(F.col("ring")))
+    cells = columns.withColumn("macro_row", F.explode(F.sequence(at(1), at(3))))
+    square = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners(canonical_bounds(F.col("macro_col"), F.col("macro_row"), side_m))])
+    cells = cells.withColumn("area", overlap_area(F.col("ring"), square)).where("area > 0")
+    named = cells.groupBy("grid_epsg", "macro_col", "macro_row", "name").agg(F.sum("area").alias("area"), F.min("place").alias("place"))
+    share = F.sum("area") / float(side_m) ** 2
+    best = F.min_by("name", F.struct(-F.col("area"), F.col("place")))
+    found = named.groupBy("grid_epsg", "macro_col", "macro_row").agg(F.round(share, 6).alias("land_fraction"), F.round(share * 100, 3).alias("estimated_patch_count"), best.alias("admin1"))
+    return found.where("land_fraction > 0")
 
 
 def inventory_summary(macros: DataFrame) -> DataFrame:

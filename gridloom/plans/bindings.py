@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import grid_id, parent_key
+from gridloom.functions.projection import ALPHA, BETA, DELTA, K0, RECTIFYING, E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,6 +100,37 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 BOXES = "(SELECT n_name AS name, 73 + (n_nationkey % 5) * 12.0::DOUBLE AS x0, 18 + (n_nationkey // 5) * 7.0::DOUBLE AS y0 FROM nation)"
 
 
+def shores(spark: SparkSession, sf: str, sea: bool = False) -> DataFrame:
+    """Five strips of land, or of sea east of each, six degrees wide; their edges are central meridians."""
+    k = F.col("n_nationkey")
+    west = 75.0 + k * 12.0 + (6.0 if sea else 0.0)
+    ring = F.array(*[F.struct(x.cast("double").alias("x"), F.lit(y).alias("y")) for x, y in ((west, 18.0), (west + 6, 18.0), (west + 6, 53.0), (west, 53.0))])
+    rows = table(spark, sf, "nation").where(k < 5)
+    return rows.select(F.concat(F.lit("sea" if sea else "land"), k.cast("string")).alias("name"), k.cast("int").alias("place"), ring.alias("ring"))
+
+
+def degrees_sql(source: str, x: str, y: str, epsg: str) -> str:
+    """DuckDB subquery of ``source`` with ``lon`` and ``lat`` of metres in a northern UTM zone (Krueger's series)."""
+    terms = lambda c, f, g: " + ".join(f"{v!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, v in enumerate(c, 1))
+    scale = repr(K0 * RECTIFYING)
+    a = f"SELECT *, ({y}) / {scale}::DOUBLE AS xi, (({x}) - 500000.0::DOUBLE) / {scale}::DOUBLE AS eta FROM {source}"
+    b = f"SELECT * EXCLUDE (xi, eta), xi - ({terms(BETA, 'sin', 'cosh')}) AS p, eta - ({terms(BETA, 'cos', 'sinh')}) AS q FROM ({a})"
+    c = f"SELECT * EXCLUDE (p, q), (({epsg}) % 100) * 6.0::DOUBLE - 183 + degrees(atan2(sinh(q), cos(p))) AS lon, asin(sin(p) / cosh(q)) AS chi FROM ({b})"
+    lat = " + ".join(f"{v!r} * sin({2 * j} * chi)" for j, v in enumerate(DELTA, 1))
+    return f"(SELECT * EXCLUDE (chi), degrees(chi + {lat}) AS lat FROM ({c}))"
+
+
+def metres_sql(source: str, lon: str, lat: str, epsg: str) -> str:
+    """DuckDB subquery of ``source`` with ``mx`` and ``my``, metres in a northern UTM zone."""
+    e = repr(E)
+    a = f"SELECT *, radians(({lon}) - ((({epsg}) % 100) * 6 - 183)) AS lam, tan(radians({lat})) AS t FROM {source}"
+    b = f"SELECT * EXCLUDE (t), t * sqrt(1 + s * s) - s * sqrt(1 + t * t) AS t FROM (SELECT *, sinh({e} * atanh({e} * t / sqrt(1 + t * t))) AS s FROM ({a}))"
+    c = f"SELECT * EXCLUDE (lam, t, s), atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM ({b})"
+    terms = lambda f, g: " + ".join(f"{v!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, v in enumerate(ALPHA, 1))
+    scale = repr(K0 * RECTIFYING)
+    return f"(SELECT * EXCLUDE (xi, eta), 500000 + {scale} * (eta + {terms('cos', 'sinh')}) AS mx, {scale} * (xi + {terms('sin', 'cosh')}) AS my FROM ({c}))"
+
+
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as pixel observations: 40 patches, monthly, seven bands, scenes in a fixed order."""
     l = table(spark, sf, "lineitem")  # noqa: E741

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import canonical_bounds, snapped_extent, stable_hash, window_offset
-from gridloom.operators import partition, sampling, spatial
+from gridloom.functions.cells import CELL_M, canonical_bounds, grid_id, snapped_extent, stable_hash, window_offset
+from gridloom.functions.geometry import footprint, snap_to_owner
+from gridloom.functions.projection import utm_inverse
+from gridloom.operators import partition, registry, sampling, spatial
 from gridloom.operators.evaluation import positive_patches
 from gridloom.operators.membership import group_counts
-from gridloom.plans.bindings import ATLAS, CELLS, LATTICE, VECTORS, atlas, cells, lattice, query, table, unit, vectors
+from gridloom.plans.bindings import ATLAS, CELLS, LATTICE, VECTORS, atlas, boxes, cells, degrees_sql, lattice, points, query, shores, table, unit, vectors
 from gridloom.sources.records import grid_extent
 from gridloom.sources.sinks import feature_collection
 
@@ -41,7 +43,37 @@ def base_rows(spark, sf):
 
 
 def candidates(spark, sf):
-    return atlas(spark, sf).where("eligible").select("grid_id", macro_id().alias("macro_id"), (F.col("grid_col") % 10).alias("local_col"), (F.col("grid_row") % 10).alias("local_row"), "parent_key")
+    name = registry.macro_name(F.col("grid_id"), F.col("grid_col"), F.col("grid_row"))
+    return atlas(spark, sf).where("eligible").select("grid_id", name.alias("macro_id"), (F.col("grid_col") % 10).alias("local_col"), (F.col("grid_row") % 10).alias("local_row"), "parent_key")
+
+
+def centred(spark, sf):
+    """Candidates with zone, column, row and the centre in degrees."""
+    key = F.split("parent_key", ":")
+    rows = candidates(spark, sf).withColumns({n: F.get(key, F.lit(i)).cast("int") for i, n in enumerate(("grid_epsg", "grid_col", "grid_row"))})
+    centre = utm_inverse((F.col("grid_col") + 0.5) * CELL_M, (F.col("grid_row") + 0.5) * CELL_M, F.col("grid_epsg"))
+    return rows.withColumn("c", centre).withColumn("longitude", F.round("c.lon", 7)).withColumn("latitude", F.round("c.lat", 7)).drop("c")
+
+
+def coasts(spark, sf):
+    """(strict, near): candidates that cross the coast, and those whose centre is near it."""
+    rows = centred(spark, sf)
+    ring = footprint(F.col("grid_epsg"), canonical_bounds(F.col("grid_col"), F.col("grid_row")))
+    crossing = spatial.coastal(rows.select(F.col("parent_key").alias("id"), ring.alias("ring")), shores(spark, sf, True), shores(spark, sf))
+    close = spatial.near_coast(rows.select(F.col("parent_key").alias("point_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y")), shores(spark, sf, True), shores(spark, sf))
+    strict, near = (rows.join(k.withColumnRenamed(c, "parent_key"), "parent_key", "left_semi") for k, c in ((crossing, "id"), (close, "point_id")))
+    return strict, near
+
+
+CANDIDATES = f"(SELECT grid_id, grid_epsg, grid_col, grid_row, grid_id || '_c' || macro_col || '_r' || macro_row AS macro_id, grid_col % 10 AS local_col, grid_row % 10 AS local_row, parent_key FROM {ATLAS} WHERE eligible)"
+CELL = "':candidate-cell:' || macro_id || ':' || local_col || ':' || local_row"
+
+
+def drawn(source: str, seed: int, label: str, count: int | str, first: int | str = 0) -> str:
+    """DuckDB subquery (macro_id, ordinal, parent_key) of ``count`` replacements from ``source``."""
+    macros = f"(SELECT macro_id, row_number() OVER (ORDER BY sha256('{seed}:{label}' || macro_id), macro_id) - 1 AS i FROM (SELECT DISTINCT macro_id FROM {source}))"
+    return f"""(SELECT macro_id, CAST(ordinal AS INT) AS ordinal, parent_key FROM (SELECT m.macro_id, m.i + {first} AS ordinal, parent_key, row_number() OVER (PARTITION BY macro_id ORDER BY sha256(({seed} + m.i + {first}) || {CELL}), parent_key) AS rn
+  FROM {source} JOIN {macros} m USING (macro_id) WHERE m.i < {count}) WHERE rn = 1)"""
 
 
 @query(f"SELECT * FROM {WINNERS}")
@@ -91,18 +123,39 @@ def win08_overlap_loser(spark, sf):
     return table(spark, sf, "part").select("p_partkey", sampling.overlap_loser(side("left", "p_name", 3), side("right", "p_brand", 4)).alias("gone"))
 
 
-@query(f"""WITH c AS (SELECT DISTINCT grid_id || ':' || macro_row || ':' || macro_col AS macro_id FROM {ATLAS} WHERE eligible),
-  m AS (SELECT macro_id, CAST(row_number() OVER (ORDER BY sha256('9:coastal:macro:' || macro_id), macro_id) - 1 AS INT) AS ordinal FROM c QUALIFY ordinal < 50)
-  SELECT macro_id, ordinal, parent_key FROM (SELECT m.macro_id, ordinal, parent_key, row_number() OVER (PARTITION BY m.macro_id ORDER BY sha256((9 + ordinal) || ':candidate-cell:' || m.macro_id || ':' || (grid_col % 10) || ':' || (grid_row % 10)), parent_key) AS rn
-  FROM {ATLAS} a JOIN m ON m.macro_id = grid_id || ':' || macro_row || ':' || macro_col WHERE eligible) WHERE rn = 1""")
+@query(f"SELECT * FROM {drawn(CANDIDATES, 9, 'coastal:macro:', 50)}")
 def win09_replacements(spark, sf):
     return sampling.replacements(candidates(spark, sf), 9, "coastal", 50).select("macro_id", "ordinal", "parent_key")
 
 
-@query()
+#: Zones whose central meridian parts land and sea of ``shores``; the strip's edge lies in column 390.
+STRICT = f"(SELECT * FROM {CANDIDATES} WHERE grid_col = 390 AND grid_epsg BETWEEN 32644 AND 32652)"
+NEAR = f"(SELECT * FROM {degrees_sql(CANDIDATES, '(grid_col + 0.5::DOUBLE) * 1280', '(grid_row + 0.5::DOUBLE) * 1280', 'grid_epsg')} WHERE abs(round(lon, 7) - (grid_epsg % 100 * 6 - 183)) <= 0.035 AND grid_epsg BETWEEN 32644 AND 32652)"
+
+
+def coastal_count(spark, sf):
+    """Every macrocell with a strict cell and half of those that are only near."""
+    strict, near = coasts(spark, sf)
+    n = strict.select("macro_id").distinct().count()
+    return strict, near, n + near.join(strict, "macro_id", "left_anti").select("macro_id").distinct().count() // 2
+
+
+@query(f"""WITH s AS (SELECT count(DISTINCT macro_id) AS n FROM {STRICT}), rest AS (SELECT * FROM {NEAR} WHERE macro_id NOT IN (SELECT macro_id FROM {STRICT})), k AS (SELECT count(DISTINCT macro_id) // 2 AS n FROM rest)
+  SELECT macro_id, parent_key, 'verified_boundary_crossing_ocean' AS status FROM {drawn(STRICT, 9, 'coastal:macro:', '(SELECT n FROM s)')} UNION ALL
+  SELECT macro_id, parent_key, 'near_coast_pending' FROM {drawn('rest', 9, 'near-coast-fallback:', '(SELECT n FROM k)', '(SELECT n FROM s)')}""")
 def win10_coastal_fallback(spark, sf):
-    c = candidates(spark, sf)
-    return sampling.with_fallback(c.where("local_col = 0 and local_row = 0"), c.where("local_col < 2"), 9, 200).select("macro_id", "parent_key", "status")
+    strict, near, n = coastal_count(spark, sf)
+    return sampling.with_fallback(strict, near, 9, n).select("macro_id", "parent_key", "status")
+
+
+@query(f"SELECT parent_key FROM {STRICT}")
+def join11_coastal_crossing(spark, sf):
+    return coasts(spark, sf)[0].select("parent_key")
+
+
+@query(f"SELECT parent_key FROM {NEAR}")
+def join12_near_coast(spark, sf):
+    return coasts(spark, sf)[1].select("parent_key")
 
 
 @query("""WITH g AS (SELECT n_name AS name, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1), e AS (SELECT *, sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () * 1000 AS x FROM g), w AS (SELECT *, floor(x)::BIGINT AS whole FROM e)
@@ -112,21 +165,63 @@ def win11_sqrt_allocation(spark, sf):
     return sampling.sqrt_allocation(group_counts(rows, [F.col("n_name").alias("name")]), "name", "n", 1000)
 
 
-@query()
+@query(f"""WITH c AS (SELECT * FROM {CANDIDATES}), g AS (SELECT grid_id, count(*) AS n FROM c GROUP BY 1), e AS (SELECT *, sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () * 100 AS x FROM g),
+  w AS (SELECT grid_id, CAST(regexp_extract(grid_id, '[0-9]+') AS INT) + 11 AS seed, floor(x)::BIGINT + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, grid_id DESC) <= 100 - sum(floor(x)::BIGINT) OVER () THEN 1 ELSE 0 END AS quota FROM e),
+  m AS (SELECT grid_id, macro_id, seed, quota, row_number() OVER (PARTITION BY grid_id ORDER BY sha256(seed || ':utm_spatial_balance_supplement:macro:' || macro_id), macro_id) - 1 AS ordinal FROM (SELECT DISTINCT grid_id, macro_id FROM c) JOIN w USING (grid_id))
+  SELECT grid_id, macro_id, parent_key FROM (SELECT m.grid_id, macro_id, parent_key, row_number() OVER (PARTITION BY macro_id ORDER BY sha256((seed + ordinal) || {CELL}), parent_key) AS rn FROM c JOIN m USING (macro_id) WHERE ordinal < quota) WHERE rn = 1""")
 def win12_spatially_balanced(spark, sf):
-    return sampling.spatially_balanced(candidates(spark, sf), 11, 100)
+    return sampling.spatially_balanced(candidates(spark, sf), 11, 100).select("grid_id", "macro_id", "parent_key")
 
 
-@query(f"SELECT parent_key, CASE WHEN o_orderstatus = 'F' THEN 'base' ELSE 'coastal' END AS layer FROM {CELLS} WHERE o_orderstatus = 'F' OR id % 3 = 0")
+def legacy_points(spark, sf):
+    """Points as records of an older registry: every seventh lies in the zone east of its owner's."""
+    s = snap_to_owner(F.col("x"), F.col("y"))
+    rows = points(spark, sf).withColumn("s", s).where("s.owned")
+    zone = (F.col("s.epsg") + (F.col("point_id") % 7 == 0).cast("int")).cast("int")
+    tiers = F.array(*map(F.lit, sampling.LAYERS))
+    tier = F.when(F.col("point_id") % 4 > 0, "base_spatial").otherwise(F.get(tiers, (F.col("point_id") % 5).cast("int")))
+    return rows.select(
+        F.col("point_id").alias("place"), F.concat(F.lit("p"), F.col("point_id").cast("string")).alias("patch_id"), zone.alias("grid_epsg"), grid_id(zone).alias("grid_id"), F.col("s.col").alias("grid_col"), F.col("s.row").alias("grid_row"),
+        registry.macro_name(grid_id(zone), F.col("s.col"), F.col("s.row")).alias("macro_id"), F.col("s.lon").alias("longitude"), F.col("s.lat").alias("latitude"), tier.alias("sampling_tier"),
+    )
+
+
+@query()
 def win14_layered_registry(spark, sf):
+    strict, near, coast = coastal_count(spark, sf)
+    old = legacy_points(spark, sf)
+    base = registry.repaired(old, boxes(spark, sf))[0].where("sampling_tier = 'base_spatial'").select("macro_id").distinct().count()
+    targets = {"base_expected_1pct": base + 25, "coastal_supplement": coast, "utm_spatial_balance_supplement": 60, "semantic_and_difficult_supplement": 20}
+    found = registry.layered_registry(old, centred(spark, sf), strict, near, targets, 7, boxes(spark, sf), boxes(spark, sf))
+    return found.select("patch_id", "grid_epsg", "grid_row", "grid_col", "layer", "coastal_status", "admin1", "inclusion_probability", "identity_hash", "sampling_primary_reason", "split")
+
+
+@query(f"SELECT parent_key, CASE WHEN o_orderstatus = 'F' THEN 'base' ELSE 'coastal' END AS layer FROM {CELLS} WHERE o_orderstatus = 'F' OR id % 3 = 0")
+def win14_layers_in_order(spark, sf):
     c = cells(spark, sf).select("parent_key", "o_orderstatus", "id")
     return sampling.layered({"base": c.where("o_orderstatus = 'F'"), "coastal": c.where("id % 3 = 0")}).select("parent_key", "layer")
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT CAST(count(*) AS BIGINT) AS n FROM {CELLS}) SELECT CAST(i AS INT) AS shard_id, n // 10 + CAST(i >= 10 - n % 10 AS BIGINT) AS n FROM t, (SELECT unnest(generate_series(0, 9)) AS i)""")
+def capacity_cut(shards: int) -> str:
+    """DuckDB text of the equal-capacity cut of all cells, one CTE a round."""
+    size = lambda a, b: f"(({b}) - ({a})) * (n // {shards}) + greatest(({b}) - greatest({a}, {shards} - n % {shards}), 0)"
+    text = [f"""pts AS (SELECT parent_key, grid_col::DOUBLE AS x, grid_row::DOUBLE AS y FROM {CELLS}), t AS (SELECT count(*) AS n FROM pts),
+  nodes0 AS (SELECT 0 AS node, 0 AS first, {shards} AS last, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), rows0 AS (SELECT *, 0 AS node, row_number() OVER (ORDER BY parent_key) - 1 AS tie FROM pts)"""]
+    rounds = (shards - 1).bit_length()
+    for r in range(rounds):
+        text.append(f"""p{r} AS (SELECT *, first + (last - first) // 2 AS half, x1 - x0 >= y1 - y0 AS ax, last - first > 1 AS cut FROM nodes{r}),
+  q{r} AS (SELECT parent_key, x, y, node, ax, cut, {size("first", "half")} AS n_left, CASE WHEN ax THEN x ELSE y END AS v, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN ax THEN x ELSE y END, tie) - 1 AS place FROM rows{r} JOIN p{r} USING (node), t),
+  rows{r + 1} AS (SELECT parent_key, x, y, node * 2 + CAST(cut AND place >= n_left AS INT) AS node, place AS tie FROM q{r}),
+  e{r} AS (SELECT node, (max(v) FILTER (place < n_left) + min(v) FILTER (place >= n_left)) / 2 AS c FROM q{r} WHERE cut GROUP BY 1),
+  nodes{r + 1} AS (SELECT node * 2 AS node, first, CASE WHEN cut THEN half ELSE last END AS last, x0, CASE WHEN cut AND ax THEN c ELSE x1 END AS x1, y0, CASE WHEN cut AND NOT ax THEN c ELSE y1 END AS y1 FROM p{r} LEFT JOIN e{r} USING (node)
+    UNION ALL SELECT node * 2 + 1, half, last, CASE WHEN ax THEN c ELSE x0 END, x1, CASE WHEN ax THEN y0 ELSE c END, y1 FROM p{r} JOIN e{r} USING (node))""")
+    return f"WITH {', '.join(text)} SELECT parent_key, CAST(first + 1 AS INT) AS shard_id FROM rows{rounds} JOIN nodes{rounds} USING (node)"
+
+
+@query(capacity_cut(10))
 def win16_equal_capacity(spark, sf):
     c = cells(spark, sf).select("parent_key", F.col("grid_col").cast("double").alias("x"), F.col("grid_row").cast("double").alias("y"))
-    return partition.equal_capacity(c, partition.capacities(c.count(), 10)).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n"))
+    return partition.equal_capacity(c, partition.capacities(c.count(), 10)).select("parent_key", "shard_id")
 
 
 @query(f"SELECT id, CAST(id % 10 AS INT) AS source_shard_id, CAST((id % 10) * 3 % 10 AS INT) AS shard_id FROM {CELLS}")
@@ -164,12 +259,19 @@ def win24_region_batches(spark, sf):
     return sampling.region_batches(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("region")), 16, [F.col("c_custkey")])
 
 
-@query(f"""SELECT id, CASE id % 5 WHEN 0 THEN 'base_expected_1pct' WHEN 1 THEN 'coastal_supplement' WHEN 2 THEN 'spatial_supplement' WHEN 3 THEN 'semantic_supplement' ELSE 'other' END AS layer,
-  CASE WHEN id % 5 = 0 THEN 0.01::DOUBLE END AS inclusion_probability, sha256(parent_key || ':1280') AS identity_hash, round_even(id / 7.0::DOUBLE, 8) AS longitude FROM {CELLS}""")
+CORNERS = f"(SELECT id, grid_epsg, grid_col + dx AS gx, grid_row + dy AS gy FROM {CELLS}, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) v(dx, dy))"
+
+
+@query(f"""SELECT id, CASE id % 6 WHEN 0 THEN 'base_expected_1pct' WHEN 1 THEN 'utm_spatial_balance_supplement' WHEN 2 THEN 'utm_spatial_balance_supplement' WHEN 3 THEN 'coastal_supplement' WHEN 4 THEN 'semantic_and_difficult_supplement' ELSE 'unknown' END AS layer,
+  CASE WHEN id % 6 = 0 THEN 0.01::DOUBLE END AS inclusion_probability, sha256(parent_key || ':1280') AS identity_hash, grid_col * 1280.0::DOUBLE AS utm_left, round(lon, 6) AS west, round(lat, 6) AS south,
+  CASE WHEN id % 3 = 0 THEN 'given' ELSE 'pending' END AS ecoregion, 'unassigned' AS split, CASE id % 6 WHEN 0 THEN 'base_spatial' WHEN 1 THEN 'spatial_stratified_supplement' WHEN 2 THEN 'spatial_stratified_supplement_fallback'
+  WHEN 3 THEN 'coastal_ocean_adjacent_supplement' WHEN 4 THEN 'semantic_audit_reserve' ELSE 'other' END AS reason FROM {CELLS} JOIN (SELECT id, min(lon) AS lon, min(lat) AS lat FROM {degrees_sql(CORNERS, 'gx * 1280.0::DOUBLE', 'gy * 1280.0::DOUBLE', 'grid_epsg')} GROUP BY 1) USING (id)""")
 def fn46_normalised_registry(spark, sf):
-    tiers = F.array(*map(F.lit, ["base_spatial", "coastal", "spatial", "semantic", "other"]))
-    rows = cells(spark, sf).withColumn("sampling_tier", F.get(tiers, (F.col("id") % 5).cast("int"))).withColumn("longitude", F.col("id") / 7.0)
-    return sampling.normalised_registry(rows).select("id", "layer", "inclusion_probability", "identity_hash", "longitude")
+    tiers = F.array(*map(F.lit, [*sampling.LAYERS, "other"]))
+    rows = cells(spark, sf).withColumn("sampling_tier", F.get(tiers, (F.col("id") % 6).cast("int"))).withColumn("ecoregion", F.when(F.col("id") % 3 == 0, "given"))
+    found = sampling.normalised_registry(rows)
+    box = lambda c, i: F.get(c, F.lit(i))
+    return found.select("id", "layer", "inclusion_probability", "identity_hash", box("utm_bounds", 0).alias("utm_left"), F.round(box("wgs84_bounds", 0), 6).alias("west"), F.round(box("wgs84_bounds", 1), 6).alias("south"), "ecoregion", "split", F.col("sampling_primary_reason").alias("reason"))
 
 
 @query("SELECT CAST(r_regionkey AS INT) AS place, r_name AS reason, CAST(unnest(generate_series(1, r_regionkey + 1)) AS INT) AS slot FROM region")
@@ -185,18 +287,23 @@ def udf04_merged_policy(spark, sf):
     return sampling.merged_policy(policy, {"ASIA": 9, "EXTRA": 2})
 
 
-@query(f"SELECT parent_key FROM {CELLS} WHERE o_totalprice > 1000 AND id % 2 = 0")
+RICH = f"(SELECT x.* FROM {CANDIDATES} x JOIN {CELLS} USING (parent_key) WHERE o_totalprice > 100000)"
+
+
+@query(f"SELECT * FROM {drawn(RICH, 5, 'semantic_and_difficult_supplement:macro:', 40)}")
 def udf01_candidate_predicate(spark, sf):
-    accept = lambda df: df.where("o_totalprice > 1000")  # noqa: E731  a caller's predicate on whole tables
-    return accept(cells(spark, sf).where(F.col("id") % 2 == 0)).select("parent_key")
+    rows = candidates(spark, sf).join(cells(spark, sf).select("parent_key", "o_totalprice"), "parent_key")
+    return sampling.replacements(rows, 5, "semantic_and_difficult_supplement", 40, accept=F.col("o_totalprice") > 100000)
 
 
-@query(f"""SELECT CAST(id % 10 AS INT) AS shard_id, count(*) AS shape_count, round(avg(grid_col / 10.0::DOUBLE), 6) AS mean_longitude, min(grid_row / 100.0::DOUBLE) AS min_latitude, max(grid_row / 100.0::DOUBLE) AS max_latitude, count(DISTINCT grid_epsg) AS grids
-  FROM {CELLS} GROUP BY 1""")
+@query(f"""WITH s AS (SELECT CAST(id % 10 AS INT) AS shard_id, count(*) AS shape_count, round(avg(grid_col / 10.0::DOUBLE), 6) AS mean_longitude, round(avg(grid_row / 100.0::DOUBLE), 6) AS mean_latitude, min(grid_col / 10.0::DOUBLE) AS min_longitude, max(grid_col / 10.0::DOUBLE) AS max_longitude,
+  min(grid_row / 100.0::DOUBLE) AS min_latitude, max(grid_row / 100.0::DOUBLE) AS max_latitude FROM {CELLS} GROUP BY 1), g AS (SELECT CAST(id % 10 AS INT) AS shard_id, grid_epsg, count(*) AS n FROM {CELLS} GROUP BY 1, 2)
+  SELECT s.*, grids FROM s JOIN (SELECT shard_id, string_agg(grid_epsg || '=' || n, ',' ORDER BY grid_epsg) AS grids FROM g GROUP BY 1) USING (shard_id)""")
 def agg10_shard_summary(spark, sf):
     rows = cells(spark, sf).select((F.col("id") % 10).cast("int").alias("shard_id"), F.col("grid_epsg").cast("string").alias("grid_id"), (F.col("grid_col") / 10.0).alias("longitude"), (F.col("grid_row") / 100.0).alias("latitude"))
     s = partition.shard_summary(rows)
-    return s.select("shard_id", "shape_count", F.round("mean_longitude", 6).alias("mean_longitude"), "min_latitude", "max_latitude", F.size("counts_by_grid_id").cast("long").alias("grids"))
+    grids = F.array_join(F.transform(F.array_sort(F.map_entries("counts_by_grid_id")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return s.select("shard_id", "shape_count", *[F.round(c, 6).alias(c) for c in ("mean_longitude", "mean_latitude")], "min_longitude", "max_longitude", "min_latitude", "max_latitude", grids.alias("grids"))
 
 
 @query("""SELECT n_name, '{"type":"Feature","properties":{"shard_id":' || n_nationkey || '},"geometry":{"type":"Polygon","coordinates":[[[' || n_nationkey || '.0,1.0],[' || n_nationkey + 1 || '.0,1.0],[' || n_nationkey + 1 || '.0,2.0],[' || n_nationkey || '.0,2.0],[' || n_nationkey || '.0,1.0]]]}}' AS feature FROM nation""")

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import cells as C
 from gridloom.functions import contracts as K
+from gridloom.functions.geometry import cell_is_valid, densified, footprint, footprint_hash, hausdorff, overlap_area, vertex_difference, zones_of
+from gridloom.functions.projection import utm_inverse
 from gridloom.operators import audits, membership, sampling
+from gridloom.operators.ranking import shared_folder
 from gridloom.plans.bindings import ATLAS, CELLS, POINTS, REGISTRY, atlas, cells, points, query, registry, table, unit
 from gridloom.sources import sinks
+from gridloom.sources.records import scan_cells
+
 
 def epsg():
     return F.col("grid_epsg")
@@ -123,13 +130,30 @@ def fn36_source_slots(spark, sf):
     return table(spark, sf, "part").select("p_partkey", name.alias("optical"), K.available(slots["optical"]).alias("optical_there"), K.available(slots["radar"]).alias("radar_there"))
 
 
+PARTITIONS = "(VALUES ('all', 'all'), ('sampled', 'F'), ('unsampled', 'O'), ('unsampled', 'P')) v(side, status)"
+GRID = "'utm' || lpad(CAST(grid_epsg % 100 AS VARCHAR), 2, '0') || 'n'"
+
+
 @query(f"SELECT s.side, count(*) AS n, min(s.parent_key) AS first_key FROM (SELECT parent_key, CASE WHEN o_orderstatus = 'F' THEN 'sampled' ELSE 'unsampled' END AS side FROM {CELLS}) s GROUP BY 1")
-def join01_src03_split_membership(spark, sf):
+def join01_split_membership(spark, sf):
     sampled, unsampled = membership.split_membership(cells(spark, sf), registry(spark, sf))
     rows = sampled.select("parent_key", F.lit("sampled").alias("side")).unionByName(unsampled.select("parent_key", F.lit("unsampled").alias("side")))
     return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("parent_key").alias("first_key"))
 
 
+def cell_folder(spark, sf) -> str:
+    """All cells as a partitioned table in a new folder: all, sampled and unsampled ones by grid."""
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    sinks.write_cells(cells(spark, sf).withColumn("grid_id", C.grid_id(epsg())), registry(spark, sf), path)
+    return path
+
+
+@query(f"SELECT side AS partition, {GRID} AS grid_id, count(*) AS n, min(parent_key) AS first_key, sum(id)::BIGINT AS ids FROM {CELLS} JOIN {PARTITIONS} ON status IN ('all', o_orderstatus) GROUP BY 1, 2")
+def join01_src03_split_membership(spark, sf):
+    rows = spark.read.parquet(cell_folder(spark, sf))
+    return rows.groupBy("partition", "grid_id").agg(F.count(F.lit(1)).alias("n"), F.min("parent_key").alias("first_key"), F.sum("id").alias("ids"))
+
+
 @query(f"""SELECT c.parent_key, CAST(1 AS BIGINT) AS n_all, CAST(c.o_orderstatus = 'F' AND id % 50 <> 0 AS BIGINT) AS n_sampled, CAST(c.o_orderstatus <> 'F' AS BIGINT) AS n_unsampled, CAST(c.o_orderstatus = 'F' AS BIGINT) AS n_registry
   FROM {CELLS} c WHERE c.o_orderstatus = 'F' AND id % 50 = 0""")
 def join13_partition_mismatches(spark, sf):
@@ -189,14 +213,24 @@ def agg04_macro_completeness(spark, sf):
     return sampling.macro_completeness(a.withColumn("macro_candidate_count", F.col("macro_candidate_count") + wrong)).select("grid_id", "macro_row", "macro_col", "observed", "least", "most")
 
 
-@query(f"""SELECT count(*) AS rows, count(*) FILTER (id % 10 = 0) AS wrong_key, CAST(0 AS BIGINT) AS wrong_bounds, count(*) FILTER (id % 15 = 0) AS wrong_identity, CAST(0 AS BIGINT) AS wrong_zone,
+@query(f"""SELECT count(*) AS rows, count(*) FILTER (id % 10 = 0) AS wrong_key, count(*) FILTER (id % 35 = 0) AS wrong_bounds, count(*) FILTER (id % 15 = 0) AS wrong_identity, CAST(0 AS BIGINT) AS wrong_zone,
+  count(*) FILTER (id % 25 = 0) AS wrong_owner, count(*) FILTER (id % 30 = 0 OR id % 50 = 0) AS moved, count(*) FILTER (id % 40 = 0) AS wrong_ring_hash, count(*) FILTER (id % 50 = 0) AS wrong_shape,
   false AS passed, CAST(0 AS BIGINT) AS duplicate_keys, CAST(2 * count(*) FILTER (id % 10 = 0) AS BIGINT) AS misplaced FROM {CELLS}""")
 def agg05_grid_audit(spark, sf):
-    c, r = cells(spark, sf), registry(spark, sf)
-    key = F.when(F.col("id") % 10 == 0, F.concat(F.lit("x"), "parent_key")).otherwise(F.col("parent_key"))
-    h = F.when(F.col("id") % 15 == 0, "x").otherwise(C.identity_hash(epsg(), col(), row()))
-    rows = c.withColumn("identity_hash", h).withColumn("bounds", C.canonical_bounds(col(), row())).withColumn("parent_key", key)
-    return audits.grid_audit(rows, r, c.where("o_orderstatus <> 'F'"), r)
+    c, r, i = cells(spark, sf), registry(spark, sf), F.col("id")
+    centre = utm_inverse((col() + 0.5) * C.CELL_M, (row() + 0.5) * C.CELL_M, epsg())
+    east = F.transform("ring", lambda p: F.struct((p["x"] + 1e-5).alias("x"), p["y"].alias("y")))
+    rows = footprints(spark, sf).withColumn("c", centre)
+    rows = rows.withColumn("ring", F.when(i % 50 == 0, F.slice("ring", 1, 3)).when(i % 30 == 0, east).otherwise(F.col("ring")))
+    rows = rows.withColumns({
+        "parent_key": F.when(i % 10 == 0, F.concat(F.lit("x"), "parent_key")).otherwise(F.col("parent_key")),
+        "identity_hash": F.when(i % 15 == 0, "x").otherwise(C.identity_hash(epsg(), col(), row())),
+        "bounds": C.canonical_bounds(col() + (i % 35 == 0).cast("int"), row()),
+        "longitude": F.col("c.lon") + F.when(i % 25 == 0, 6).otherwise(0),
+        "latitude": F.col("c.lat"),
+        "ring_hash": F.when(i % 40 == 0, "x").otherwise(footprint_hash(F.col("ring"))),
+    })
+    return audits.grid_audit(rows, r, c.where("o_orderstatus <> 'F'"), r, geometry=True)
 
 
 @query(f"""SELECT CAST(id % 10 AS INT) AS shard_id, count(*) AS rows, count(*) AS unique_keys, CAST(0 AS BIGINT) AS duplicates, count(*) + CAST(id % 10 = 3 AS BIGINT) AS declared, CAST(1 AS BIGINT) AS files, id % 10 <> 3 AS passed
@@ -221,10 +255,21 @@ def agg08_reconcile(spark, sf):
     return audits.reconcile(report, ["pending", "wrong"], F.lit(True))
 
 
-@query(f"SELECT count(*) AS rows, count(DISTINCT id) AS unique_ids, count(*) AS unique_hashes, CAST(3 AS BIGINT) AS seeds, count(*) FILTER (id % 6 = 0) AS missing_values FROM {CELLS}")
+@query(f"""WITH m AS (SELECT id % 97 AS macro_id, o_orderstatus = 'P' AS base, count(*) AS n FROM {CELLS} GROUP BY 1, 2) SELECT count(*) AS rows, count(DISTINCT id) AS unique_ids, count(*) AS unique_hashes, count(*) AS unique_footprints, CAST(3 AS BIGINT) AS seeds, count(*) FILTER (id % 25 = 0) AS owner_mismatches,
+  count(*) FILTER (id % 8 = 0) AS unknown_admin1, count(*) FILTER (o_orderstatus <> 'P' AND id % 5 = 0) AS coastal_without_status, count(*) FILTER (o_orderstatus <> 'P') AS coastal_rows, count(*) FILTER (id % 6 = 0) AS missing_values,
+  (SELECT count(*) FROM m WHERE base AND n > 1) AS base_macros_over_one, (SELECT count(*) FROM m WHERE NOT base AND n > 1) AS supplement_macros_over_one, count(*) FILTER (grid_col <= 390 OR id % 25 = 0 AND grid_epsg = 32653) AS outside, count(*) FILTER (o_orderstatus <> 'P' AND id % 2 = 0) AS coastal_pass, false AS passed FROM {CELLS}""")
 def agg09_registry_audit(spark, sf):
-    c = cells(spark, sf).select(F.col("id").alias("patch_id"), C.identity_hash(epsg(), col(), row(), "registry").alias("identity_hash"), (F.col("id") % 3).alias("sampling_seed"), F.when(F.col("id") % 6 != 0, "a").alias("admin1"))
-    return audits.registry_audit(c, ["patch_id", "admin1"])
+    i = F.col("id")
+    centre = utm_inverse((col() + 0.5) * C.CELL_M, (row() + 0.5) * C.CELL_M, epsg())
+    c = cells(spark, sf).withColumn("c", centre).select(
+        i.alias("patch_id"), C.identity_hash(epsg(), col(), row(), "registry").alias("identity_hash"), F.col("parent_key").alias("footprint_hash"), (i % 97).alias("macro_id"), F.when(F.col("o_orderstatus") == "P", "base_expected_1pct").otherwise("coastal_supplement").alias("layer"),
+        "grid_epsg", (F.col("c.lon") + F.when(i % 25 == 0, 6).otherwise(0)).alias("longitude"), F.col("c.lat").alias("latitude"), F.when(i % 8 == 0, "unknown").otherwise("a").alias("admin1"), (i % 3).alias("sampling_seed"), F.when(i % 5 != 0, "near_coast_pending").alias("coastal_status"), F.when(i % 6 != 0, "a").alias("ecoregion"),
+    )
+    # Strips east of each central meridian: the eastern half of every zone.
+    x = F.col("o_custkey") % 11 * 6.0 + 75
+    ring = F.array(*[F.struct(a.alias("x"), F.lit(b).alias("y")) for a, b in ((x, 0.0), (x + 3, 0.0), (x + 3, 80.0), (x, 80.0))])
+    boundary = cells(spark, sf).select((F.col("o_custkey") % 11).cast("string").alias("name"), ring.alias("ring")).distinct()
+    return audits.registry_audit(c, ["patch_id", "ecoregion"], boundary, c.where("patch_id % 2 = 0").select("patch_id"))
 
 
 @query(f"SELECT CAST(id % 97 AS BIGINT) AS macro_id, count(*) FILTER (o_orderstatus = 'P') AS n_base, count(*) FILTER (o_orderstatus <> 'P') AS n_other FROM {CELLS} GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'P') > 1 OR count(*) FILTER (o_orderstatus <> 'P') > 1")
@@ -232,9 +277,14 @@ def agg09_macro_limits(spark, sf):
     return audits.macro_limits(cells(spark, sf).select((F.col("id") % 97).alias("macro_id"), F.when(F.col("o_orderstatus") == "P", "base").otherwise("coastal").alias("layer")))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM region")
+ROWS_HASHED = f"""(SELECT sha256('{{"id":' || id || ',"parent_key":"' || parent_key || '","grid_epsg":' || grid_epsg || '}}') AS h FROM {CELLS})"""
+
+
+@query(f"""WITH r AS (SELECT h, (SELECT CAST(pow(2, greatest(ceil(log2(count(*) / {membership.DIGEST_ROWS}.0)), 0)) AS BIGINT) FROM {CELLS}) AS k FROM {ROWS_HASHED}),
+  b AS (SELECT (CAST('0x' || substr(h, 1, 8) AS BIGINT) * k) // 4294967296 AS place, k, sha256(string_agg(h, '' ORDER BY h)) AS part, count(*) AS n FROM r GROUP BY 1, 2)
+  SELECT CASE WHEN max(k) = 1 THEN max(part) ELSE sha256(string_agg(part, '' ORDER BY place)) END AS digest, sum(n)::BIGINT AS n FROM b""")
 def agg26_content_digest_count(spark, sf):
-    return membership.content_digest(table(spark, sf, "region"), table(spark, sf, "region").columns).select("n")
+    return membership.content_digest(cells(spark, sf), ["id", "parent_key", "grid_epsg"])
 
 
 @query(f"""SELECT o_orderpriority, 'a' AS layer, id FROM {CELLS} WHERE id % 2 = 0 UNION ALL SELECT NULL, 'b', id FROM {CELLS} WHERE id % 3 = 0""")
@@ -263,9 +313,9 @@ def set04_fold_leaks(spark, sf):
     return membership.fold_leaks(table(spark, sf, "customer").select(F.col("c_nationkey").alias("fold"), (k % 50).alias("patch_id"), F.when(k % 7 == 0, "val").otherwise("train").alias("split")))
 
 
-@query("SELECT c_nationkey AS region, c_custkey % 50 AS patch_id, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 100")
+@query("SELECT c_nationkey AS region, c_custkey % 50 AS patch_id, count(*) AS n FROM customer GROUP BY 1, 2 HAVING count(*) > 1")
 def set06_manifest_identity(spark, sf):
-    return membership.duplicate_keys(table(spark, sf, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 50).alias("patch_id")), ["region", "patch_id"])
+    return membership.duplicate_keys(table(spark, sf, "customer").select(F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 50).alias("patch_id")), ["region", "patch_id"], None)
 
 
 @query(f"SELECT id, CAST(grid_row // 1000 AS BIGINT) AS row_block FROM {CELLS}")
@@ -274,6 +324,44 @@ def src04_row_blocks(spark, sf):
     return sinks.row_blocks(rows).select("id", "row_block")
 
 
-@query(f"SELECT grid_epsg, count(*) AS n FROM {REGISTRY} WHERE grid_epsg BETWEEN 32643 AND 32653 GROUP BY 1")
+@query(f"SELECT id, parent_key, grid_row FROM {REGISTRY}")
 def src02_scan_cells(spark, sf):
-    return registry(spark, sf).where(C.owner_in_range(epsg())).groupBy("grid_epsg").agg(F.count(F.lit(1)).alias("n"))
+    return scan_cells(spark, cell_folder(spark, sf), ["id", "parent_key", "grid_row"], "sampled")
+
+
+def footprints(spark, sf):
+    return cells(spark, sf).withColumn("ring", footprint(epsg(), C.canonical_bounds(col(), row())))
+
+
+@query(f"SELECT id, CASE id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1e-5 WHEN 2 THEN 4e-5 ELSE NULL END::DOUBLE AS difference, CASE id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1e-5 WHEN 2 THEN 5e-5 ELSE 1e-5 END::DOUBLE AS hausdorff FROM {CELLS}")
+def fn22_vertex_difference(spark, sf):
+    k, p = F.col("id") % 4, lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    square = F.array(p(0.0, 0.0), p(1.0, 0.0), p(1.0, 1.0), p(0.0, 1.0))
+    moved = F.transform(square, lambda q: F.struct((q["x"] + F.when(k == 0, 0.0).when(k == 1, 1e-5).otherwise(3e-5)).alias("x"), (q["y"] + F.when(k == 2, 4e-5).otherwise(0.0)).alias("y")))
+    other = F.when(k == 3, F.concat(F.slice(square, 1, 2), F.array(p(1.0 + 1e-5, 0.5)), F.slice(square, 3, 2))).otherwise(moved)
+    rows = cells(spark, sf).select("id", square.alias("a"), other.alias("b"))
+    return rows.select("id", F.round(vertex_difference(F.col("a"), F.col("b")), 9).alias("difference"), F.round(hausdorff(F.col("a"), F.col("b")), 9).alias("hausdorff"))
+
+
+@query(f"SELECT id, id % 3 = 0 AS valid FROM {CELLS}")
+def fn23_cell_validity(spark, sf):
+    k = F.col("id") % 3
+    stretched = F.transform("ring", lambda p: F.struct((p["x"] * F.when(k == 1, 1.0001).otherwise(1.0)).alias("x"), p["y"].alias("y")))
+    ring = F.when(k == 2, F.slice("ring", 1, 3)).otherwise(stretched)
+    return footprints(spark, sf).select("id", cell_is_valid(epsg(), ring).alias("valid"))
+
+
+@query("SELECT p_partkey, round(greatest(least(p_size + 10, 30) - greatest(p_size, 20), 0) * greatest(least(p_partkey % 40 + 5, 25) - greatest(p_partkey % 40, 10), 0), 6)::DOUBLE AS area FROM part")
+def fn40_overlap_area(spark, sf):
+    x, y = F.col("p_size"), F.col("p_partkey") % 40
+    box = lambda a, b, c, d: F.array(*[F.struct(u.cast("double").alias("x"), v.cast("double").alias("y")) for u, v in ((a, b), (c, b), (c, d), (a, d))])
+    area = overlap_area(box(x, y, x + 10, y + 5), box(F.lit(20), F.lit(10), F.lit(30), F.lit(25)))
+    return table(spark, sf, "part").select("p_partkey", F.round(area, 6).alias("area"))
+
+
+@query(f"SELECT point_id, CAST(floor((x + 180) / 6) + 1 AS INT) AS first_zone, CAST(floor((x + 187.3) / 6) + 1 AS INT) AS last_zone, CAST(2 * (ceil(7.3 / 0.5) + ceil(1.8 / 0.5)) AS INT) AS corners FROM {POINTS}")
+def fn45_zones_and_densified(spark, sf):
+    x, y = F.col("x"), F.col("y")
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 7.3, y), (x + 7.3, y + 1.8), (x, y + 1.8))])
+    zones = zones_of(x, x + 7.3)
+    return points(spark, sf).select("point_id", F.array_min(zones).alias("first_zone"), F.array_max(zones).alias("last_zone"), F.size(densified(ring, 0.5)).alias("corners"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import contracts, pixels
 from gridloom.operators import catalog, composite, frames
+from gridloom.operators.ranking import shared_folder
 from gridloom.plans.bindings import FEATURES, ITEMS, OBS, PATCHES, features, items, observations, patches, query, table, unit
+from gridloom.sources.sinks import write_tiles
 
 
 @query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m') AS INT) AS month, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS idx, strftime(last_day(o_orderdate), '%Y-%m-%dT23:59:59Z') AS last FROM orders")
@@ -223,7 +227,11 @@ def tiles(spark, sf):
 
 @query(f"SELECT * FROM {TILES}")
 def src14_src15_tile_rows(spark, sf):
-    return composite.pixel_rows(tiles(spark, sf)).where("value is not null").select("patch_id", "source", "month", "band", F.col("pixel").cast("long").alias("pixel"), "value")
+    """Tiles written by source and month, verified before they are published, and read again as pixels."""
+    rows = tiles(spark, sf)
+    path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    write_tiles(rows, path, rows.count(), 7)
+    return composite.pixel_rows(spark.read.schema(rows.schema).parquet(path)).where("value is not null").select("patch_id", "source", "month", "band", F.col("pixel").cast("long").alias("pixel"), "value")
 
 
 @query("SELECT c_custkey, c_acctbal AS a, round(0.75::DOUBLE * c_acctbal + 0.25::DOUBLE * c_custkey, 4) AS b, round(0.25::DOUBLE * c_acctbal + 0.75::DOUBLE * c_custkey, 4) AS c, c_custkey::DOUBLE AS d FROM customer")

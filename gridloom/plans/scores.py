@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gridloom.functions import geometry, pixels
+from gridloom.functions import geometry, pixels, projection
 from gridloom.operators import evaluation, manifest, membership, overlaps, probes, spatial
-from gridloom.plans.bindings import BOXES, CELLS, POINTS, VECTORS, boxes, cells, points, query, table, vectors
+from gridloom.operators.ranking import shared_folder
+from gridloom.plans.bindings import BOXES, CELLS, POINTS, VECTORS, boxes, cells, degrees_sql, metres_sql, points, query, shores, table, vectors
 from gridloom.plans.draws import candidates
-from gridloom.sources import records
+from gridloom.sources import records, sinks
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
@@ -49,10 +50,19 @@ def agg25_run_summary(spark, sf):
     return evaluation.run_summary(rows, ["n_regionkey"]).select("n_regionkey", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query(f"SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> 64) AS wrong_size, CAST(0 AS BIGINT) AS not_finite, round(avg({NORM}), 6) AS norm_mean, max(abs({NORM} - 1)) <= 1e-4 AS passed FROM embeddings")
+@query(f"""WITH e AS (SELECT vec_id % 9 AS k, CASE WHEN vec_id % 11 = 0 THEN embedding[1:63] ELSE embedding END AS v, vec_id % 7 = 0 AS bad FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM e)
+  SELECT count(*) AS rows, count(*) FILTER (len(v) <> 64) AS wrong_size, count(*) FILTER (bad) AS not_finite, false AS passed FROM n""")
 def agg28_embedding_contract(spark, sf):
+    v = F.col("embedding")
+    short = F.when(F.col("vec_id") % 11 == 0, F.slice(v, 1, 63)).otherwise(v)
+    broken = F.when(F.col("vec_id") % 7 == 0, F.transform(short, lambda x, i: F.when(i == 5, float("nan")).otherwise(x.cast("double")))).otherwise(F.transform(short, lambda x: x.cast("double")))
+    return evaluation.embedding_contract(vectors(spark, sf).withColumn("embedding", broken), 64).select("rows", "wrong_size", "not_finite", "passed")
+
+
+@query(f"SELECT count(*) AS rows, round(avg({NORM}), 6) AS norm_mean, max(abs({NORM} - 1)) <= 1e-4 AS passed FROM embeddings")
+def agg28_embedding_norms(spark, sf):
     r = evaluation.embedding_contract(vectors(spark, sf), 64)
-    return r.select("rows", "wrong_size", "not_finite", F.round("norm_mean", 6).alias("norm_mean"), "passed")
+    return r.select("rows", F.round("norm_mean", 6).alias("norm_mean"), "passed")
 
 
 @query("SELECT c_mktsegment AS source, count(*) FILTER (c_nationkey = 3) AS available, count(*) FILTER (c_custkey % 1000 = 1) AS supervised, count(*) FILTER (c_nationkey = 3) = 0 AND count(*) FILTER (c_custkey % 1000 = 1) = 0 AS passed FROM customer WHERE c_acctbal < 0 GROUP BY 1")
@@ -143,11 +153,14 @@ def join03_join04_assigned_region(spark, sf):
     return spatial.assigned_region(points(spark, sf), boxes(spark, sf)).select("point_id", "name")
 
 
-@query()
+@query(f"""SELECT id, coalesce(name, 'unknown') AS name FROM (SELECT point_id AS id FROM {POINTS}) LEFT JOIN (SELECT point_id AS id, name FROM (SELECT point_id, name, row_number() OVER (PARTITION BY point_id ORDER BY
+  (least(x + 2, x0 + 11.5) - greatest(x, x0)) * (least(y + 2, y0 + 6.5) - greatest(y, y0)) DESC, name) AS rn FROM {POINTS} JOIN {BOXES} ON x < x0 + 11.5 AND x + 2 > x0 AND y < y0 + 6.5 AND y + 2 > y0) WHERE rn = 1) USING (id)""")
 def join05_largest_overlap(spark, sf):
+    from pyspark.sql import Window
+
     x, y = F.col("x"), F.col("y")
     ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 2, y), (x + 2, y + 2), (x, y + 2))])
-    parts = boxes(spark, sf).withColumn("place", F.xxhash64("name"))
+    parts = boxes(spark, sf).withColumn("place", F.row_number().over(Window.orderBy("name")))
     return spatial.largest_overlap(points(spark, sf).select(F.col("point_id").alias("id"), ring.alias("ring")), parts, 4.0)
 
 
@@ -156,44 +169,82 @@ def macros(spark, sf):
     return c.withColumn("macro_id", F.concat_ws(":", "grid_epsg", "macro_col", "macro_row"))
 
 
-@query()
+MACRO_CELLS = f"""(SELECT grid_epsg, macro_col * 10 + i AS gc, macro_row * 10 + j AS gr FROM (SELECT DISTINCT grid_epsg, grid_col // 10 AS macro_col, grid_row // 10 AS macro_row FROM {CELLS}), (SELECT unnest(range(10)) AS i), (SELECT unnest(range(10)) AS j))"""
+
+
+@query(f"""SELECT grid_epsg, count(*) AS n FROM {degrees_sql(MACRO_CELLS, '(gc + 0.5::DOUBLE) * 1280', '(gr + 0.5::DOUBLE) * 1280', 'grid_epsg')} c
+  WHERE grid_epsg = 32601 + floor((lon + 180) / 6) AND EXISTS (SELECT 1 FROM {BOXES} WHERE lon BETWEEN x0 AND x0 + 11.5 AND lat BETWEEN y0 AND y0 + 6.5) GROUP BY 1""")
 def join02_agg11_grid_counts(spark, sf):
     return spatial.grid_counts(macros(spark, sf), boxes(spark, sf))
 
 
+def at_seams(spark, sf):
+    """Every cell moved beside the seam of its zone: even zones to the east end, odd ones to the west end."""
+    c = cells(spark, sf)
+    moved = F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90)
+    return c.select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", moved.alias("grid_col"), "o_orderstatus")
+
+
 @query()
 def join07_adjacent_overlaps(spark, sf):
-    seam = cells(spark, sf).where("grid_col >= 440").withColumn("grid_col", F.col("grid_col") - 440 + 280)
-    west = seam.withColumn("grid_col", F.col("grid_col") + 190)
-    both = seam.unionByName(west).select(F.concat_ws(":", "grid_epsg", "grid_col", "grid_row").alias("id"), "grid_epsg", "grid_col", "grid_row").distinct()
-    return spatial.overlap_report(spatial.overlap_pairs(both)).select("pairs", "over_limit", F.round("max_fraction", 6).alias("max_fraction"), F.round("overlap_area", 2).alias("overlap_area"))
+    return spatial.overlap_report(spatial.overlap_pairs(at_seams(spark, sf))).select("pairs", "over_limit", F.round("max_fraction", 6).alias("max_fraction"), F.round("overlap_area", 2).alias("overlap_area"))
 
 
-@query(f"SELECT CAST(0 AS BIGINT) AS pairs FROM (SELECT count(*) FROM {CELLS})")
+@query(f"SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, 1.0::DOUBLE AS fraction FROM (SELECT parent_key AS a, 'copy:' || parent_key AS b FROM {CELLS} WHERE id % 9 = 0)")
 def join08_same_zone_overlaps(spark, sf):
-    rows = cells(spark, sf).select(F.col("parent_key").alias("id"), "grid_epsg", "grid_col", "grid_row")
-    return spatial.overlap_report(spatial.overlap_pairs(rows, same_zone=True).where("fraction > 1e-6")).select("pairs")
+    """Cells of one zone do not overlap, but those that were entered twice do."""
+    rows = cells(spark, sf).select("id", F.col("parent_key"), "grid_epsg", "grid_col", "grid_row")
+    twice = rows.where("id % 9 = 0").withColumn("parent_key", F.concat(F.lit("copy:"), "parent_key"))
+    both = rows.unionByName(twice).drop("id").withColumnRenamed("parent_key", "id")
+    return spatial.overlap_pairs(both, same_zone=True).where("fraction > 1e-6").select("left_id", "right_id", F.round("fraction", 6).alias("fraction"))
 
 
 @query()
 def join06_win08_overlap_losers(spark, sf):
-    c = cells(spark, sf)
     layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").otherwise("coastal_supplement")
-    rows = c.select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", (F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90)).alias("grid_col"), layer.alias("layer"))
-    return overlaps.losers(rows, 5)
+    return overlaps.losers(at_seams(spark, sf).withColumn("layer", layer))
 
 
-@query()
+TWINS = f"(SELECT id, parent_key, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 2 ELSE 99 END AS p FROM {CELLS} WHERE grid_epsg = 32643)"
+
+
+@query(f"SELECT CASE WHEN p > 1 OR p = 1 AND sha256('0:' || parent_key) > sha256('0:twin:' || parent_key) THEN parent_key ELSE 'twin:' || parent_key END AS id FROM {TWINS}")
+def join06_win08_twin_losers(spark, sf):
+    """Each cell of the first zone has a twin of the spatial layer in the next zone, under the same ground."""
+    layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").when(F.col("o_orderstatus") == "O", "coastal_supplement").otherwise("other")
+    c = cells(spark, sf).where("grid_epsg = 32643").select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", "grid_col", layer.alias("layer"))
+    centre = projection.utm_inverse((F.col("grid_col") + 0.5) * 1280, (F.col("grid_row") + 0.5) * 1280, F.col("grid_epsg"))
+    there = c.withColumn("c", centre).withColumn("m", projection.utm_forward(F.col("c.lon"), F.col("c.lat"), F.lit(32644)))
+    twin = there.select(F.concat(F.lit("twin:"), "id").alias("id"), F.lit(32644).alias("grid_epsg"), F.floor(F.col("m.y") / 1280).cast("int").alias("grid_row"), F.floor(F.col("m.x") / 1280).cast("int").alias("grid_col"), F.lit("utm_spatial_balance_supplement").alias("layer"))
+    pairs = spatial.overlap_pairs(c.unionByName(twin), adjacent_only=False).where("fraction > 0.01")
+    own = pairs.where("concat('twin:', left_id) = right_id").select("left_id", "right_id")
+    both = c.unionByName(twin)
+    chosen = own.select(F.explode(F.array("left_id", "right_id")).alias("id"))
+    rows = both.join(chosen, "id", "left_semi").select("id", "layer")
+    return overlaps.removed(own, rows)
+
+
+@query("SELECT point_id FROM (SELECT point_id, x, y FROM " + POINTS + ") WHERE y BETWEEN 17.8 AND 53.2 AND EXISTS (SELECT 1 FROM (SELECT unnest(range(5)) * 12 + 75 AS w) WHERE (abs(x - w) <= 0.2 AND w > 75 OR abs(x - w - 6) <= 0.2 OR x BETWEEN w - 0.2 AND w + 6.2 AND w > 0 AND least(abs(y - 18), abs(y - 53)) <= 0.2 AND (x >= w + 5.8 OR w > 75 AND x <= w + 0.2)))")
 def join11_join12_coast(spark, sf):
-    sea = boxes(spark, sf).withColumn("place", F.xxhash64("name"))
-    p = points(spark, sf)
-    return spatial.near_coast(p, sea, sea, 0.2)
+    """Points within 0.2 degree of the sea and of the outline of the land."""
+    return spatial.near_coast(points(spark, sf), shores(spark, sf, True), shores(spark, sf), 0.2)
+
+
+def plots(spark, sf):
+    """A plot of 0.2 x 0.1 degrees at each point."""
+    x, y = F.col("x"), F.col("y")
+    ring = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 0.2, y), (x + 0.2, y + 0.1), (x, y + 0.1))])
+    return points(spark, sf).select(F.col("point_id").cast("string").alias("name"), F.col("point_id").alias("place"), ring.alias("ring"))
+
+
+@query(f"SELECT DISTINCT CAST(32601 + floor((v + 180) / 6) AS INT) AS grid_epsg FROM (SELECT x AS v FROM {POINTS} UNION ALL SELECT x + 0.2 FROM {POINTS})")
+def join23_fn45_inventory_zones(spark, sf):
+    return spatial.macro_inventory(plots(spark, sf)).select("grid_epsg").distinct()
 
 
 @query()
 def join23_macro_inventory(spark, sf):
-    extents = cells(spark, sf).groupBy("grid_epsg").agg((F.min("grid_col") * 1280).alias("left"), (F.min("grid_row") * 1280).alias("bottom"), (F.max("grid_col") * 1280).alias("right"), (F.max("grid_row") * 1280).alias("top"))
-    return spatial.macro_inventory(extents, boxes(spark, sf).withColumn("place", F.xxhash64("name"))).withColumn("land_fraction", F.round("land_fraction", 6)).drop("estimated_patch_count")
+    return spatial.macro_inventory(plots(spark, sf))
 
 
 @query()
@@ -205,21 +256,39 @@ def fn06_fn09_fn13_footprints(spark, sf):
     return rows.select("id", geometry.footprint_hash(F.col("ring")).alias("hash"), F.length(geometry.ring_wkb(F.col("ring"))).alias("wkb_bytes"), geometry.cell_is_valid(F.col("grid_epsg"), F.col("ring")).alias("valid"))
 
 
-@query()
+@query(f"""SELECT id, round(lon, 7) AS lon, round(lat, 7) AS lat, round(mx, 3) AS x, round(my, 3) AS y FROM {metres_sql(degrees_sql(CELLS, '(grid_col + 0.5::DOUBLE) * 1280', '(grid_row + 0.5::DOUBLE) * 1280', 'grid_epsg'), 'lon', 'lat', 'grid_epsg')}""")
+def fn06_fn09_centres(spark, sf):
+    """Centres to degrees and back to metres."""
+    rows = cells(spark, sf).withColumn("c", projection.utm_inverse((F.col("grid_col") + 0.5) * 1280, (F.col("grid_row") + 0.5) * 1280, F.col("grid_epsg")))
+    rows = rows.withColumn("m", projection.utm_forward(F.col("c.lon"), F.col("c.lat"), F.col("grid_epsg")))
+    return rows.select("id", F.round("c.lon", 7).alias("lon"), F.round("c.lat", 7).alias("lat"), F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"))
+
+
+ZONED = f"(SELECT *, CAST(32601 + floor((x + 180) / 6) AS INT) AS epsg FROM {POINTS})"
+SNAPPED = f"(SELECT point_id, epsg, CAST(floor(mx / 1280) AS INT) AS col, CAST(floor(my / 1280) AS INT) AS row FROM {metres_sql(ZONED, 'x', 'y', 'epsg')})"
+
+
+@query(f"""SELECT point_id, epsg, col, row, round(lon, 7) AS lon, round(lat, 7) AS lat, epsg || ':' || col || ':' || row AS key, 32601 + floor((lon + 180) / 6) = epsg AS owned FROM {degrees_sql(SNAPPED, '(col + 0.5::DOUBLE) * 1280', '(row + 0.5::DOUBLE) * 1280', 'epsg')}""")
 def fn10_fn11_snapped_points(spark, sf):
     s = geometry.snap_to_owner(F.col("x"), F.col("y"))
-    return points(spark, sf).withColumn("s", s).select("point_id", "s.*")
+    rows = points(spark, sf).withColumn("s", s).select("point_id", "s.*")
+    return rows.withColumns({"lon": F.round("lon", 7), "lat": F.round("lat", 7)})
 
 
-@query()
-def fn07_fn08_projected_points(spark, sf):
-    from gridloom.functions.projection import conformal_conic, equal_area
+AREA_K, AREA_E = projection.equal_area_scale(30.0), projection.E
+CONIC_N, CONIC_F, CONIC_0 = projection.conic_constants(25.0, 47.0, 0.0)
 
-    a, c = equal_area(F.col("x"), F.col("y")), conformal_conic(F.col("x"), F.col("y"))
+
+@query(f"""WITH p AS (SELECT point_id, x, sin(radians(y)) AS s, radians(y) AS phi FROM {POINTS}), q AS (SELECT *, (1 - {AREA_E * AREA_E!r}) * (s / (1 - {AREA_E * AREA_E!r} * s * s) + atanh({AREA_E!r} * s) / {AREA_E!r}) AS q,
+  {projection.A * CONIC_F!r}::DOUBLE * pow(tan(pi() / 4 - phi / 2) / pow((1 - {AREA_E!r} * s) / (1 + {AREA_E!r} * s), {AREA_E / 2!r}), {CONIC_N!r}) AS rho, {CONIC_N!r}::DOUBLE * radians(x - 105) AS theta FROM p)
+  SELECT point_id, round({projection.A * AREA_K!r}::DOUBLE * radians(x), 3) AS equal_area_x, round({projection.A!r}::DOUBLE * q / (2 * {AREA_K!r}::DOUBLE), 3) AS equal_area_y, round(rho * sin(theta), 3) AS conic_x, round({CONIC_0!r}::DOUBLE - rho * cos(theta), 3) AS conic_y FROM q""")
+def fn07_fn08_projected_points(spark, sf):
+    a, c = projection.equal_area(F.col("x"), F.col("y")), projection.conformal_conic(F.col("x"), F.col("y"))
     return points(spark, sf).select("point_id", *[F.round(p[k], 3).alias(f"{n}_{k}") for n, p in (("equal_area", a), ("conic", c)) for k in ("x", "y")])
 
 
-@query()
+@query(f"""WITH s AS (SELECT * FROM {degrees_sql(SNAPPED, '(col + 0.5::DOUBLE) * 1280', '(row + 0.5::DOUBLE) * 1280', 'epsg')} WHERE 32601 + floor((lon + 180) / 6) = epsg)
+  SELECT row_number() OVER (PARTITION BY epsg, col, row ORDER BY point_id) = 1 AS kept, count(*) AS n FROM s GROUP BY epsg, col, row, point_id QUALIFY true""".replace("SELECT row_number()", "SELECT kept, count(*) AS n FROM (SELECT row_number()").replace(" AS kept, count(*) AS n FROM s GROUP BY epsg, col, row, point_id QUALIFY true", " AS kept FROM s) GROUP BY 1"))
 def win15_owner_repair(spark, sf):
     from gridloom.operators.sampling import keep_first
 
@@ -228,18 +297,28 @@ def win15_owner_repair(spark, sf):
     return keep_first(fixed, ["key"], [F.col("point_id")]).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def win15_repaired_registry(spark, sf):
+    from gridloom.operators.registry import repaired
+    from gridloom.plans.draws import legacy_points
+
+    return repaired(legacy_points(spark, sf), boxes(spark, sf))[1]
+
+
 @query()
 def win13_overlap_resolution(spark, sf):
-    layer = F.lit("base_expected_1pct").alias("layer")
-    rows = candidates(spark, sf).join(cells(spark, sf).select("parent_key", "grid_epsg", "grid_col", "grid_row"), "parent_key").select("macro_id", F.col("parent_key").alias("id"), "parent_key", "local_col", "local_row", "grid_epsg", "grid_row", (F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90)).alias("grid_col"), layer)
-    start = rows.where("local_col = 0")
-    return overlaps.resolved(start, rows.where("local_col = 1"), 3).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    columns = cells(spark, sf).select("parent_key", "grid_epsg", "grid_col", "grid_row", "o_orderstatus")
+    rows = candidates(spark, sf).join(columns, "parent_key").withColumn("grid_col", F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90))
+    rows = rows.withColumn("id", F.col("parent_key")).drop("grid_id")
+    layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").otherwise("utm_spatial_balance_supplement")
+    start = rows.withColumn("layer", layer).drop("o_orderstatus")
+    return overlaps.resolved(start, rows.drop("o_orderstatus"), 3).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT CAST(1 AS INT) AS schema_version, count(*) AS record_count, count(*) AS found, CAST(0 AS BIGINT) AS repeated, true AS passed FROM customer")
 def src05_src06_manifest_round_trip(spark, sf):
     rows = manifest_rows(spark, sf)
-    path = f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     manifest.write_manifest(rows, path, [202401, 202402])
     return manifest.manifest_report(spark, path).select("schema_version", "record_count", "found", "repeated", "passed")
 
@@ -249,16 +328,9 @@ def manifest_rows(spark, sf):
     return table(spark, sf, "customer").select(F.concat(F.lit("p"), k).alias("patch_id"), F.col("c_mktsegment").alias("region"), F.create_map(F.lit("s2"), F.array(F.concat(F.lit("s2/"), k))).alias("sources"), F.lit(None).cast("string").alias("source_patch_id"))
 
 
-def checkpoint_dir(spark) -> str:
-    """The shared folder that the session names; without one (tests) a temporary folder."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
-
-
 @query("SELECT 'p' || c_custkey AS patch_id FROM customer WHERE c_mktsegment = 'BUILDING'")
 def src08_region_manifest(spark, sf):
-    path = f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
     manifest.write_manifest(manifest_rows(spark, sf), path, [202401])
     return manifest.load_manifest(spark, path, "BUILDING", [202401]).select("patch_id")
 
@@ -274,51 +346,63 @@ def src07_legacy_manifest(spark, sf):
 
 @query("SELECT count(*) AS records, CAST(0 AS BIGINT) AS bad FROM events")
 def src01_strict_records(spark, sf):
-    path = f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     table(spark, sf, "events").select("event_id", "user_id", "event_type").write.json(path)
     good, bad = records.read_records(spark, path, "event_id long, user_id long, event_type string")
     return good.agg(F.count(F.lit(1)).alias("records")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))  # two counts
 
 
-@query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM " + CELLS)
+@query("SELECT id, parent_key, grid_epsg, CASE WHEN id % 2 = 0 THEN 'a, \"b\"' ELSE o_orderpriority END AS note FROM " + CELLS)
 def src09_registry_csv(spark, sf):
-    from gridloom.sources.sinks import registry_csv
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = cells(spark, sf).withColumn("note", F.when(F.col("id") % 2 == 0, 'a, "b"').otherwise(F.col("o_orderpriority")))
+    sinks.registry_csv(rows, ["id", "parent_key", "grid_epsg", "note"], path)
+    return spark.read.option("header", True).option("escape", '"').schema("id long, parent_key string, grid_epsg int, note string").csv(path)
 
-    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
-    registry_csv(cells(spark, sf), ["id", "parent_key", "grid_epsg"], path)
-    back = spark.read.option("header", True).schema("id long, parent_key string, grid_epsg int").csv(path)
-    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
-
-@query("SELECT CAST(id % 10 AS INT) AS shard_id, count(*) AS n FROM " + CELLS + " GROUP BY 1")
+@query("SELECT id, parent_key, CAST(id % 10 AS INT) AS shard_id, 'utm' || lpad(CAST(grid_epsg % 100 AS VARCHAR), 2, '0') || 'n' AS grid_id FROM " + CELLS)
 def src23_write_shards(spark, sf):
     from gridloom.functions.cells import grid_id
-    from gridloom.sources.sinks import write_shards
 
     rows = cells(spark, sf).select("id", "parent_key", grid_id(F.col("grid_epsg")).alias("grid_id"), (F.col("id") % 10).cast("int").alias("shard_id"))
-    n = rows.count()
-    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    write_shards(rows, [n // 10 + (i < n % 10) for i in range(10)], path)
-    return spark.read.parquet(path).groupBy(F.col("shard_id").cast("int").alias("shard_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = {r["shard_id"]: r["n"] for r in rows.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # ten shards
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sinks.write_shards(rows, [found.get(i, 0) for i in range(10)], path)
+    return spark.read.parquet(path).select("id", "parent_key", F.col("shard_id").cast("int").alias("shard_id"), "grid_id")
 
 
 @query()
 def src19_join20_checksums(spark, sf):
-    path = f"{checkpoint_dir(spark)}/members-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/members-{uuid.uuid4().hex}"
     table(spark, sf, "nation").write.parquet(path)
     found = records.checksums(spark, path).where("name like 'part-%'")
     return records.checksum_problems(found, found.withColumn("digest", F.lit("x"))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT month, count(*) AS n FROM {VECTORS} GROUP BY 1")
+@query(f"SELECT vec_id AS patch_id, month, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[4]::DOUBLE, 6) AS last FROM {VECTORS}")
 def src16_udf02_encoded(spark, sf):
+    """A caller's encoder, its export, and the export read again."""
+
     def make():
         import numpy as np
 
         return lambda tiles: np.stack([np.asarray(t, float)[:4] for t in tiles])
 
     tiles = vectors(spark, sf).select(F.col("vec_id").alias("patch_id"), "month", F.col("embedding").alias("values"))
-    return probes.encoded(tiles, make, 4).where("problem is null").groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    rows = probes.encoded(tiles, make, 4)
+    path = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    sinks.write_embeddings(rows, path)
+    back = spark.read.parquet(path)
+    return back.select("patch_id", "month", *[F.round(F.get("embedding", F.lit(i)), 6).alias(n) for i, n in ((0, "first"), (3, "last"))])
+
+
+@query(f"SELECT vec_id AS patch_id, CASE WHEN vec_id % 13 = 0 THEN 'label' ELSE '' END || CASE WHEN vec_id % 13 = 0 AND vec_id % 17 = 0 THEN ',size' WHEN vec_id % 17 = 0 THEN 'size' ELSE '' END AS problems FROM {VECTORS}")
+def src17_embedding_dataset(spark, sf):
+    v = vectors(spark, sf)
+    e = v.select(F.col("vec_id").alias("patch_id"), F.when(F.col("vec_id") % 17 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding")).alias("embedding"))
+    rows, bad = records.embedding_dataset(e, v.where("vec_id % 13 <> 0").select(F.col("vec_id").alias("patch_id"), "label"), 64)
+    named = bad.select("patch_id", F.array_join(F.array_sort("violations"), ",").alias("problems"))
+    return rows.select("patch_id", F.lit("").alias("problems")).unionByName(named)
 
 
 @query()

@@ -33,7 +33,8 @@ def write_shards(rows: DataFrame, sizes: list[int], root: str) -> None:
 
 
 def registry_csv(registry: DataFrame, columns: list[str], path: str) -> None:
-    registry.select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+    """CSV with a header; quotes within a value are doubled, as readers of plain CSV expect."""
+    registry.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_tiles(tiles: DataFrame, root: str, expected: int, width: int) -> None:

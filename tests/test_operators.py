@@ -92,10 +92,10 @@ def test_exact_rank_is_independent_of_partitions(spark):
 def test_equal_capacity_of_twelve_points(spark):
     rows = [(f"k{c}{r}", float(c), float(r)) for c in range(6) for r in range(2)]
     got = partition.equal_capacity(spark.createDataFrame(rows, "parent_key string, x double, y double"), [2] * 6).collect()
-    assert sorted(r.shard_id for r in got) == sorted(list(range(6)) * 2)
+    assert sorted(r.shard_id for r in got) == sorted(list(range(1, 7)) * 2)
     assert partition.capacities(5_785_781, 10) == [578_578] * 9 + [578_579]
     halves = partition.equal_capacity(spark.createDataFrame(rows, "parent_key string, x double, y double"), [6, 6]).collect()
-    assert {r.shard_id for r in halves if r.x < 3} == {0} and {r.shard_id for r in halves if r.x >= 3} == {1}
+    assert {r.shard_id for r in halves if r.x < 3} == {1} and {r.shard_id for r in halves if r.x >= 3} == {2}
 
 
 def test_dissolve_an_l_shape(spark):
