@@ -91,7 +91,18 @@ def win03_stratum_pool(spark, sf):
     return pool(spark, sf).select("patch_id", "stratum", "place")
 
 
-@query()
+#: The greedy walk in SQL: one pool row a step, with what was taken so far as lists.
+WALK = f"""WITH RECURSIVE quota AS (SELECT * FROM (VALUES (0, '1-URGENT', 40), (1, '2-HIGH', 30), (2, '3-MEDIUM', 20)) q(turn, stratum, quota)),
+  base AS (SELECT patch_id FROM {BASE}), held AS (SELECT a.patch_id, stratum, coalesce(region, 'unknown') AS region FROM base JOIN {ATLAS} a USING (patch_id)),
+  pool AS (SELECT p.patch_id, p.stratum, coalesce(region, 'unknown') AS region, grid_id || ':' || macro_row || ':' || macro_col AS macro_id, quota, row_number() OVER (ORDER BY turn, place) AS i FROM {POOL} p JOIN quota USING (stratum) WHERE patch_id NOT IN (SELECT patch_id FROM base)),
+  walk AS (SELECT CAST(0 AS BIGINT) AS i, NULL::VARCHAR AS patch_id, NULL::VARCHAR AS stratum, NULL::VARCHAR AS region, false AS ok, []::VARCHAR[] AS taken, []::VARCHAR[] AS macros, coalesce((SELECT list(stratum || '/' || region) FROM held JOIN quota USING (stratum)), []::VARCHAR[]) AS filled
+    UNION ALL SELECT i, patch_id, stratum, region, ok, CASE WHEN ok THEN list_append(taken, patch_id) ELSE taken END, CASE WHEN ok THEN list_append(macros, macro_id) ELSE macros END, CASE WHEN ok THEN list_append(filled, stratum || '/' || region) ELSE filled END FROM (
+      SELECT p.*, w.taken, w.macros, w.filled, len(list_filter(w.filled, lambda x: starts_with(x, p.stratum || '/'))) < p.quota AND NOT list_contains(w.taken, p.patch_id) AND NOT list_contains(w.macros, p.macro_id) AND p.region <> 'unknown'
+        AND len(list_filter(w.filled, lambda x: x = p.stratum || '/' || p.region)) < ceil(p.quota * 0.5) AS ok FROM walk w JOIN pool p ON p.i = w.i + 1))
+  SELECT patch_id, stratum, region FROM walk WHERE ok"""
+
+
+@query(WALK)
 def win04_quota_fill(spark, sf):
     return sampling.fill_quotas(pool(spark, sf).withColumn("macro_id", macro_id()), base_rows(spark, sf), QUOTAS, 1, 0.5, 10_000)
 

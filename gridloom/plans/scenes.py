@@ -211,7 +211,7 @@ def fn43_dropout(spark, sf):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("by_source").cast("long")).alias("kept"), F.sum(F.col("kept").cast("long")).alias("kept_blocks"))
 
 
-@query()
+@query(f"""SELECT patch_id AS sample_id, count(DISTINCT month) AS months, CAST(least(floor({unit("'6:months:' || patch_id")} * 3) + 1, count(DISTINCT month)) AS BIGINT) AS dropped FROM {OBS} GROUP BY 1""")
 def fn43_month_dropout(spark, sf):
     rows = observations(spark, sf).select(F.col("patch_id").alias("sample_id"), "month").distinct()
     return frames.month_dropout(rows, 6, 3).groupBy("sample_id").agg(F.count(F.lit(1)).alias("months"), F.sum((~F.col("kept")).cast("long")).alias("dropped"))

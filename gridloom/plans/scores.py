@@ -181,7 +181,7 @@ def join02_agg11_grid_counts(spark, sf):
 def at_seams(spark, sf):
     """Every cell moved beside the seam of its zone: even zones to the east end, odd ones to the west end."""
     c = cells(spark, sf)
-    moved = F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90)
+    moved = F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-150)
     return c.select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", moved.alias("grid_col"), "o_orderstatus")
 
 
@@ -297,7 +297,8 @@ def win15_owner_repair(spark, sf):
     return keep_first(fixed, ["key"], [F.col("point_id")]).groupBy("kept").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, EXISTS (SELECT 1 FROM {BOXES} WHERE lon BETWEEN x0 AND x0 + 11.5 AND lat BETWEEN y0 AND y0 + 6.5) AS inside FROM {degrees_sql(SNAPPED, '(col + 0.5::DOUBLE) * 1280', '(row + 0.5::DOUBLE) * 1280', 'epsg')} WHERE 32601 + floor((lon + 180) / 6) = epsg AND point_id % 7 = 0)
+  SELECT count(*) AS owner_zone_mismatch, count(*) FILTER (inside) AS owner_zone_repaired, count(*) FILTER (NOT inside) AS dropped_outside_after_repair, CAST(count(*) FILTER (inside) - count(DISTINCT epsg || ':' || col || ':' || row) FILTER (inside) AS BIGINT) AS dropped_duplicate_patch_id FROM s""")
 def win15_repaired_registry(spark, sf):
     from gridloom.operators.registry import repaired
     from gridloom.plans.draws import legacy_points
@@ -308,7 +309,7 @@ def win15_repaired_registry(spark, sf):
 @query()
 def win13_overlap_resolution(spark, sf):
     columns = cells(spark, sf).select("parent_key", "grid_epsg", "grid_col", "grid_row", "o_orderstatus")
-    rows = candidates(spark, sf).join(columns, "parent_key").withColumn("grid_col", F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-90))
+    rows = candidates(spark, sf).join(columns, "parent_key").withColumn("grid_col", F.col("grid_col") + F.when(F.col("grid_epsg") % 2 == 0, 160).otherwise(-150))
     rows = rows.withColumn("id", F.col("parent_key")).drop("grid_id")
     layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").otherwise("utm_spatial_balance_supplement")
     start = rows.withColumn("layer", layer).drop("o_orderstatus")
