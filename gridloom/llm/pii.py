@@ -19,7 +19,7 @@ names: own ones get names that no column has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import fresh, materialise, release, text_or_empty
@@ -29,6 +29,8 @@ MIN_SUPPORT = 2
 THRESHOLD = 0.9
 #: Common terms, at most, whose counts are broadcast to leave out pairs that cannot disclose.
 COMMON_TERMS = 100_000
+#: Row numbers, at most, that are broadcast (8 bytes each) to pick the texts with a flagged term before any is shuffled.
+BROADCAST_ROWS = 2_000_000
 
 #: Kinds in the order of the report; possessive quantifiers keep long runs linear, and a look-behind
 #: starts a match only at a run's first character or where the last match ended.
@@ -159,8 +161,9 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     """
     total = float(max(docs.count(), 1))
     every = materialise(entities(found), "entities")
-    entity_docs = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support)
-    held = materialise(every.join(entity_docs, ["kind", "value"]), "holders")
+    known = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support)
+    known = materialise(known.withColumn("entity", F.monotonically_increasing_id()), "known")  # numbers, so that pairs stay short
+    held = materialise(every.join(known, ["kind", "value"]).select("pii_row", "entity", "entity_docs"), "holders")
     counted = docs.select(F.explode(with_classes(terms(text_or_empty(F.col("text"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     term_docs = materialise(counted.where(F.col("term_docs") >= min_support), "terms")
     is_class = F.col("term").startswith(MASK)
@@ -178,18 +181,19 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     holders = found.join(held.select("pii_row").distinct(), "pii_row", "left_semi").select("pii_row", "pii_base")
     beside = texts(docs).join(holders, "pii_row").select("pii_row", with_classes(terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM)).alias("terms"))
     beside = materialise(beside, "beside")
-    met = beside.join(held, "pii_row").select("kind", "value", "entity_docs", F.explode("terms").alias("term"))
+    met = beside.join(held, "pii_row").select("entity", "entity_docs", F.explode("terms").alias("term"))
     # A term of more documents than this reaches the threshold with no entity of so few, even if it is in all of them.
     most = F.pow("entity_docs", F.lit(threshold)) * total ** (1 - threshold) * (1 + 1e-9)
     able = met.join(F.broadcast(common), "term", "left").where(F.col("common_docs").isNull() | (F.col("common_docs") <= most))
-    pair = ["kind", "value", "term"]
-    both = materialise(able.groupBy(*pair).agg(F.count(F.lit(1)).alias("both"), F.first("entity_docs").alias("entity_docs")).where(F.col("both") >= min_support), "pairs")
+    both = able.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
+    both = materialise(both.join(known, "entity"), "pairs")
 
     information = F.log2(F.lit(total) / F.col("entity_docs"))
     mutual = F.log2(F.col("both") * F.lit(total) / (F.col("entity_docs") * F.col("term_docs")))
-    known = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))).join(term_docs, "term")
-    strong = materialise(known.where(F.when(information > 0, mutual / information).otherwise(0.0) >= threshold).select(*pair), "strong")
-    release(every, held, beside, both, term_docs)
+    evident = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))).join(term_docs, "term")
+    pair = ["kind", "value", "term"]
+    strong = materialise(evident.where(F.when(information > 0, mutual / information).otherwise(0.0) >= threshold).select(*pair), "strong")
+    release(every, known, held, beside, both, term_docs)
     general = strong.where(is_class).select("kind", "value", F.substring("term", 2, 100).alias("class"), F.lit(True).alias("general"))
     judged = strong.where(~is_class).withColumn("class", term_class(F.col("term"))).join(general, ["kind", "value", "class"], "left")
     return judged.select(*pair, F.when(F.col("general"), "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
@@ -198,22 +202,33 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(pii_row, pii_terms array<struct<start, kind, stop, value>>): disclosing terms; value is the replacement.
 
-    Every occurrence in every text but inside base entities. Only texts that hold a flagged term are
-    exploded by place, since the places are running sums over a text's terms.
+    Every occurrence in every text but inside base entities. Texts that hold a flagged term are searched
+    for the forms in which it stands in them; the others are read once, and not shuffled while the former are few.
     """
     flagged = materialise(disclosing(docs, found).groupBy("term").agg(F.min("replacement").alias("value")), "flagged")
     rows = texts(docs)
-    hit = materialise(rows.select("pii_row", F.explode(terms(F.col("pii_text"))).alias("term")).join(flagged.select("term"), "term", "left_semi").select("pii_row").distinct(), "hit")
-    gaps, runs = F.split(F.col("pii_text"), TERM, -1), F.regexp_extract_all(F.col("pii_text"), F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), runs, lambda g, f: F.struct((F.length(g) + F.length(f)).alias("step"), F.length(f).alias("size"), F.lower(f).alias("term")))
-    places = rows.join(hit, "pii_row").select("pii_row", F.posexplode(pairs).alias("pos", "t")).select("pii_row", "pos", "t.*")
-    stop = F.sum("step").over(Window.partitionBy("pii_row").orderBy("pos")).cast("int")
-    placed = places.withColumn("stop", stop).join(flagged, "term")
-    item = F.struct((F.col("stop") - F.col("size")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), "stop", "value")
-    spans = placed.groupBy("pii_row").agg(F.collect_list(item).alias("pii_terms")).join(found.select("pii_row", "pii_base"), "pii_row", "left")
+    forms = F.array_distinct(F.regexp_extract_all("pii_text", F.lit(TERM), F.lit(0)))
+    held = rows.select("pii_row", F.explode(forms).alias("form")).withColumn("term", F.lower("form")).join(flagged, "term")
+    held = held.groupBy("pii_row").agg(F.sort_array(F.collect_list(F.struct("form", "value"))).alias("forms"))
+    held = materialise(held.withColumn("forms", F.map_from_entries("forms")), "forms")
+    if held.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(held.select("pii_row")), "pii_row", "left_semi")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("forms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    marked = rows.join(held, "pii_row").withColumn("pattern", pattern)
+    gaps, runs = F.split("pii_text", F.col("pattern"), -1), F.regexp_extract_all("pii_text", F.col("pattern"), F.lit(0))
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda g, f: F.struct(g.alias("gap"), f.alias("form")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.length(p["gap"])
+        stop = at + F.length(p["form"])
+        item = F.struct(at.alias("start"), F.lit(KINDS.index("term")).alias("kind"), stop.alias("stop"), F.element_at("forms", p["form"]).alias("value"))
+        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+
+    spans = marked.select("pii_row", F.aggregate(pairs, start, step, lambda acc: acc["out"]).alias("pii_terms")).join(found.select("pii_row", "pii_base"), "pii_row", "left")
     clear = F.filter("pii_terms", lambda t: ~F.exists(F.coalesce("pii_base", F.array().cast(SPANS)), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     out = materialise(spans.select("pii_row", clear.alias("pii_terms")).where(F.size("pii_terms") > 0), "term_spans")
-    release(flagged, hit)
+    release(flagged, held)
     return out
 
 
