@@ -157,11 +157,14 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     """(kind, value, term, replacement): terms that disclose an entity; ``found`` is located(), written.
 
     The replacement is the term's class in angle brackets, or empty where the class discloses too. Classes
-    are counted like terms, in the same pass.
+    are counted like terms, in the same pass. Of entities of the same documents the least is named.
     """
     total = float(max(docs.count(), 1))
     every = materialise(entities(found), "entities")
-    known = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= min_support)
+    # Entities of the very same documents (told by count and two sums of hashes) disclose alike: one stands for all.
+    sums = [F.sum(F.xxhash64("pii_row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("pii_row", F.lit(1))).alias("x")]
+    known = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs"), *sums).where(F.col("entity_docs") >= min_support)
+    known = known.groupBy("entity_docs", "s", "x").agg(F.min(F.struct("kind", "value")).alias("e")).select("e.*", "entity_docs")
     known = materialise(known.withColumn("entity", F.monotonically_increasing_id()), "known")  # numbers, so that pairs stay short
     held = materialise(every.join(known, ["kind", "value"]).select("pii_row", "entity", "entity_docs"), "holders")
     counted = docs.select(F.explode(with_classes(terms(text_or_empty(F.col("text"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
