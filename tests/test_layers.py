@@ -151,3 +151,13 @@ def test_inventory_keeps_the_area_of_its_parts(spark):
     area = parts.select(ring_area(F.transform("ring", lambda p: equal_area(p["x"], p["y"]))).alias("a")).first().a
     assert sum(r.land_fraction for r in got) * 12_800**2 == pytest.approx(area, rel=2e-3)
     assert all(0 < r.land_fraction <= 1 for r in got)
+
+
+def test_a_layer_is_filled_up_after_an_overlap(spark):
+    columns = "macro_id string, id string, parent_key string, local_col int, local_row int, grid_epsg int, grid_row int, grid_col int"
+    rows = [("m1", "west", "west", 7, 1, 32646, 2911, 607, "base_expected_1pct"), ("m2", "east", "east", 3, 1, 32647, 2911, 173, "utm_spatial_balance_supplement")]
+    pool = [(m, f"{m}{i}", f"{m}{i}", i, 0, 32646, 2911, 400 + 10 * k + i) for k, m in enumerate(("m2", "m5", "m6")) for i in range(5)]
+    got = overlaps.resolved(spark.createDataFrame(rows, columns + ", layer string"), {k: spark.createDataFrame(pool, columns) for k in sampling.PRIORITY}, 3).collect()
+    plain = [(c[0], "", c[3], c[4], c[2]) for c in pool if c[0] != "m2"]
+    want = drawn(plain, 3 + 70_000 + 1, "utm_spatial_balance_supplement:macro:", 1)
+    assert sorted((r.macro_id, r.id, r.layer) for r in got) == sorted([("m1", "west", "base_expected_1pct"), (*want[0], "utm_spatial_balance_supplement")])
