@@ -192,8 +192,10 @@ def connected(edges: DataFrame) -> DataFrame:
     before they are joined, so that a hub with very many edges is split, never one task.
     """
     cur = materialise(edges.where("a <> b").select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
-    before = None
-    while True:
+    stamp = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = stamp(cur)
+    while now[0]:
+        before = now
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -204,7 +206,7 @@ def connected(edges: DataFrame) -> DataFrame:
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(moved.select("a", F.col("m").alias("b")))
         cur = materialise(small.where("a <> b").distinct(), "edges")
         release(spread, least)
-        now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+        now = stamp(cur)
+        if now == before:
+            break
+    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -335,8 +335,8 @@ def near_links(posted: DataFrame, places: DataFrame, texts: DataFrame) -> DataFr
     links = lambda pairs: materialise(verified(materialise(retained(pairs, held, MINIMUM), "retained"), sets), "similar")
     tested = materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     found = links(tested)
+    roots = connected(found)
     for turn in range(1, LEADER_ROUNDS + 1):
-        roots = connected(found)
         named = materialise(met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root")), "named")
         spans = named.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
         spans = materialise(spans.select("value", "n", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "open")
@@ -351,9 +351,12 @@ def near_links(posted: DataFrame, places: DataFrame, texts: DataFrame) -> DataFr
             pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         fresh_pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         release(named, spans)
-        found = materialise(found.unionByName(links(fresh_pairs)), "similar")
+        new = links(fresh_pairs)
+        if not new.isEmpty():
+            found = materialise(found.unionByName(new), "similar")
+            roots = connected(found)
         if last:
-            return connected(found)
+            return roots
         tested = tested.unionByName(fresh_pairs)
 
 
