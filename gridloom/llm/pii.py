@@ -29,7 +29,7 @@ MIN_SUPPORT = 2
 THRESHOLD = 0.9
 #: Common terms, at most, whose counts are broadcast to leave out pairs that cannot disclose.
 COMMON_TERMS = 100_000
-#: Row numbers, at most, that are broadcast (8 bytes each) to pick the texts with a flagged term before any is shuffled.
+#: Row numbers, at most, that are broadcast (8 bytes each) to pick the texts with an entity or a flagged term before any is shuffled.
 BROADCAST_ROWS = 2_000_000
 
 #: Kinds in the order of the report; possessive quantifiers keep long runs linear, and a look-behind
@@ -182,7 +182,10 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     common = term_docs.where(~is_class & (F.col("term_docs") >= cut)).select("term", F.col("term_docs").alias("common_docs"))
 
     holders = found.join(held.select("pii_row").distinct(), "pii_row", "left_semi").select("pii_row", "pii_base")
-    beside = texts(docs).join(holders, "pii_row").select("pii_row", with_classes(terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM)).alias("terms"))
+    rows, ids = texts(docs), materialise(held.select("pii_row").distinct(), "holding")
+    if ids.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ids), "pii_row", "left_semi")  # else all texts would be shuffled
+    beside = rows.join(holders, "pii_row").select("pii_row", with_classes(terms(masked(F.col("pii_text"), F.col("pii_base")), CLEAR_TERM)).alias("terms"))
     beside = materialise(beside, "beside")
     met = beside.join(held, "pii_row").select("entity", "entity_docs", F.explode("terms").alias("term"))
     # A term of more documents than this reaches the threshold with no entity of so few, even if it is in all of them.
@@ -196,7 +199,7 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
     evident = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))).join(term_docs, "term")
     pair = ["kind", "value", "term"]
     strong = materialise(evident.where(F.when(information > 0, mutual / information).otherwise(0.0) >= threshold).select(*pair), "strong")
-    release(every, known, held, beside, both, term_docs)
+    release(every, known, held, ids, beside, both, term_docs)
     general = strong.where(is_class).select("kind", "value", F.substring("term", 2, 100).alias("class"), F.lit(True).alias("general"))
     judged = strong.where(~is_class).withColumn("class", term_class(F.col("term"))).join(general, ["kind", "value", "class"], "left")
     return judged.select(*pair, F.when(F.col("general"), "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
