@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import bpe, embdedup, lm, oracles, packing, pii, quality, simhash, tokenbin, toxicity, urlgraph
+from gridloom.llm import bpe, embdedup, lm, oracles, packing, periodic, pii, quality, simhash, tokenbin, toxicity, urlgraph
 from gridloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_pii_disclosure,
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_embedding_ego,
         op9_packing_kk,
         op10_url_pagerank,
+        op12_periodic_runs,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
