@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from gridloom.llm.mtree import EVERY, K, SCALE
 from gridloom.llm.quality import FAR, KEPT_BITS, METRICS, MIN_GROUP, RATIOS, REACH
 from gridloom.llm.urlgraph import BLOCK_SHARE, DAMPING, RULES, TOLERANCE
 
@@ -74,5 +75,12 @@ bad AS (SELECT d.host FROM dr d LEFT JOIN gr g ON g.host = d.host WHERE d.r > {B
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM q"""
 
 
+def products() -> str:
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {K}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op8_embedding_ego": embeddings(), "op10_url_pagerank": urls()}
+    return {"op6_quality_rules": quality(), "op8_embedding_ego": embeddings(), "op10_url_pagerank": urls(), "op13_mtree_topk": products()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import bpe, embdedup, lm, oracles, packing, periodic, pii, quality, simhash, tokenbin, toxicity, urlgraph
+from gridloom.llm import bpe, embdedup, lm, mtree, oracles, packing, periodic, pii, quality, simhash, tokenbin, toxicity, urlgraph
 from gridloom.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op13_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_pii_disclosure,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_packing_kk,
         op10_url_pagerank,
         op12_periodic_runs,
+        op13_mtree_topk,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
