@@ -7,6 +7,7 @@ import math
 from gridloom.llm.mtree import EVERY, K, SCALE
 from gridloom.llm.quality import FAR, KEPT_BITS, METRICS, MIN_GROUP, RATIOS, REACH
 from gridloom.llm.urlgraph import BLOCK_SHARE, DAMPING, RULES, TOLERANCE
+from gridloom.llm.variants import DROPPED, LEAST_COUNT, LEAST_LETTERS, RATIO
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -75,6 +76,22 @@ bad AS (SELECT d.host FROM dr d LEFT JOIN gr g ON g.host = d.host WHERE d.r > {B
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM q"""
 
 
+def spelling() -> str:
+    low = "translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{C0}-\\x{FF}]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: {step})) AS crc),
+r AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM (SELECT doc_id, {low} AS run FROM documents) GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, list_extract(crc, (xor(c, b) & 255) + 1))), 4294967295) AS h FROM r, t),
+w AS (SELECT CASE WHEN h % {DROPPED} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= {LEAST_LETTERS} AND sum(n) >= {LEAST_COUNT}),
+p AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM w) UNION ALL SELECT word, unnest(range(length(word) + 1)), word FROM w),
+e AS (SELECT DISTINCT x.word AS word, y.word AS near FROM p x JOIN p y USING (i, rest) WHERE x.word <> y.word),
+f AS (SELECT e.word, count(*) AS n_near, max(w.n) AS m, arg_min(near, (-w.n, near)) AS best FROM e JOIN w ON w.word = near GROUP BY 1),
+g AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * n THEN best END AS form, CASE WHEN m >= {RATIO} * n THEN m END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+z AS (SELECT word, word AS root, form AS next FROM g UNION ALL SELECT z.word, z.next, g.form FROM z JOIN g ON g.word = z.next)
+SELECT g.word, form, root, n, n_near, form_n FROM g JOIN z ON z.word = g.word AND next IS NULL"""
+
+
 def products() -> str:
     return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -83,4 +100,4 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality(), "op8_embedding_ego": embeddings(), "op10_url_pagerank": urls(), "op13_mtree_topk": products()}
+    return {"op6_quality_rules": quality(), "op8_embedding_ego": embeddings(), "op10_url_pagerank": urls(), "op11_spelling_variants": spelling(), "op13_mtree_topk": products()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gridloom.llm import bpe, embdedup, lm, mtree, oracles, packing, periodic, pii, quality, simhash, tokenbin, toxicity, urlgraph
+from gridloom.llm import bpe, embdedup, lm, mtree, oracles, packing, periodic, pii, quality, simhash, tokenbin, toxicity, urlgraph, variants
 from gridloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.report(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_embedding_ego,
         op9_packing_kk,
         op10_url_pagerank,
+        op11_spelling_variants,
         op12_periodic_runs,
         op13_mtree_topk,
     ]
