@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, StructField, StructType
 
+from gridloom.functions import rings as R
 from gridloom.functions.cells import CELL_M, canonical_bounds, parent_key, utm_owner_epsg
 from gridloom.functions.projection import let, utm_forward, utm_inverse
 
 
+RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
+#: How far the sides and the area of a cell may be off, in metres and square metres.
+SIDE_TOLERANCE, AREA_TOLERANCE = 1e-3, 1.0
+
+
 def corners(bounds: Column) -> list[tuple[Column, Column]]:
     """Lower left, lower right, upper right, upper left of array(left, bottom, right, top)."""
     left, bottom, right, top = (F.get(bounds, F.lit(i)).cast("double") for i in range(4))
@@ -22,9 +26,37 @@ def corners(bounds: Column) -> list[tuple[Column, Column]]:
 
 def footprint(epsg: Column, bounds: Column) -> Column:
     """array<struct<x, y>>: the cell's corners in degrees."""
-    flat = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners(bounds)])
-    degrees = F.transform(flat, lambda p: utm_inverse(p["x"], p["y"], epsg))
-    return F.transform(degrees, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    return _footprint(epsg.cast("long"), F.transform(bounds, lambda v: v.cast("double")))
+
+
+@F.arrow_udf(RING)
+def _footprint(epsg: pa.Array, bounds: pa.Array) -> pa.Array:
+    rings, missing = _degrees(epsg, bounds)
+    return rings.arrow(missing)
+
+
+def _degrees(epsg: pa.Array, bounds: pa.Array) -> tuple[R.Rings, np.ndarray]:
+    """Rings in degrees of boxes array(left, bottom, right, top) in metres of their zones, and which are missing."""
+    zone, missing = R.column(epsg, np.int64)
+    missing = missing | np.asarray(bounds.is_null())
+    box = np.zeros((len(zone), 4))
+    box[~np.asarray(bounds.is_null())] = bounds.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+    x, y = R.degrees(box[:, [0, 2, 2, 0]], box[:, [1, 1, 3, 3]], zone[:, None])
+    return R.Rings(x, y, np.where(missing, 0, 4)), missing
+
+
+def footprint_plane(epsg: Column, bounds: Column) -> Column:
+    """struct(box, flat, area): a cell's box in degrees (west, south, east, north), its ring on the equal-area plane and its area there."""
+    return _plane(epsg.cast("long"), F.transform(bounds, lambda v: v.cast("double")))
+
+
+@F.arrow_udf(StructType([StructField("box", ArrayType(DoubleType())), StructField("flat", RING), StructField("area", DoubleType())]))
+def _plane(epsg: pa.Array, bounds: pa.Array) -> pa.Array:
+    ring, missing = _degrees(epsg, bounds)
+    sides = np.stack([ring.x.min(1, initial=np.inf), ring.y.min(1, initial=np.inf), ring.x.max(1, initial=-np.inf), ring.y.max(1, initial=-np.inf)], 1)
+    flat = R.Rings(*R.equal_area(ring.x, ring.y), ring.size)
+    box = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(sides) + 1, 4, np.int32)), pa.array(sides.ravel()))
+    return pa.StructArray.from_arrays([box, flat.arrow(), pa.array(flat.area())], ["box", "flat", "area"], mask=pa.array(missing))
 
 
 def ring_bounds(ring: Column) -> Column:
@@ -64,20 +96,19 @@ def canonical_ring(ring: Column, digits: int = 9) -> Column:
 
 
 def footprint_hash(ring: Column) -> Column:
-    """SHA-256 of the canonical ring's text; comparable within this engine only."""
-    text = F.transform(canonical_ring(ring), lambda p: F.format_string("%.9f %.9f", p["x"], p["y"]))
-    return F.sha2(F.array_join(text, ","), 256)
+    """SHA-256 of the WKB of the canonical ring: 9 decimals, clockwise from the least corner, closed, little-endian."""
+    return F.sha2(_wkb(ring, F.lit(True)), 256)
 
 
 def ring_wkb(ring: Column) -> Column:
-    """Little-endian WKB polygon with one closed ring, built from the doubles' bits."""
-    return _wkb(F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"]))
+    """Little-endian WKB polygon with one closed ring, the corners as they are."""
+    return _wkb(ring, F.lit(False))
 
 
-@F.pandas_udf(BinaryType())
-def _wkb(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    head = b"\x01\x03\x00\x00\x00\x01\x00\x00\x00"
-    return pd.Series([None if x is None else head + np.uint32(len(x) + 1).tobytes() + np.stack([np.append(x, x[0]), np.append(y, y[0])], 1).astype("<f8").tobytes() for x, y in zip(xs, ys)])
+@F.arrow_udf(BinaryType())
+def _wkb(ring: pa.Array, canonical: pa.Array) -> pa.Array:
+    rings, missing = R.of_arrow(ring)
+    return R.wkb(R.canonical(rings) if len(canonical) and canonical[0].as_py() else rings, missing)
 
 
 def vertex_difference(a: Column, b: Column) -> Column:
@@ -107,7 +138,7 @@ def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y
     return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
 
 
-def cell_is_valid(epsg: Column, ring: Column, side: float = CELL_M, side_tolerance: float = 1e-3, area_tolerance: float = 1.0) -> Column:
+def cell_is_valid(epsg: Column, ring: Column, side: float = CELL_M, side_tolerance: float = SIDE_TOLERANCE, area_tolerance: float = AREA_TOLERANCE) -> Column:
     """Projected back to its zone, a footprint is a square of the nominal side and area."""
 
     def square(flat: Column) -> Column:
@@ -161,55 +192,48 @@ def zones_of(west: Column, east: Column) -> Column:
     return F.sequence(zone(west), zone(east))
 
 
-def clip_ring(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
-    """The part of a polygon inside a convex one, by cutting with each of its edges."""
-    if len(subject) < 3 or len(clip) < 3:
-        return np.empty((0, 2))
-    turn = float(np.sum(clip[:, 0] * np.roll(clip[:, 1], -1) - np.roll(clip[:, 0], -1) * clip[:, 1]))
-    clip = clip if turn > 0 else clip[::-1]
-    for (ax, ay), (bx, by) in zip(clip, np.roll(clip, -1, axis=0)):
-        if not len(subject):
-            break
-        side = (bx - ax) * (subject[:, 1] - ay) - (by - ay) * (subject[:, 0] - ax)
-        if (side >= 0).all():
-            continue
-        out = []
-        for i in range(len(subject)):
-            j = (i + 1) % len(subject)
-            if side[i] >= 0:
-                out.append(subject[i])
-            if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-                out.append(subject[i] + (subject[j] - subject[i]) * (side[i] / (side[i] - side[j])))
-        subject = np.array(out).reshape(-1, 2)
-    return subject
-
-
-def clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
-    """Area of a polygon inside a convex one."""
-    part = clip_ring(subject, clip)
-    return abs(float(np.sum(part[:, 0] * np.roll(part[:, 1], -1) - np.roll(part[:, 0], -1) * part[:, 1]))) / 2 if len(part) >= 3 else 0.0
-
-
 def clipped(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """The ring's part inside a box; empty where they do not meet."""
-    part = lambda k: F.transform(ring, lambda p: p[k])
-    cut = _clipped(part("x"), part("y"), F.array(*[c.cast("double") for c in (west, south, east, north)]))
-    return F.arrays_zip(cut["x"].alias("x"), cut["y"].alias("y"))
+    w, s, e, n = (c.cast("double") for c in (west, south, east, north))
+    return _clipped(ring, F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((w, s), (e, s), (e, n), (w, n))]))
 
 
-@F.pandas_udf(StructType([StructField("x", ArrayType(DoubleType())), StructField("y", ArrayType(DoubleType()))]))
-def _clipped(xs: pd.Series, ys: pd.Series, boxes: pd.Series) -> pd.DataFrame:
-    cut = [clip_ring(np.stack([x, y], 1), np.array([(w, s), (e, s), (e, n), (w, n)])) for x, y, (w, s, e, n) in zip(xs, ys, boxes)]
-    return pd.DataFrame({"x": [c[:, 0] for c in cut], "y": [c[:, 1] for c in cut]})
+@F.arrow_udf(RING)
+def _clipped(subject: pa.Array, box: pa.Array) -> pa.Array:
+    (a, missing), (b, also) = R.of_arrow(subject), R.of_arrow(box)
+    return R.clipped(a, b).arrow(missing | also)
 
 
 def overlap_area(subject: Column, clip: Column) -> Column:
     """Area of ring ``subject`` inside the convex ring ``clip``."""
-    part = lambda r, k: F.transform(r, lambda p: p[k])
-    return _overlap(part(subject, "x"), part(subject, "y"), part(clip, "x"), part(clip, "y"))
+    return _overlap(subject, clip)
+
 
+@F.arrow_udf(DoubleType())
+def _overlap(subject: pa.Array, clip: pa.Array) -> pa.Array:
+    (a, missing), (b, also) = R.of_arrow(subject), R.of_arrow(clip)
+    return pa.array(R.clipped_area(a, b), mask=missing | also)
 
-@F.pandas_udf(DoubleType())
-def _overlap(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for ax, ay, bx, by in batches:
-        yield pd.Series([clip_area(np.stack([x, y], 1), np.stack([u, v], 1)) for x, y, u, v in zip(ax, ay, bx, by)], dtype=float)
+
+def clip_area(subject: np.ndarray, clip: np.ndarray) -> float:
+    """Area of one polygon inside a convex one."""
+    one = lambda ring: R.Rings.packed(ring[:, 0], ring[:, 1], np.array([len(ring)]))
+    return float(R.clipped_area(one(subject), one(clip))[0])
+
+
+def footprint_checks(epsg: Column, col: Column, row: Column, ring: Column) -> Column:
+    """struct(difference, wkb, valid) of a cell's ring, all of a batch at once: the greatest difference of its corners from the
+    nominal footprint's (the Hausdorff distance where their numbers differ), the WKB of the canonical ring, and whether the ring
+    is a cell's square when projected back to its zone. Null for a null ring or cell."""
+    return _checks(epsg.cast("long"), col.cast("long"), row.cast("long"), ring)
+
+
+@F.arrow_udf(StructType([StructField("difference", DoubleType()), StructField("wkb", BinaryType()), StructField("valid", BooleanType())]))
+def _checks(epsg: pa.Array, col: pa.Array, row: pa.Array, ring: pa.Array) -> pa.Array:
+    (zone, m0), (c, m1), (r, m2) = (R.column(v, np.int64) for v in (epsg, col, row))
+    rings, m3 = R.of_arrow(ring)
+    missing = m0 | m1 | m2 | m3
+    own = R.canonical(rings)
+    apart = R.difference(own, R.canonical(R.squares(c, r, zone, float(CELL_M))))
+    square = R.square_again(R.canonical(rings, 12), zone, float(CELL_M), SIDE_TOLERANCE, AREA_TOLERANCE)
+    return pa.StructArray.from_arrays([pa.array(apart), R.wkb(own, m3), pa.array(square)], ["difference", "wkb", "valid"], mask=pa.array(missing))

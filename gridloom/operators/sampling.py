@@ -166,6 +166,28 @@ def complete(chosen: DataFrame, count: int, what: str) -> DataFrame:
 COAST_STATUS = ("verified_boundary_crossing_ocean", "near_coast_pending")
 
 
+#: Reasons of coastal cells by their status, and what the other layers say; fixed values.
+COAST_REASONS = {
+    "verified_boundary_crossing_ocean": ("verified_boundary_crossing_and_ocean", ("country_inside_and_outside_each_at_least_0.1pct", "intersects_independent_ocean")),
+    "near_coast_pending": ("near_coast_requires_detailed_review", ("center_within_0.035_degree_of_boundary_and_ocean", "strict_boundary_crossing_not_satisfied")),
+}
+SEMANTIC = "semantic_and_difficult_supplement"
+PROVISIONAL, RERANKED = "provisional_quota:", "requires_semantic_atlas_reranking"
+#: Behind the layer's name, the reason of a cell that fills it up.
+REPLENISHED = "_overlap_replenishment"
+
+
+def reasons_of(layer: str, reason: Column, status: Column) -> tuple[Column, Column]:
+    """(primary reason, all reasons) of a drawn cell: a coastal one with a status names its tests, others the reason of their slot."""
+    if layer == SEMANTIC:
+        return reason, F.array(F.concat(F.lit(PROVISIONAL), reason), F.lit(RERANKED))
+    primary, every = reason, F.array(reason)
+    for name, (first, more) in COAST_REASONS.items():
+        primary = F.when(status == name, F.lit(first)).otherwise(primary)
+        every = F.when(status == name, F.array(*map(F.lit, more))).otherwise(every)
+    return primary, every
+
+
 def with_fallback(strict: DataFrame, near: DataFrame, seed: int, count: int, existing: DataFrame | None = None) -> DataFrame:
     """Strict coastal cells, the shortfall from near ones in other macrocells, with a status text; fewer than ``count`` are an error."""
     first = settled(replacements(strict, seed, "coastal", count, existing).withColumn("status", F.lit(COAST_STATUS[0])))

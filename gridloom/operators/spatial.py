@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import CELL_M, boxes_intersect, canonical_bounds, parent_key, utm_owner_epsg
-from gridloom.functions.geometry import clipped, corners, densified, footprint, overlap_area, ring_area, ring_bounds, segment_distance, zones_of
+from gridloom.functions.geometry import clipped, corners, densified, footprint_plane, overlap_area, ring_area, ring_bounds, segment_distance, zones_of
 from gridloom.functions.projection import equal_area, utm_forward, utm_inverse
 
 
@@ -70,6 +70,25 @@ def buckets(box: Column, size: float) -> Column:
     return F.flatten(F.transform(F.sequence(at(0), at(2)), lambda x: F.transform(F.sequence(at(1), at(3)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def placed_footprints(cells: DataFrame, size: float = 0.05) -> DataFrame:
+    """(id, grid_epsg, box, flat, area, b): footprints of ``cells`` (id, grid_epsg, grid_col, grid_row) on the equal-area plane,
+    once for each bucket that their box in degrees touches."""
+    plane = footprint_plane(F.col("grid_epsg"), canonical_bounds(F.col("grid_col"), F.col("grid_row")))
+    rows = cells.select("id", "grid_epsg", plane.alias("p")).select("id", "grid_epsg", "p.*")
+    return rows.withColumn("b", F.explode(buckets(F.col("box"), size)))
+
+
+def footprint_pairs(left: DataFrame, right: DataFrame, meets: Column, size: float = 0.05) -> DataFrame:
+    """(left_id, right_id, area, fraction) of placed footprints l and r that overlap where ``meets``, reported by one bucket."""
+    left, right = left.alias("l"), right.alias("r")
+    a, b = [F.get("l.box", F.lit(i)) for i in range(4)], [F.get("r.box", F.lit(i)) for i in range(4)]
+    owner = (F.floor(F.greatest(a[0], b[0]) / size) == F.col("l.b.x")) & (F.floor(F.greatest(a[1], b[1]) / size) == F.col("l.b.y"))
+    met = left.join(right, (F.col("l.b") == F.col("r.b")) & meets & boxes_intersect(a, b) & owner)
+    pairs = met.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.flat").alias("p"), F.col("r.flat").alias("q"), F.least("l.area", "r.area").alias("smaller"))
+    area = pairs.withColumn("area", overlap_area(F.col("p"), F.col("q"))).where("area > 0")
+    return area.select("left_id", "right_id", "area", (F.col("area") / F.col("smaller")).alias("fraction"))
+
+
 def overlap_pairs(cells: DataFrame, adjacent_only: bool = True, same_zone: bool = False, size: float = 0.05) -> DataFrame:
     """(left_id, right_id, area, fraction) of footprints that overlap, each pair once.
 
@@ -77,24 +96,14 @@ def overlap_pairs(cells: DataFrame, adjacent_only: bool = True, same_zone: bool
     footprint and a pair is reported by one bucket. With ``adjacent_only`` zone n meets n + 1 only;
     with ``same_zone`` cells of one zone meet. Areas are in the equal-area projection.
     """
-    ring = footprint(F.col("grid_epsg"), canonical_bounds(F.col("grid_col"), F.col("grid_row")))
-    rows = cells.select("id", "grid_epsg", ring.alias("ring")).withColumn("box", ring_bounds(F.col("ring")))
-    flat = F.transform("ring", lambda p: equal_area(p["x"], p["y"]))
-    rows = rows.withColumn("flat", flat).withColumn("b", F.explode(buckets(F.col("box"), size)))
-    left, right = rows.alias("l"), rows.alias("r")
+    rows = placed_footprints(cells, size)
     if same_zone:
-        zones = F.col("l.grid_epsg") == F.col("r.grid_epsg")
-        once = F.col("l.id") < F.col("r.id")
+        meets = (F.col("l.grid_epsg") == F.col("r.grid_epsg")) & (F.col("l.id") < F.col("r.id"))
     elif adjacent_only:
-        zones, once = F.col("l.grid_epsg") + 1 == F.col("r.grid_epsg"), F.lit(True)
+        meets = F.col("l.grid_epsg") + 1 == F.col("r.grid_epsg")
     else:
-        zones, once = F.lit(True), (F.col("l.id") < F.col("r.id")) & (F.col("l.grid_epsg") != F.col("r.grid_epsg"))
-    a, b = [F.get("l.box", F.lit(i)) for i in range(4)], [F.get("r.box", F.lit(i)) for i in range(4)]
-    owner = (F.floor(F.greatest(a[0], b[0]) / size) == F.col("l.b.x")) & (F.floor(F.greatest(a[1], b[1]) / size) == F.col("l.b.y"))
-    met = left.join(right, (F.col("l.b") == F.col("r.b")) & zones & once & boxes_intersect(a, b) & owner)
-    pairs = met.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.flat").alias("p"), F.col("r.flat").alias("q"))
-    area = pairs.withColumn("area", overlap_area(F.col("p"), F.col("q"))).where("area > 0")
-    return area.select("left_id", "right_id", "area", (F.col("area") / F.least(ring_area(F.col("p")), ring_area(F.col("q")))).alias("fraction"))
+        meets = (F.col("l.id") < F.col("r.id")) & (F.col("l.grid_epsg") != F.col("r.grid_epsg"))
+    return footprint_pairs(rows, rows, meets, size)
 
 
 def overlap_report(pairs: DataFrame, limit: float = 0.01) -> DataFrame:

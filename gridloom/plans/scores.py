@@ -185,9 +185,30 @@ def at_seams(spark, sf):
     return c.select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", moved.alias("grid_col"), "o_orderstatus")
 
 
-@query()
+SEAMS = f"(SELECT parent_key AS id, grid_epsg, grid_row, CAST(grid_col + CASE WHEN grid_epsg % 2 = 0 THEN 160 ELSE -150 END AS INT) AS grid_col, o_orderstatus FROM {CELLS})"
+
+
+def overlaps_sql(source: str, zones: str) -> str:
+    """DuckDB CTEs up to ``o`` (l, r, area, fraction): footprints of ``source`` on the equal-area plane, and of each pair of boxes
+    that meet the area in common, as Green's sum over the parts of either outline that lie inside the other."""
+    corner = f"(SELECT *, (grid_col + [0, 1, 1, 0][k]) * 1280.0::DOUBLE AS cx, (grid_row + [0, 0, 1, 1][k]) * 1280.0::DOUBLE AS cy FROM {source}, (SELECT unnest(range(1, 5)) AS k))"
+    e2, k0 = repr(projection.E**2), repr(projection.equal_area_scale(30.0))
+    q = f"(1 - {e2}) * (sin(radians(lat)) / (1 - {e2} * sin(radians(lat)) * sin(radians(lat))) + atanh({projection.E!r} * sin(radians(lat))) / {projection.E!r})"
+    return f"""c AS (SELECT id, grid_epsg AS zone, k, lon, lat, {projection.A!r}::DOUBLE * {k0} * radians(lon) AS x, {projection.A!r}::DOUBLE * {q} / (2 * {k0}) AS y FROM {degrees_sql(corner, "cx", "cy", "grid_epsg")}),
+f AS (SELECT id, zone, list(x ORDER BY k) AS xs, list(y ORDER BY k) AS ys, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM c GROUP BY 1, 2),
+m AS (SELECT l.id AS l, r.id AS r, list_transform(l.xs, lambda v: v - l.xs[1]) AS lx, list_transform(l.ys, lambda v: v - l.ys[1]) AS ly, list_transform(r.xs, lambda v: v - l.xs[1]) AS rx, list_transform(r.ys, lambda v: v - l.ys[1]) AS ry
+  FROM f l JOIN f r ON {zones} AND l.w < r.e AND l.e > r.w AND l.s < r.n AND l.n > r.s),
+g AS (SELECT l, r, 0 AS side, lx AS ax, ly AS ay, rx AS bx, ry AS b_y FROM m UNION ALL SELECT l, r, 1, rx, ry, lx, ly FROM m),
+h AS (SELECT l, r, side, i, ax[i] AS x1, ay[i] AS y1, ax[i % 4 + 1] AS x2, ay[i % 4 + 1] AS y2, (bx[j % 4 + 1] - bx[j]) * (ay[i] - b_y[j]) - (b_y[j % 4 + 1] - b_y[j]) * (ax[i] - bx[j]) AS f1,
+  (bx[j % 4 + 1] - bx[j]) * (ay[i % 4 + 1] - b_y[j]) - (b_y[j % 4 + 1] - b_y[j]) * (ax[i % 4 + 1] - bx[j]) AS f2 FROM g, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j)),
+t AS (SELECT l, r, side, i, x1, y1, x2, y2, greatest(0, max(CASE WHEN f2 > f1 THEN -f1 / (f2 - f1) WHEN f2 = f1 AND f1 < 0 THEN 2 END)) AS a, least(1, min(CASE WHEN f2 < f1 THEN f1 / (f1 - f2) END)) AS b FROM h GROUP BY ALL),
+u AS (SELECT l, r, side, x1 * y2 - x2 * y1 AS whole, CASE WHEN b > a THEN (x1 + (x2 - x1) * a) * (y1 + (y2 - y1) * b) - (x1 + (x2 - x1) * b) * (y1 + (y2 - y1) * a) ELSE 0 END AS part FROM t),
+o AS (SELECT l, r, sum(part) / 2 AS area, (sum(part) / 2) / least(sum(whole) FILTER (side = 0) / 2, sum(whole) FILTER (side = 1) / 2) AS fraction FROM u GROUP BY 1, 2 HAVING sum(part) > 0)"""
+
+
+@query(f"WITH {overlaps_sql(SEAMS, 'l.zone + 1 = r.zone')} SELECT count(*) AS pairs, count(*) FILTER (fraction > 0.01) AS over_limit, round(max(fraction), 6) AS max_fraction, round(sum(area)) AS overlap_area FROM o")
 def join07_adjacent_overlaps(spark, sf):
-    return spatial.overlap_report(spatial.overlap_pairs(at_seams(spark, sf))).select("pairs", "over_limit", F.round("max_fraction", 6).alias("max_fraction"), F.round("overlap_area", 2).alias("overlap_area"))
+    return spatial.overlap_report(spatial.overlap_pairs(at_seams(spark, sf))).select("pairs", "over_limit", F.round("max_fraction", 6).alias("max_fraction"), F.round("overlap_area", 0).alias("overlap_area"))
 
 
 @query(f"SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, 1.0::DOUBLE AS fraction FROM (SELECT parent_key AS a, 'copy:' || parent_key AS b FROM {CELLS} WHERE id % 9 = 0)")
@@ -199,29 +220,36 @@ def join08_same_zone_overlaps(spark, sf):
     return spatial.overlap_pairs(both, same_zone=True).where("fraction > 1e-6").select("left_id", "right_id", F.round("fraction", 6).alias("fraction"))
 
 
-@query()
+@query(f"""WITH {overlaps_sql(SEAMS, 'l.id < r.id AND l.zone <> r.zone')}, v AS (SELECT o.*, CASE a.o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 99 END AS lp, CASE b.o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 99 END AS rp
+  FROM o JOIN {SEAMS} a ON a.id = l JOIN {SEAMS} b ON b.id = r WHERE fraction > 0.01) SELECT DISTINCT CASE WHEN lp > rp OR lp = rp AND sha256('0:' || l) > sha256('0:' || r) THEN l ELSE r END AS id FROM v""")
 def join06_win08_overlap_losers(spark, sf):
-    layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").otherwise("coastal_supplement")
+    """Of every pair of cells of any two zones that overlap at the seams, the one that goes."""
+    layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").when(F.col("o_orderstatus") == "O", "coastal_supplement").otherwise("other")
     return overlaps.losers(at_seams(spark, sf).withColumn("layer", layer))
 
 
-TWINS = f"(SELECT id, parent_key, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 2 ELSE 99 END AS p FROM {CELLS} WHERE grid_epsg = 32643)"
+UNDER = metres_sql(degrees_sql(CELLS, "(grid_col + 0.5::DOUBLE) * 1280", "(grid_row + 0.5::DOUBLE) * 1280", "grid_epsg"), "lon", "lat", "(grid_epsg + 1)")
+TWINNED = f"""(SELECT parent_key AS id, grid_epsg, grid_row, grid_col, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 99 END AS p FROM {CELLS}
+  UNION ALL SELECT 'twin:' || parent_key, grid_epsg + 1, floor(my / 1280)::INT, floor(mx / 1280)::INT, 1 FROM {UNDER})"""
 
 
-@query(f"SELECT CASE WHEN p > 1 OR p = 1 AND sha256('0:' || parent_key) > sha256('0:twin:' || parent_key) THEN parent_key ELSE 'twin:' || parent_key END AS id FROM {TWINS}")
+@query(f"""WITH {overlaps_sql(TWINNED, 'l.id < r.id AND l.zone <> r.zone')}, v AS (SELECT l, r, a.p AS lp, b.p AS rp FROM o JOIN {TWINNED} a ON a.id = l JOIN {TWINNED} b ON b.id = r WHERE fraction > 0.01)
+  SELECT DISTINCT CASE WHEN lp > rp OR lp = rp AND sha256('0:' || l) > sha256('0:' || r) THEN l ELSE r END AS id FROM v""")
 def join06_win08_twin_losers(spark, sf):
-    """Each cell of the first zone has a twin of the spatial layer in the next zone, under the same ground."""
+    """Each cell has a twin of the spatial layer in the next zone, under the same ground; all pairs of all zones count."""
     layer = F.when(F.col("o_orderstatus") == "F", "base_expected_1pct").when(F.col("o_orderstatus") == "O", "coastal_supplement").otherwise("other")
-    c = cells(spark, sf).where("grid_epsg = 32643").select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", "grid_col", layer.alias("layer"))
+    c = cells(spark, sf).select(F.col("parent_key").alias("id"), "grid_epsg", "grid_row", "grid_col", layer.alias("layer"))
     centre = projection.utm_inverse((F.col("grid_col") + 0.5) * 1280, (F.col("grid_row") + 0.5) * 1280, F.col("grid_epsg"))
-    there = c.withColumn("c", centre).withColumn("m", projection.utm_forward(F.col("c.lon"), F.col("c.lat"), F.lit(32644)))
-    twin = there.select(F.concat(F.lit("twin:"), "id").alias("id"), F.lit(32644).alias("grid_epsg"), F.floor(F.col("m.y") / 1280).cast("int").alias("grid_row"), F.floor(F.col("m.x") / 1280).cast("int").alias("grid_col"), F.lit("utm_spatial_balance_supplement").alias("layer"))
-    pairs = spatial.overlap_pairs(c.unionByName(twin), adjacent_only=False).where("fraction > 0.01")
-    own = pairs.where("concat('twin:', left_id) = right_id").select("left_id", "right_id")
-    both = c.unionByName(twin)
-    chosen = own.select(F.explode(F.array("left_id", "right_id")).alias("id"))
-    rows = both.join(chosen, "id", "left_semi").select("id", "layer")
-    return overlaps.removed(own, rows)
+    there = c.withColumn("c", centre).withColumn("m", projection.utm_forward(F.col("c.lon"), F.col("c.lat"), F.col("grid_epsg") + 1))
+    twin = there.select(F.concat(F.lit("twin:"), "id").alias("id"), F.col("grid_epsg") + 1, F.floor(F.col("m.y") / 1280).cast("int").alias("grid_row"), F.floor(F.col("m.x") / 1280).cast("int").alias("grid_col"), F.lit("utm_spatial_balance_supplement").alias("layer"))
+    return overlaps.losers(c.unionByName(twin.withColumnRenamed("(grid_epsg + 1)", "grid_epsg")))
+
+
+@query(f"WITH {overlaps_sql(SEAMS, 'l.id < r.id AND l.zone <> r.zone')} SELECT l AS left_id, r AS right_id, round(area, 1) AS area, round(fraction, 6) AS fraction FROM o")
+def join06_cross_zone_pairs(spark, sf):
+    """Every pair of cells of different zones that have ground in common, and how much."""
+    pairs = spatial.overlap_pairs(at_seams(spark, sf), adjacent_only=False)
+    return pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), F.round("area", 1).alias("area"), F.round("fraction", 6).alias("fraction"))
 
 
 @query("SELECT point_id FROM (SELECT point_id, x, y FROM " + POINTS + ") WHERE y BETWEEN 17.8 AND 53.2 AND EXISTS (SELECT 1 FROM (SELECT unnest(range(5)) * 12 + 75 AS w) WHERE (abs(x - w) <= 0.2 AND w > 75 OR abs(x - w - 6) <= 0.2 OR x BETWEEN w - 0.2 AND w + 6.2 AND w > 0 AND least(abs(y - 18), abs(y - 53)) <= 0.2 AND (x >= w + 5.8 OR w > 75 AND x <= w + 0.2)))")
@@ -242,11 +270,53 @@ def join23_fn45_inventory_zones(spark, sf):
     return spatial.macro_inventory(plots(spark, sf)).select("grid_epsg").distinct()
 
 
-@query()
+def inventory_sql() -> str:
+    """The inventory of the plots: rectangles cut at zone limits, edges divided, projected; each edge adds, with its sign, the
+    area between it and the lower side of each macrocell that its column has, cut off at the upper side."""
+    strips = f"(SELECT point_id, z, 32600 + z AS epsg, greatest(x, z * 6.0::DOUBLE - 186) AS w, least(x + 0.2, z * 6.0::DOUBLE - 180) AS e, y AS s, y + 0.1 AS n FROM {POINTS}, (SELECT unnest(range(1, 61)) AS z) WHERE x < z * 6 - 180 AND x + 0.2 > z * 6 - 186)"
+    edges = f"(SELECT *, [w, e, e, w][k] AS x1, [s, s, n, n][k] AS y1, [e, e, w, w][k] AS x2, [s, n, n, s][k] AS y2 FROM {strips}, (SELECT unnest(range(1, 5)) AS k))"
+    cut = f"(SELECT *, greatest(ceil(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / 0.01), 1)::INT AS pieces FROM {edges})"
+    corners = f"(SELECT point_id, epsg, k, i, x1 + (x2 - x1) * i / pieces AS px, y1 + (y2 - y1) * i / pieces AS py FROM (SELECT *, unnest(range(pieces)) AS i FROM {cut}))"
+    side = "12800.0::DOUBLE"
+    grown = lambda v: f"CASE WHEN {v} <= low THEN 0 WHEN {v} <= low + {side} THEN ({v} - low) * ({v} - low) / 2 ELSE {side} * {side} / 2 + ({v} - low - {side}) * {side} END"
+    height = f"least(greatest((ya + yb) / 2 - low, 0), {side})"
+    return f"""WITH p AS (SELECT point_id, epsg, k, i, mx, my FROM {metres_sql(corners, "px", "py", "epsg")}),
+e AS (SELECT point_id, epsg, mx AS x1, my AS y1, coalesce(lead(mx) OVER w, first(mx) OVER w) AS x2, coalesce(lead(my) OVER w, first(my) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY point_id, epsg ORDER BY k, i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+b AS (SELECT point_id, epsg, floor(min(x1) / {side})::INT AS c0, floor(max(x1) / {side})::INT AS c1, floor(min(y1) / {side})::INT AS r0, floor(max(y1) / {side})::INT AS r1 FROM e GROUP BY 1, 2),
+m AS (SELECT point_id, epsg, col, unnest(range(r0, r1 + 1)) AS row FROM (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM b)),
+c AS (SELECT e.point_id, e.epsg, col, row, row * {side} AS low, x1, x2, y1, y2, greatest(least(x1, x2), col * {side}) AS xl, least(greatest(x1, x2), (col + 1) * {side}) AS xr FROM e JOIN m ON m.point_id = e.point_id AND m.epsg = e.epsg),
+d AS (SELECT *, y1 + (y2 - y1) * (xl - x1) / (x2 - x1) AS ya, y1 + (y2 - y1) * (xr - x1) / (x2 - x1) AS yb FROM c WHERE xr > xl),
+a AS (SELECT point_id, epsg, col, row, abs(sum(sign(x1 - x2) * (xr - xl) * CASE WHEN abs(yb - ya) < 1e-3 THEN {height} ELSE ({grown("yb")} - ({grown("ya")})) / (yb - ya) END)) AS area FROM d GROUP BY 1, 2, 3, 4)
+SELECT epsg::INT AS grid_epsg, col AS macro_col, row AS macro_row, round(sum(area) / ({side} * {side}), 6) AS land_fraction, round(sum(area) / ({side} * {side}) * 100, 3) AS estimated_patch_count, arg_min(point_id::VARCHAR, (-area, point_id)) AS admin1
+FROM a WHERE area > 0 GROUP BY 1, 2, 3 HAVING round(sum(area) / ({side} * {side}), 6) > 0"""
+
+
+@query(inventory_sql())
 def join23_macro_inventory(spark, sf):
     return spatial.macro_inventory(plots(spark, sf))
 
 
+def _turned(x, y):
+    """A plot's corners: in every fourth row from another one on, in every second the other way round."""
+    at = F.col("point_id") % 4
+    box = F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x, y), (x + 0.2, y), (x + 0.2, y + 0.1), (x, y + 0.1))])
+    from_there = F.concat(F.slice(box, at.cast("int") + 1, F.lit(4)), F.slice(box, F.lit(1), at.cast("int")))
+    return F.when(F.col("point_id") % 8 < 4, from_there).otherwise(F.reverse(from_there))
+
+
+def wkb_sql(corners: list[tuple[str, str]]) -> str:
+    """DuckDB text of the hexadecimal WKB polygon of ``corners``, 9 decimals."""
+    bits = lambda v: f"hex((round_even({v} * 1e9, 0) / 1e9)::DOUBLE::BIT::BLOB)"
+    little = lambda v: " || ".join(f"substr({bits(v)}, {i}, 2)" for i in range(15, 0, -2))
+    return f"'0103000000010000000{len(corners)}000000' || " + " || ".join(little(v) for c in corners for v in c)
+
+
+@query(f"SELECT point_id, sha256(unhex({wkb_sql([('x', 'y'), ('x', '(y + 0.1)'), ('(x + 0.2)', '(y + 0.1)'), ('(x + 0.2)', 'y'), ('x', 'y')])})) AS hash FROM {POINTS}")
+def fn13_footprint_hash(spark, sf):
+    """The hash of a plot's outline, wherever its ring starts and whichever way it runs."""
+    return points(spark, sf).select("point_id", geometry.footprint_hash(_turned(F.col("x"), F.col("y"))).alias("hash"))
+
+
 @query()
 def fn06_fn09_fn13_footprints(spark, sf):
     from gridloom.functions.cells import canonical_bounds
