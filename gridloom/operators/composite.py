@@ -1,4 +1,4 @@
-"""Scene matching, quality gates and composites over pixel rows.
+"""Candidates, quality gates and composites over pixel rows.
 
 Pixel rows: patch_id, source, month, scene_id, scene_order, band, pixel, value, valid.
 """
@@ -8,50 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.cells import boxes_intersect
+from gridloom.operators.boxes import match_items  # noqa: F401  candidates are made of its pairs
 
 #: Clear share of a scene that its source asks for; fixed values.
 CLEAR_SHARE = {"s2": 0.90, "landsat": 0.90, "s1": 0.95}
 
 
-#: Items of a grid cell beyond which the cell is divided, and into how many parts a side at most.
-DENSE = 5_000
-MOST_PARTS = 64
-
-
-def box_cells(bbox: Column, size: Column | float = 1.0) -> Column:
-    """array<struct<x, y>> of the grid cells that a [west, south, east, north] box touches."""
-    at = lambda i: F.floor(F.get(bbox, F.lit(i)) / size)
-    return F.flatten(F.transform(F.sequence(at(0), at(2)), lambda x: F.transform(F.sequence(at(1), at(3)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-
-
-def match_items(patches: DataFrame, items: DataFrame, size: float = 1.0, dense: int = DENSE) -> DataFrame:
-    """(patch_id, item_id): boxes that intersect strictly.
-
-    Both sides are dealt to grid cells. A cell with more than ``dense`` items is divided, the finer the more
-    it holds, so that no key gathers a crowded region. A pair is reported by one part, that of the greater of
-    the two lower corners, so no distinct is needed.
-    """
-    p = patches.select("patch_id", F.col("bbox").alias("p"), F.explode(box_cells(F.col("bbox"), size)).alias("c"))
-    i = items.select("item_id", F.col("bbox").alias("i"), F.explode(box_cells(F.col("bbox"), size)).alias("c"))
-    parts = F.least(F.ceil(F.sqrt(F.count(F.lit(1)) / dense)), F.lit(MOST_PARTS)).cast("int")
-    crowded = i.groupBy("c").agg(parts.alias("parts")).where("parts > 1")
-
-    def finer(rows: DataFrame, box: str) -> DataFrame:
-        """Rows of a crowded cell once for each part of it that their box touches, the others once."""
-        n = F.coalesce("parts", F.lit(1))
-        low = lambda k, axis: F.greatest(F.floor(F.get(F.col(box), F.lit(k)) * n / size), F.col(f"c.{axis}") * n)
-        high = lambda k, axis: F.least(F.floor(F.get(F.col(box), F.lit(k)) * n / size), F.col(f"c.{axis}") * n + n - 1)
-        dealt = rows.join(crowded, "c", "left").withColumn("parts", n)
-        return dealt.withColumn("u", F.explode(F.sequence(low(0, "x"), high(2, "x")))).withColumn("v", F.explode(F.sequence(low(1, "y"), high(3, "y"))))
-
-    sides = lambda b: [F.get(F.col(b), F.lit(k)) for k in range(4)]
-    a, b = sides("p"), sides("i")
-    owner = (F.floor(F.greatest(a[0], b[0]) * F.col("parts") / size) == F.col("u")) & (F.floor(F.greatest(a[1], b[1]) * F.col("parts") / size) == F.col("v"))
-    here = (F.floor(F.greatest(a[0], b[0]) / size) == F.col("c.x")) & (F.floor(F.greatest(a[1], b[1]) / size) == F.col("c.y"))
-    return finer(p, "p").join(finer(i, "i"), ["c", "parts", "u", "v"]).where(owner & here & boxes_intersect(a, b)).select("patch_id", "item_id")
-
-
 def has_assets(assets: Column, required: list[str]) -> Column:
     return F.forall(F.array(*[F.lit(x) for x in required]), lambda a: F.coalesce(F.map_contains_key(assets, a), F.lit(False)))
 

@@ -229,11 +229,11 @@ def join06_win08_overlap_losers(spark, sf):
 
 
 UNDER = metres_sql(degrees_sql(CELLS, "(grid_col + 0.5::DOUBLE) * 1280", "(grid_row + 0.5::DOUBLE) * 1280", "grid_epsg"), "lon", "lat", "(grid_epsg + 1)")
-TWINNED = f"""(SELECT parent_key AS id, grid_epsg, grid_row, grid_col, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 99 END AS p FROM {CELLS}
+TWINNED = f"""(SELECT parent_key AS id, grid_epsg, grid_row, grid_col, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 2 ELSE 99 END AS prio FROM {CELLS}
   UNION ALL SELECT 'twin:' || parent_key, grid_epsg + 1, floor(my / 1280)::INT, floor(mx / 1280)::INT, 1 FROM {UNDER})"""
 
 
-@query(f"""WITH {overlaps_sql(TWINNED, 'l.id < r.id AND l.zone <> r.zone')}, v AS (SELECT l, r, a.p AS lp, b.p AS rp FROM o JOIN {TWINNED} a ON a.id = l JOIN {TWINNED} b ON b.id = r WHERE fraction > 0.01)
+@query(f"""WITH {overlaps_sql(TWINNED, 'l.id < r.id AND l.zone <> r.zone')}, v AS (SELECT l, r, a.prio AS lp, b.prio AS rp FROM o JOIN {TWINNED} a ON a.id = l JOIN {TWINNED} b ON b.id = r WHERE fraction > 0.01)
   SELECT DISTINCT CASE WHEN lp > rp OR lp = rp AND sha256('0:' || l) > sha256('0:' || r) THEN l ELSE r END AS id FROM v""")
 def join06_win08_twin_losers(spark, sf):
     """Each cell has a twin of the spatial layer in the next zone, under the same ground; all pairs of all zones count."""
