@@ -108,18 +108,20 @@ DIGEST_FAN = 4096
 def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row (digest, n): order-free SHA-256 of a table.
 
-    Rows are hashed and dealt by the first bits of the hash to as many buckets (a power of two) as there are
-    ``DIGEST_ROWS``; a bucket's hashes are put in order and hashed, and so are the buckets' hashes, a
+    Rows are hashed, and equal hashes are counted first, so that a row that occurs very often is one entry. Hashes are dealt by
+    their first bits to as many buckets (a power of two) as there are ``DIGEST_ROWS`` of them; a bucket's hashes,
+    each followed by ``x`` and its count where that is not one, are put in order and hashed, and so are the buckets' hashes, a
     fixed number at a time, up to one. No task holds more than a bucket, and equal tables have equal
     digests however they are partitioned.
     """
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    hashes = df.select(row.alias("h"))
-    total = hashes.count()
-    buckets = 1
-    while buckets * DIGEST_ROWS < total:
+    hashes = df.select(row.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    whole = hashes.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()
+    total, buckets = whole["n"], 1
+    while buckets * DIGEST_ROWS < whole["entries"]:
         buckets *= 2
-    placed = hashes.withColumn("at", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long"))
+    at = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long")
+    placed = hashes.select(at.alias("at"), F.when(F.col("times") == 1, F.col("h")).otherwise(F.concat("h", F.lit("x"), F.col("times").cast("string"))).alias("h"))
     level = placed.groupBy("at").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
     while buckets > 1:
         buckets = -(-buckets // DIGEST_FAN)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import grid_id, utm_owner_epsg
 from gridloom.functions.geometry import snap_to_owner
-from gridloom.operators.ranking import settled
-from gridloom.operators.sampling import complete, macro_limit, normalised_registry, replacements, spatially_balanced, with_fallback
+from gridloom.operators.audits import registry_audit
+from gridloom.operators.overlaps import OverlapIndex, resolution
+from gridloom.operators.ranking import exact_rank, settled
+from gridloom.operators.sampling import complete, macro_limit, normalised_registry, quota_slots, reasons_of, replacements, spatially_balanced, with_fallback
 from gridloom.operators.spatial import assigned_region, covered
 
 #: Added to the seed of the semantic layer, fixed value.
@@ -53,42 +57,115 @@ def repaired(records: DataFrame, boundary: DataFrame) -> tuple[DataFrame, DataFr
     return fixed.where("_n = 1").select(*records.columns), report.crossJoin(repeats)  # one-row reports
 
 
-def layered_registry(existing: DataFrame, candidates: DataFrame, strict: DataFrame, near: DataFrame, targets: dict[str, int], seed: int, boundary: DataFrame, provinces: DataFrame) -> DataFrame:
-    """The registry in order of zone, row, column and id.
+#: Reasons of drawn cells that no policy names; fixed values.
+TOPPED_UP, BALANCED_BY = "base_expected_1pct_owner_zone_replenishment", "sqrt_utm_balance:"
+LAYER_NAMES = ["base_expected_1pct", "coastal_supplement", "utm_spatial_balance_supplement", "semantic_and_difficult_supplement"]
+KEPT = ["macro_id", "grid_id", "grid_epsg", "grid_col", "grid_row", "longitude", "latitude"]
 
-    ``existing``: the columns of ``repaired`` and sampling_tier; only its base layer is kept. ``candidates``: macro_id,
-    grid_id, local_col, local_row, parent_key, grid_epsg, grid_col, grid_row, longitude, latitude of cells that
-    pass owner and boundary; ``strict`` and ``near`` those that pass the coast tests. ``targets``: rows of each
-    layer, which too few candidates make an error. Each layer is written before the next is drawn from what is left.
+
+def candidate_patch() -> Column:
+    return F.concat(F.lit("candidate_"), F.col("macro_id"), F.lit("_c"), F.col("local_col").cast("string"), F.lit("_r"), F.col("local_row").cast("string"))
+
+
+def drawn_layers(existing: DataFrame, candidates: DataFrame, strict: DataFrame, near: DataFrame, targets: dict[str, int], seed: int, boundary: DataFrame, policy: DataFrame | None = None) -> DataFrame:
+    """The layers before they are normalised: patch_id, parent_key, layer, tier, status, reasons, ``selection_subseed``, ``place`` (their order) and KEPT.
+
+    A slot of the semantic layer has the reason that ``policy`` (place, reason, quota) gives it, in order; without a policy, or beyond its
+    quotas, its tier. Each layer is written before the next is drawn from what is left.
     """
-    names = ["base_expected_1pct", "coastal_supplement", "utm_spatial_balance_supplement", "semantic_and_difficult_supplement"]
-    base_n, coast_n, space_n, semantic_n = (targets[n] for n in names)
+    base_n, coast_n, space_n, semantic_n = (targets[n] for n in LAYER_NAMES)
     fixed, _ = repaired(existing, boundary)
     identity = Window.partitionBy("grid_epsg", "grid_col", "grid_row").orderBy("place")
     once = fixed.withColumn("_n", F.row_number().over(identity)).where("_n = 1").drop("_n").where("sampling_tier = 'base_spatial'")
     limited = macro_limit(once.withColumn("is_base", F.lit(True)), seed).where("kept")
-    keep = ["macro_id", "grid_id", "grid_epsg", "grid_col", "grid_row", "longitude", "latitude"]
-    key = F.concat_ws(":", "grid_epsg", "grid_col", "grid_row").alias("parent_key")
-    chosen = settled(limited.select("patch_id", *keep, key, F.lit("base_spatial").alias("sampling_tier"), F.lit(names[0]).alias("layer"), F.lit(None).cast("string").alias("coastal_status")))
-
-    def add(picked: DataFrame, tier: str, layer: str, count: int, status=None) -> DataFrame:
-        rows = candidates.join(picked.drop("macro_id", "grid_id", "ordinal"), "parent_key")
-        patch = F.concat(F.lit("candidate_"), F.col("macro_id"), F.lit("_c"), F.col("local_col").cast("string"), F.lit("_r"), F.col("local_row").cast("string")).alias("patch_id")
-        status = F.lit(None).cast("string") if status is None else F.col(status)
-        new = settled(rows.select(patch, *keep, "parent_key", F.lit(tier).alias("sampling_tier"), F.lit(layer).alias("layer"), status.alias("coastal_status")))
+    tier = F.lit("base_spatial")
+    own = F.col("selection_subseed").cast("long") if "selection_subseed" in existing.columns else F.lit(None).cast("long")
+    first = limited.select("patch_id", *KEPT, F.concat_ws(":", "grid_epsg", "grid_col", "grid_row").alias("parent_key"), tier.alias("sampling_tier"), F.lit(LAYER_NAMES[0]).alias("layer"), F.lit(None).cast("string").alias("coastal_status"), tier.alias("sampling_primary_reason"), F.array(tier).alias("sampling_reasons"), own.alias("selection_subseed"), F.col("place").cast("long").alias("place"))
+    chosen = settled(first)
+    after = (existing.agg(F.max("place")).first()[0] or 0) + 1
+
+    def add(picked: DataFrame, tier: str, layer: str, count: int, reason: Column, subseed: Column) -> DataFrame:
+        """``picked``: parent_key, ordinal and what ``reason`` and ``subseed`` name; a layer's places follow those before it."""
+        nonlocal after
+        status = F.col("status") if "status" in picked.columns else F.lit(None).cast("string")
+        primary, reasons = reasons_of(layer, reason, status)
+        said = picked.select("parent_key", status.alias("coastal_status"), primary.alias("sampling_primary_reason"), reasons.alias("sampling_reasons"), subseed.cast("long").alias("selection_subseed"), (F.lit(after) + F.col("ordinal")).cast("long").alias("place"))
+        rows = candidates.join(said, "parent_key")
+        new = settled(rows.select(candidate_patch().alias("patch_id"), *KEPT, "parent_key", F.lit(tier).alias("sampling_tier"), F.lit(layer).alias("layer"), *said.columns[1:]).select(*chosen.columns))
+        after += count
         return complete(new, count, layer)
 
     missing = base_n - chosen.count()
     if missing > 0:
         rest = candidates.join(chosen.select("macro_id"), "macro_id", "left_anti")
-        chosen = chosen.unionByName(add(replacements(rest, seed + base_n, names[0], missing, chosen), "base_spatial", names[0], missing))
-    coast = add(with_fallback(strict, near, seed + coast_n, coast_n, chosen), "coastal_ocean_adjacent_supplement", names[1], coast_n, "status")
+        more = replacements(rest, seed + base_n, LAYER_NAMES[0], missing, chosen)
+        chosen = chosen.unionByName(add(more, "base_spatial", LAYER_NAMES[0], missing, F.lit(TOPPED_UP), F.lit(seed + base_n) + F.col("ordinal")))
+    coast = add(with_fallback(strict, near, seed + coast_n, coast_n, chosen), "coastal_ocean_adjacent_supplement", LAYER_NAMES[1], coast_n, F.lit(None).cast("string"), F.lit(seed + coast_n) + F.col("ordinal"))
     chosen = chosen.unionByName(coast)
-    space = add(spatially_balanced(candidates, seed + space_n, space_n, chosen, coast), "spatial_stratified_supplement", names[2], space_n)
+    zone = F.regexp_extract("grid_id", "([0-9]+)", 1).cast("int")
+    balanced = spatially_balanced(candidates, seed + space_n, space_n, chosen, coast)
+    space = add(balanced, "spatial_stratified_supplement", LAYER_NAMES[2], space_n, F.concat(F.lit(BALANCED_BY), F.col("grid_id")), F.lit(seed + space_n) + zone + F.col("ordinal"))
     chosen = chosen.unionByName(space)
     rest = candidates.join(coast.unionByName(space).select("macro_id"), "macro_id", "left_anti")
-    semantic = add(replacements(rest, seed + SEMANTIC_SEED, names[3], semantic_n, chosen), "semantic_audit_reserve", names[3], semantic_n)
-    everything = settled(chosen.unionByName(semantic)).withColumn("sampling_seed", F.lit(seed))
+    drawn = replacements(rest, seed + SEMANTIC_SEED, LAYER_NAMES[3], semantic_n, chosen)
+    tier = "semantic_audit_reserve"
+    if policy is not None:
+        # The policy's slots, in its order: as many rows as its quotas say.
+        slots = exact_rank(quota_slots(policy), [F.col("place"), F.col("slot")], name="ordinal").select("ordinal", "reason")
+        drawn = drawn.join(slots, "ordinal", "left")
+    reason = F.coalesce(F.col("reason"), F.lit(tier)) if policy is not None else F.lit(tier)
+    semantic = add(drawn, tier, LAYER_NAMES[3], semantic_n, reason, F.lit(seed + SEMANTIC_SEED) + F.col("ordinal"))
+    return settled(chosen.unionByName(semantic))
+
+
+def finished(layers: DataFrame, seed: int, provinces: DataFrame) -> DataFrame:
+    """Drawn layers with their province, normalised, in order of zone, row, column and id."""
+    everything = layers.withColumn("sampling_seed", F.lit(seed)).withColumn("semantic_verification_status", F.when(F.col("layer") == LAYER_NAMES[3], "pending").otherwise("not_applicable"))
     centres = everything.select(F.col("patch_id").alias("point_id"), F.col("longitude").alias("x"), F.col("latitude").alias("y"))
     named = assigned_region(centres, provinces).select(F.col("point_id").alias("patch_id"), F.col("name").alias("admin1"))
     return normalised_registry(everything.join(named, "patch_id")).orderBy("grid_epsg", "grid_row", "grid_col", "patch_id")
+
+
+def layered_registry(existing: DataFrame, candidates: DataFrame, strict: DataFrame, near: DataFrame, targets: dict[str, int], seed: int, boundary: DataFrame, provinces: DataFrame, policy: DataFrame | None = None) -> DataFrame:
+    """The registry in order of zone, row, column and id, overlaps not yet resolved.
+
+    ``existing``: the columns of ``repaired`` and sampling_tier; only its base layer is kept. ``candidates``: macro_id,
+    grid_id, local_col, local_row, parent_key, grid_epsg, grid_col, grid_row, longitude, latitude of cells that
+    pass owner and boundary; ``strict`` and ``near`` those that pass the coast tests. ``targets``: rows of each
+    layer, which too few candidates make an error; ``policy``: see ``drawn_layers``.
+    """
+    return finished(drawn_layers(existing, candidates, strict, near, targets, seed, boundary, policy), seed, provinces)
+
+
+@dataclass
+class RegistryPlan:
+    """All that a registry is built of; see ``layered_registry`` for the tables. ``required``: fields that no record may lack."""
+
+    existing: DataFrame
+    candidates: DataFrame
+    strict: DataFrame
+    near: DataFrame
+    targets: dict[str, int]
+    policy: DataFrame
+    seed: int
+    boundary: DataFrame
+    provinces: DataFrame
+    required: tuple[str, ...] = ("patch_id", "identity_hash", "footprint_hash", "macro_id", "sampling_primary_reason", "admin1")
+    rounds: int = 5
+
+    def build(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(records, log, report): layers are drawn in order, overlaps resolved with reasons and the coast's fallback, records
+        normalised, and the result audited (AGG-09). ``log``: every overlap and the side that left; the report's ``passed`` also
+        asks for no overlap left and for the targets."""
+        layers = drawn_layers(self.existing, self.candidates, self.strict, self.near, self.targets, self.seed, self.boundary, self.policy)
+        pool = self.candidates.withColumns({"patch_id": candidate_patch(), "id": candidate_patch()})
+        done, log = resolution(layers.withColumn("id", F.col("patch_id")), {k: pool for k in self.targets}, self.seed, self.rounds, self.targets, (self.strict, self.near))
+        records = settled(finished(done.drop("id"), self.seed, self.provinces))
+        left = OverlapIndex(records.withColumn("id", F.col("patch_id"))).pairs.agg(F.count(F.lit(1)).alias("overlaps"))
+        wanted = F.lit(True)
+        counts = records.groupBy().agg(*[F.count(F.when(F.col("layer") == k, 1)).alias(f"n_{k}") for k in self.targets])
+        for k, n in self.targets.items():
+            wanted = wanted & (F.col(f"n_{k}") == n)
+        crossing = records.join(self.strict.select("grid_epsg", "grid_col", "grid_row"), ["grid_epsg", "grid_col", "grid_row"], "left_semi").select("patch_id")
+        report = registry_audit(records, list(self.required), self.boundary, crossing).crossJoin(left).crossJoin(counts)  # one-row reports
+        return records, log, report.withColumn("passed", F.col("passed") & (F.col("overlaps") == 0) & wanted)

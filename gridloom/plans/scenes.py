@@ -10,6 +10,7 @@ from gridloom.functions import contracts, pixels
 from gridloom.operators import catalog, composite, frames
 from gridloom.operators.ranking import shared_folder
 from gridloom.plans.bindings import FEATURES, ITEMS, OBS, PATCHES, features, items, observations, patches, query, table, unit
+from gridloom.sources.publish import read_published
 from gridloom.sources.sinks import write_tiles
 
 
@@ -230,8 +231,9 @@ def src14_src15_tile_rows(spark, sf):
     """Tiles written by source and month, verified before they are published, and read again as pixels."""
     rows = tiles(spark, sf)
     path = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
-    write_tiles(rows, path, rows.count(), 7)
-    return composite.pixel_rows(spark.read.schema(rows.schema).parquet(path)).where("value is not null").select("patch_id", "source", "month", "band", F.col("pixel").cast("long").alias("pixel"), "value")
+    # The observations say how many tiles there must be.
+    write_tiles(rows, path, observations(spark, sf).select("patch_id", "source", "month", "band").distinct().count(), 7)
+    return composite.pixel_rows(read_published(spark, path, digests=True).select(*rows.columns)).where("value is not null").select("patch_id", "source", "month", "band", F.col("pixel").cast("long").alias("pixel"), "value")
 
 
 @query("SELECT c_custkey, c_acctbal AS a, round(0.75::DOUBLE * c_acctbal + 0.25::DOUBLE * c_custkey, 4) AS b, round(0.25::DOUBLE * c_acctbal + 0.75::DOUBLE * c_custkey, 4) AS c, c_custkey::DOUBLE AS d FROM customer")

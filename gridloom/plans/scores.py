@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, pixels, projection
-from gridloom.operators import evaluation, manifest, membership, overlaps, probes, spatial
+from gridloom.operators import evaluation, manifest, membership, overlaps, probes, protocol, spatial
 from gridloom.operators.ranking import shared_folder
 from gridloom.plans.bindings import BOXES, CELLS, POINTS, VECTORS, boxes, cells, degrees_sql, metres_sql, points, query, shores, table, vectors
 from gridloom.plans.draws import candidates
 from gridloom.sources import records, sinks
+from gridloom.sources.inventory import inventory
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
@@ -442,12 +443,18 @@ def src23_write_shards(spark, sf):
     return spark.read.parquet(path).select("id", "parent_key", F.col("shard_id").cast("int").alias("shard_id"), "grid_id")
 
 
-@query()
+@query("""SELECT problem, count(*) AS n FROM (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'differs' WHEN 2 THEN 'unexpected' WHEN 3 THEN 'differs' END AS problem FROM nation) WHERE problem IS NOT NULL GROUP BY 1""")
 def src19_join20_checksums(spark, sf):
+    """A package of a file for each nation against a list in which some are missing, some differ in digest or size, and some are not named."""
     path = f"{shared_folder(spark)}/members-{uuid.uuid4().hex}"
-    table(spark, sf, "nation").write.parquet(path)
-    found = records.checksums(spark, path).where("name like 'part-%'")
-    return records.checksum_problems(found, found.withColumn("digest", F.lit("x"))).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    nations.select("n_name", (F.col("n_nationkey") % 5).alias("k"), "n_nationkey").where("k <> 0").write.partitionBy("n_nationkey").json(path)
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1)
+    found = inventory(spark, path).where(F.col("path").endswith(".json")).select(key.alias("name"), "digest", "size")
+    k = F.col("name").cast("int") % 5
+    listed = found.where(k != 2).withColumns({"digest": F.when(k == 1, F.reverse("digest")).otherwise(F.col("digest")), "size": F.col("size") + F.when(k == 3, 1).otherwise(0)})
+    absent = nations.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").cast("string").alias("name"), F.lit("x").alias("digest"), F.lit(1).cast("long").alias("size"))
+    return records.checksum_problems(found, listed.unionByName(absent)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT vec_id AS patch_id, month, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[4]::DOUBLE, 6) AS last FROM {VECTORS}")
@@ -482,6 +489,38 @@ def ml01_ml03_linear_probe(spark, sf):
     return probes.evaluate(rows).select(*[F.round(c, 3).alias(c) for c in ("f1", "average_precision", "roc_auc")])
 
 
+SHOT = """(WITH p AS (SELECT vec_id % 200 AS patch_id, max(label) > 0 AS positive FROM (SELECT vec_id, CAST(label >= 5 AS INT) AS label FROM embeddings) GROUP BY 1)
+  SELECT patch_id FROM (SELECT patch_id, row_number() OVER (PARTITION BY positive ORDER BY sha256('17:1:' || CASE WHEN positive THEN 'positive' ELSE 'negative' END || ':' || patch_id), patch_id) AS place FROM p WHERE (patch_id + 1) % 5 < 3) WHERE place <= 12)"""
+
+
+@query(f"""SELECT CAST(1 AS INT) AS fold, CAST(12 AS INT) AS shot, (SELECT count(*) FROM {SHOT}) AS train_patches, count(*) FILTER ((vec_id % 200 + 1) % 5 = 4) AS test_rows, 'labels' AS label_change, 'dataset' AS feature_change, 'folds,training_patches' AS fold_change FROM embeddings""")
+def ml03_bound_protocol(spark, sf):
+    """A probe that was learnt few-shot on one fold, scored on its test split, and what refuses to score changed inputs."""
+    patch = F.col("vec_id") % 200
+    rows = vectors(spark, sf).select(patch.alias("patch_id"), F.col("vec_id").alias("pixel"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+    part = lambda ids, f, *k: F.filter(ids, lambda p: ((p + f) % 5).isin(*k))
+    ids = rows.groupBy().agg(F.sort_array(F.collect_set("patch_id")).alias("ids"))  # 200 at most
+    folds = ids.select("ids", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold")).select("fold", *[part(F.col("ids"), F.col("fold"), *k).alias(n) for n, k in (("train", (0, 1, 2)), ("val", (3,)), ("test", (4,)))])
+    root = f"{shared_folder(spark)}/probe-{uuid.uuid4().hex}"
+    protocol.train(rows, folds, 1, root, shot=12, seed=17)
+    report = protocol.evaluate(rows, folds, root).first()
+
+    def refusal(rows, folds):
+        try:
+            protocol.evaluate(rows, folds, root)
+        except protocol.IdentityError as e:
+            return ",".join(e.names)
+
+    changed = F.col("pixel") == 0
+    wrong = (
+        refusal(rows.withColumn("label", F.when(changed, 1 - F.col("label")).otherwise(F.col("label"))), folds),
+        refusal(rows.withColumn("features", F.when(changed, F.transform("features", lambda x: x + 1)).otherwise(F.col("features"))), folds),
+        refusal(rows, folds.withColumn("train", F.slice("train", 1, 100))),
+    )
+    row = (report["fold"], report["shot"], report["train_patches"], report["test_rows"], *wrong)
+    return spark.createDataFrame([row], "fold int, shot int, train_patches long, test_rows long, label_change string, feature_change string, fold_change string")
+
+
 @query()
 def ml02_perceptron_probe(spark, sf):
     rows = vectors(spark, sf).select(F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label", "split")

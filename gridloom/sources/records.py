@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from gridloom.sources.inventory import inventory
+
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, violations) of JSON lines; blank lines are skipped, a bad line is named with its text and file."""
@@ -43,9 +45,8 @@ def grid_extent(patches: DataFrame, step: float = 10.0) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(name, digest, size) of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("digest"), F.col("length").alias("size"))
+    """(name, digest, size) of every file under ``path``; see ``inventory``."""
+    return inventory(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "digest", "size")
 
 
 def checksum_problems(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.publish import publish, stage
+
 MAX_ROWS_PER_FILE = 100_000
 
 
@@ -38,11 +40,8 @@ def registry_csv(registry: DataFrame, columns: list[str], path: str) -> None:
 
 
 def write_tiles(tiles: DataFrame, root: str, expected: int, width: int) -> None:
-    """Tile rows by source and month; the count and every array's size are checked before publishing."""
-    report = tiles.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.size("values") != width).cast("long")), F.lit(0)).alias("bad")).first()
-    if report["n"] != expected or report["bad"]:
-        raise ValueError(f"{report['n']} tiles of {expected}, {report['bad']} of a wrong size")
-    tiles.write.mode("errorifexists").partitionBy("source", "month").parquet(root)
+    """Tile rows by source and month, read back and verified before they are published: ``expected`` rows of ``width`` values, files as written."""
+    publish(stage(tiles, root, ["source", "month"], F.size("values") != width), expected)
 
 
 def write_embeddings(rows: DataFrame, root: str) -> None:
