@@ -207,6 +207,29 @@ def win14_layered_registry(spark, sf):
     return found.select("patch_id", "grid_epsg", "grid_row", "grid_col", "layer", "coastal_status", "admin1", "inclusion_probability", "identity_hash", "sampling_primary_reason", "split")
 
 
+POLICY = "(SELECT r_regionkey AS place, r_name AS reason, r_regionkey + 1 AS quota FROM region)"
+
+
+@query(f"""WITH g AS (SELECT grid_id, count(*) AS n FROM {CANDIDATES} GROUP BY 1), e AS (SELECT *, sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () * 60 AS x FROM g),
+  q AS (SELECT 'sqrt_utm_balance:' || grid_id AS reason, floor(x)::BIGINT + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, grid_id DESC) <= 60 - sum(floor(x)::BIGINT) OVER () THEN 1 ELSE 0 END AS n FROM e)
+  SELECT 'utm_spatial_balance_supplement' AS layer, reason, n, true AS passed FROM q WHERE n > 0 UNION ALL SELECT 'semantic_and_difficult_supplement', reason, quota::BIGINT, true FROM {POLICY}""")
+def win14_fn47_registry_plan(spark, sf):
+    """The whole plan: layers, slots of the policy, overlaps, report; how many records stand for each reason of a supplement."""
+    strict, near, coast = coastal_count(spark, sf)
+    old = legacy_points(spark, sf)
+    base = registry.repaired(old, boxes(spark, sf))[0].where("sampling_tier = 'base_spatial'").select("macro_id").distinct().count()
+    k = F.col("r_regionkey")
+    policy = table(spark, sf, "region").select(k.cast("int").alias("place"), F.col("r_name").alias("reason"), (k + 1).cast("int").alias("quota"))
+    targets = {"base_expected_1pct": base + 25, "coastal_supplement": coast, "utm_spatial_balance_supplement": 60, "semantic_and_difficult_supplement": 15}
+    records, _, report = registry.RegistryPlan(old, centred(spark, sf), strict, near, targets, policy, 7, boxes(spark, sf), boxes(spark, sf)).build()
+    named = records.where(F.col("layer").isin("utm_spatial_balance_supplement", "semantic_and_difficult_supplement"))
+    # The centres of old records may lie outside the boundary, which is not the plan's doing.
+    wrong = [c for c in report.columns if c in ("owner_mismatches", "unknown_admin1", "coastal_without_status", "missing_values", "base_macros_over_one", "supplement_macros_over_one", "overlaps")]
+    ok = report.first()
+    passed = all(ok[c] == 0 for c in wrong) and all(ok[f"n_{name}"] == n for name, n in targets.items()) and ok["seeds"] == 1
+    return named.groupBy("layer", F.col("sampling_primary_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n")).withColumn("passed", F.lit(passed))
+
+
 @query(f"SELECT parent_key, CASE WHEN o_orderstatus = 'F' THEN 'base' ELSE 'coastal' END AS layer FROM {CELLS} WHERE o_orderstatus = 'F' OR id % 3 = 0")
 def win14_layers_in_order(spark, sf):
     c = cells(spark, sf).select("parent_key", "o_orderstatus", "id")
