@@ -112,15 +112,13 @@ class Matching:
         p, i = _flat(patches, "patch_id", "p"), _flat(items, "item_id", "i")
         p = p.withColumn("class", _class(F.col("p2") - F.col("p0"), F.col("p3") - F.col("p1")))
         # A row per class of extents, about 20 at most.
-        extents = p.groupBy("class").agg(F.max(F.col("p2") - F.col("p0")).alias("w"), F.max(F.col("p3") - F.col("p1")).alias("h")).collect()
+        extents = p.groupBy("class").agg(F.max(F.col("p2") - F.col("p0")).alias("w"), F.max(F.col("p3") - F.col("p1")).alias("h"), F.count(F.lit(1)).alias("n")).collect()
         classes = [F.struct(F.lit(r["class"]).alias("class"), F.lit(r["w"]).alias("w"), F.lit(r["h"]).alias("h")) for r in extents]
         kind = "array<struct<class: int, w: double, h: double>>"
         i = i.withColumn("c", F.explode(F.array(*classes).cast(kind))).select("item_id", "c.class", *[f"i{k}" for k in range(4)], (F.col("i0") - F.col("c.w")).alias("x"), (F.col("i1") - F.col("c.h")).alias("y"))
         sample = lambda df, key, names: df.orderBy(F.xxhash64(key)).limit(SAMPLE).select(*names).toPandas().to_numpy(float)
         corners, boxes = sample(p, "patch_id", ["p0", "p1"]), sample(i, "item_id", ["x", "y", "i2", "i3"])
-        # The sides are read once more for their size where the sample is full.
-        share = lambda df, got: 1.0 if len(got) < SAMPLE else df.count() / len(got)
-        self.tree = Tree(corners, boxes, share(p, corners))
+        self.tree = Tree(corners, boxes, sum(r["n"] for r in extents) / max(1, len(corners)))
         leaves = _leaves(self.tree)
         self.p = p.withColumn("leaf", F.explode(leaves("p0", "p1", "p0", "p1")))
         self.i = i.withColumn("leaf", F.explode(leaves("x", "y", "i2", "i3")))

@@ -217,7 +217,9 @@ def spatially_balanced(candidates: DataFrame, seed: int, total: int, existing: D
     macros = rows.select("grid_id", "macro_id").distinct().withColumn("seed", own)
     macros = macros.withColumn("_h", stable_hash(F.col("seed").cast("string"), F.concat(F.lit(f"{BALANCED}:macro:"), F.col("macro_id"))))
     place = F.row_number().over(Window.partitionBy("grid_id").orderBy("_h", "macro_id"))
-    chosen = macros.withColumn("ordinal", place - 1).join(quotas, "grid_id").where("ordinal < quota").select("grid_id", "macro_id", "ordinal", "seed")
+    # No grid has more than ``total``: the group limit drops the rest before the shuffle.
+    first = macros.withColumn("_place", place).where(F.col("_place") <= total)
+    chosen = first.withColumn("ordinal", F.col("_place") - 1).join(quotas, "grid_id").where("ordinal < quota").select("grid_id", "macro_id", "ordinal", "seed")
     cells = cell_of_each(rows, chosen.select("macro_id", "ordinal", "seed"), F.col("seed") + F.col("ordinal"))
     return cells.join(chosen.select("grid_id", "macro_id"), "macro_id").select("grid_id", "macro_id", "ordinal", "parent_key")
 
