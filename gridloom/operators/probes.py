@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.pixels import clipped_sigmoid
 from gridloom.operators.evaluation import best_threshold, binary_metrics, ranking_metrics
 
 #: Hidden layers of the perceptron probes by name.
@@ -33,6 +34,18 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("score", p).withColumn("logit", F.log(clipped / (1 - clipped))).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def weights_of(model) -> tuple[list[float], float]:
+    """Weights and bias of a linear probe, to be kept or applied elsewhere."""
+    return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
+
+
+def linear_scored(rows: DataFrame, weights: list[float], bias: float) -> DataFrame:
+    """Rows with ``logit`` and ``score`` of a linear probe with the given weights; features of another length are an error."""
+    product = F.aggregate(F.zip_with("features", F.array(*map(F.lit, weights)), lambda x, w: x * w), F.lit(0.0), lambda a, t: a + t)
+    size = F.raise_error(F.concat(F.lit(f"features of {len(weights)} values expected, not "), F.size("features").cast("string"))).cast("double")
+    return rows.withColumn("logit", F.when(F.size("features") == len(weights), product + bias).otherwise(size)).withColumn("score", clipped_sigmoid(F.col("logit")))
+
+
 def evaluate(rows: DataFrame, kind: str = "linear", seed: int = 7) -> DataFrame:
     """One row: fit on the train split, threshold on val, metrics on test. ``rows``: features, label, split."""
     model = fit_probe(rows.where("split = 'train'"), kind, seed)

@@ -483,6 +483,16 @@ def src17_embedding_dataset(spark, sf):
     return rows.select("patch_id", F.lit("").alias("problems")).unionByName(named)
 
 
+WEIGHTS, BIAS = [(i % 5 - 2) / 4 for i in range(64)], 0.125
+
+
+@query(f"SELECT vec_id, round(logit, 6) AS logit, round(1 / (1 + exp(-logit)), 6) AS score FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], {WEIGHTS}::DOUBLE[]) + {BIAS} AS logit FROM embeddings)")
+def ml01_linear_scores(spark, sf):
+    """Scores of a linear probe whose weights are fixed."""
+    rows = vectors(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+    return probes.linear_scored(rows, WEIGHTS, BIAS).select("vec_id", F.round("logit", 6).alias("logit"), F.round("score", 6).alias("score"))
+
+
 @query()
 def ml01_ml03_linear_probe(spark, sf):
     rows = vectors(spark, sf).select(F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label", "split")
