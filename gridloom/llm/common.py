@@ -187,7 +187,7 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def connected(edges: DataFrame) -> DataFrame:
     """Components of (a long, b long) edges -> (node, root), root the smallest node; roots are left out.
 
-    Each partition first reduces its edges to stars (union-find), then large-star and small-star
+    The result is a written table, for ``release``. Each partition first reduces its edges to stars (union-find), then large-star and small-star
     rounds run as joins on written tables until nothing changes. The minima are written
     before they are joined, so that a hub with very many edges is split, never one task.
     """
@@ -209,4 +209,6 @@ def connected(edges: DataFrame) -> DataFrame:
         now = stamp(cur)
         if now == before:
             break
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._written = cur._written
+    return out

@@ -222,10 +222,14 @@ BANDS, BAND_ROWS = 32, 4
 POSITIONS = BANDS * BAND_ROWS
 #: Bytes that a pair shares at least: 3e-9 of the pairs at 0.8 have fewer of 128; half are shared at 0.5.
 MINIMUM = 74
-#: Rounds that compare each open list with one of its members before all its pairs are compared.
+#: Rounds that compare each open list with one of its members before blocks of it are compared.
 LEADER_ROUNDS = 6
-#: All pairs are compared at once while they are at most this many for each listed entry.
+#: Blocks are compared at once while their lists have at most this many pairs for each listed entry.
 PAIRS_PER_ENTRY = 4
+#: Entries and bytes of shingles of a block.
+NEAR_BLOCK, NEAR_BYTES = 1024, 8 << 20
+#: Bits of a set's sketch that bounds what it shares with another.
+SKETCH = 4096
 
 _SPREAD = np.random.default_rng(SEED).integers(0, 2**63, POSITIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -267,17 +271,17 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(id, whole binary, places binary, bands array<long>) of rows (id, text): a digest of the shingle set, its positions' bytes, its keys."""
+    """(id, whole, size, places, bands) of rows (id, text): the shingle set's digest and size, its positions' bytes, its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in batches:
             sets = [shingle_set(x) for x in b.column("text").to_pylist()]
             least = [positions(x) for x in sets]
-            cols = [pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([position_bytes(x) for x in least], pa.binary()), pa.array([bands(x) for x in least], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "whole", "places", "bands"])
+            cols = [pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([position_bytes(x) for x in least], pa.binary()), pa.array([bands(x) for x in least], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", "whole", "size", "places", "bands"])
 
-    return docs.mapInArrow(run, "id long, whole binary, places binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, whole binary, size long, places binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -320,52 +324,137 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_links(posted: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
-    """(value, id) index entries, (id, places), (id, text) -> (node, root): components of all similar pairs that share a list.
+    """(value, id) index entries, (id, size, places), (id, text) -> (node, root): components of all similar pairs that share a list.
 
     A pair needs no comparison once other links connect it. So lists are first compared with one
-    member each, another in each round; what still spans components is then compared pair by pair.
+    member each, another in each round; what still spans components is then compared in blocks.
     """
     lists = materialise(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1"), "lists")
     met = materialise(posted.join(lists, "value").select("value", "id", "leader"), "met")
-    release(lists)
     listed = materialise(met.select("id").distinct(), "listed")
     sets = materialise(shingle_sets(texts.join(listed, "id", "left_semi")), "sets")
     held = materialise(places.join(listed, "id", "left_semi"), "places")
+    release(lists, listed)
     entries = met.count()
-    links = lambda pairs: materialise(verified(materialise(retained(pairs, held, MINIMUM), "retained"), sets), "similar")
-    tested = materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    found = links(tested)
+    tested = [materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")]
+    found = _tested_links(tested[0], held, sets)
     roots = connected(found)
     for turn in range(1, LEADER_ROUNDS + 1):
         named = materialise(met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root")), "named")
         spans = named.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
         spans = materialise(spans.select("value", "n", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "open")
         left = spans.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0
-        if not left:
-            return roots
         last = turn == LEADER_ROUNDS or left <= PAIRS_PER_ENTRY * entries
         among = named.join(spans, "value")
-        if last:
-            pairs = _spanning_pairs(materialise(among, "spanning"))
+        if not left:
+            new = None
+        elif last:
+            new = spanning_links(among.select("value", "id", "root"), held, sets)
         else:
-            pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        fresh_pairs = materialise(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            for earlier in tested:
+                pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+            tested.append(materialise(pairs, "pairs"))
+            new = _tested_links(tested[-1], held, sets)
         release(named, spans)
-        new = links(fresh_pairs)
-        if not new.isEmpty():
+        if new is not None and not new.isEmpty():
+            before = (found, new, roots)
             found = materialise(found.unionByName(new), "similar")
             roots = connected(found)
-        if last:
-            return roots
-        tested = tested.unionByName(fresh_pairs)
+            release(*before)
+        elif new is not None:
+            release(new)
+        if last or not left:
+            break
+    release(met, sets, held, found, *tested)
+    return roots
+
 
+def _tested_links(pairs: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """The similar ones of some pairs, written; what lies between is deleted."""
+    kept = materialise(retained(pairs, held, MINIMUM), "retained")
+    out = materialise(verified(kept, sets), "similar")
+    release(kept)
+    return out
+
+
+def _may_be_similar(i: int, other: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of ``other`` can be similar to i: a bit that only one side has is a shingle that the other lacks."""
+    part, whole = NEAR
+    lacks = np.bitwise_count(bits[i] & ~bits[other]).sum(axis=1, dtype=np.int64)
+    lacked = np.bitwise_count(~bits[i] & bits[other]).sum(axis=1, dtype=np.int64)
+    most = np.minimum(size[i] - lacks, size[other] - lacked)
+    return other[(part + whole) * most >= part * (size[i] + size[other])]
 
-def _spanning_pairs(among: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one list and different roots; lists over BLOCK are dealt over several tasks."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    one = among.select("value", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("root").alias("a_root"))
-    other = among.select("value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("root").alias("b_root"))
-    return one.join(other, ["value", "part"]).where("a < b and a_root <> b_root").select("a", "b")
+
+def _spanning(ids: np.ndarray, roots: np.ndarray, places: np.ndarray, sets: list[np.ndarray], split: int) -> tuple[list[int], list[int]]:
+    """Similar pairs that connect what ``roots`` and the pairs before leave apart: fewer than entries.
+
+    split 0: all pairs of one block; else those between rows [0, split) and [split, n).
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    bits = np.zeros((len(sets), SKETCH), bool)
+    for k, x in enumerate(sets):
+        bits[k, x & np.uint64(SKETCH - 1)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    group = np.unique(roots, return_inverse=True)[1]
+    a_out: list[int] = []
+    b_out: list[int] = []
+    for i in range(split or len(sets)):
+        lo = split or i + 1
+        other = lo + np.flatnonzero(group[lo:] != group[i])
+        other = other[(places[other] == places[i]).sum(axis=1) >= MINIMUM]
+        for j in _may_be_similar(i, other, size, bits).tolist():
+            if group[j] != group[i] and similar(sets[i], sets[j]):
+                group[group == group[j]] = group[i]
+                a_out.append(int(ids[i]))
+                b_out.append(int(ids[j]))
+    return a_out, b_out
+
+
+def spanning_links(among: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), written: similar pairs that connect the components within lists (value, id, root).
+
+    A list is dealt by hash into blocks bounded in entries and bytes; each pair of blocks is a row
+    that has its texts' positions and shingles, so that positions are tallied, lengths and sketches
+    bounded and sets verified within a task. No pair leaves it but a link that connects. Lists of the very
+    same members (told by count and two sums of hashes) are compared once.
+    """
+    sized = among.join(held.select("id", "size"), "id")
+    sums = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")]
+    each = sized.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum("size").alias("size"))
+    once = each.groupBy("n", "s", "x", "size").agg(F.min("value").alias("value"))
+    parts = F.ceil(F.greatest(F.col("n") / NEAR_BLOCK, 8 * F.col("size") / NEAR_BYTES, F.lit(1.0))).cast("int")
+    once = materialise(once.select("value", parts.alias("parts")), "once")
+    entry = materialise(among.join(once, "value").join(held.select("id", "places"), "id").join(sets, "id"), "entries")
+    dealt = entry.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = dealt.groupBy("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    late = (F.col("own") == F.greatest("own", "other")).alias("late")
+    blocks = rows.agg(F.collect_list(F.struct(late, "id", "root", "places", "shingles")).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            a_all: list[int] = []
+            b_all: list[int] = []
+            for mixed, entries in zip(b.column("mixed").to_pylist(), b.column("entries")):
+                late, ids, roots, places, shingles = entries.values.flatten()
+                late = late.to_numpy(zero_copy_only=False)
+                order = np.argsort(late, kind="stable")
+                split = int(len(late) - late.sum()) if mixed else 0
+                if mixed and split in (0, len(late)):
+                    continue
+                byte = np.frombuffer(b"".join(places.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+                of = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in order.tolist()]
+                x, y = _spanning(ids.to_numpy()[order], roots.to_numpy()[order], byte[order], of, split)
+                a_all += x
+                b_all += y
+            yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.int64())], ["a", "b"])
+
+    links = blocks.select((F.col("x") != F.col("y")).alias("mixed"), "entries").mapInArrow(run, "a long, b long")
+    out = materialise(links, "similar")
+    release(once, entry)
+    return out
 
 
 def near_groups(docs: DataFrame, id_col: str) -> DataFrame:
@@ -378,8 +467,9 @@ def near_groups(docs: DataFrame, id_col: str) -> DataFrame:
     rows = materialise(banded(texts), "positions")
     classes = materialise(rows.groupBy("whole").agg(F.min("id").alias("id")), "classes")
     posted = rows.join(classes.select("id"), "id").select("id", F.explode("bands").alias("value"))
-    roots = near_links(posted, rows.select("id", "places"), texts)
+    roots = near_links(posted, rows.select("id", "size", "places"), texts)
     by_set = materialise(classes.join(roots, classes["id"] == roots["node"], "left").select("whole", F.coalesce("root", "id").alias("component_id")), "components")
+    release(classes, roots)
     return rows.select("id", "whole").join(by_set, "whole").select("id", "component_id")
 
 
