@@ -7,7 +7,9 @@ documents, the pointwise mutual information of entity e and term t over the info
 
     disclosure(e, t) = log2(df(e, t) * N / (df(e) * df(t))) / log2(N / df(e)),
 
-1 if t occurs in no document without e. Evidence must outweigh the search for it: among the V terms of two
+1 if t occurs in no document without e. With ``distinct``, as the query has it, rows of the very same text are one
+document in all of these counts, since a copy is no further evidence; a text that differs anywhere counts by
+itself. Without, each row is a document. Evidence must outweigh the search for it: among the V terms of two
 documents or more, some meet e in all of n documents by chance unless n * log2(N / df(e)) > log2(V), so that
 many shared documents are asked for, anywhere in their texts, and two at least (one estimates nothing). A term at or
 over ``THRESHOLD`` is generalised to its class (number, word, mixed), or removed where the class
@@ -29,7 +31,7 @@ MIN_SUPPORT = 2
 THRESHOLD = 0.9
 #: Common terms, at most, whose counts are broadcast to leave out pairs that cannot disclose.
 COMMON_TERMS = 100_000
-#: Row numbers, at most, that are broadcast (8 bytes each) to pick the texts with an entity or a flagged term before any is shuffled.
+#: Row numbers, at most, that are broadcast (8 bytes each) to pick texts (with an entity, with a flagged term, not repeated) before any is shuffled.
 BROADCAST_ROWS = 2_000_000
 
 #: Kinds in the order of the report; possessive quantifiers keep long runs linear, and a look-behind
@@ -131,6 +133,26 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("pii_row"), text_or_empty(F.col("text")).alias("pii_text"))
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(pii_row) of the rows whose text stands in a row before, written, and the number of distinct texts.
+
+    Only digests are shuffled. A text of very many rows is a hot key of the join, whose sides are
+    written tables that adaptive execution can split.
+    """
+    digest = F.unhex(F.md5(F.col("pii_text").cast("binary"))).alias("digest")
+    rows = materialise(texts(docs).select("pii_row", digest), "digests")
+    first = materialise(rows.groupBy("digest").agg(F.min("pii_row").alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    more = rows.join(first.where("n > 1"), "digest").where("pii_row <> first").select("pii_row")
+    more, distinct = materialise(more, "copies"), first.count()
+    release(rows, first)
+    return more, distinct
+
+
+def without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows whose pii_row is not among ``others``; not shuffled while these are few."""
+    return rows.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, "pii_row", "left_anti")
+
+
 def located(docs: DataFrame) -> DataFrame:
     """pii_row, doc_id and pii_base per row; the row number is that of the scan."""
     named = docs.select(F.monotonically_increasing_id().alias("pii_row"), "doc_id", "text")
@@ -153,27 +175,30 @@ def entities(found: DataFrame) -> DataFrame:
     return one.select("pii_row", "kind", F.col("pii_value").alias("value")).unionByName(groups)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT, threshold: float = THRESHOLD, distinct: bool = False) -> DataFrame:
     """(kind, value, term, replacement): terms that disclose an entity; ``found`` is located(), written.
 
     The replacement is the term's class in angle brackets, or empty where the class discloses too. Classes
     are counted like terms, in the same pass. Of entities of the same documents the least is named.
+    ``distinct``: rows of the same text are one document.
     """
-    total = float(max(docs.count(), 1))
-    every = materialise(entities(found), "entities")
+    repeats, n_docs = copies(docs) if distinct else (None, docs.count())
+    once = (lambda rows: without(rows, repeats)) if distinct else (lambda rows: rows)
+    total = float(max(n_docs, 1))
+    every = materialise(entities(once(found)), "entities")
     # Entities of the very same documents (told by count and two sums of hashes) disclose alike: one stands for all.
     sums = [F.sum(F.xxhash64("pii_row").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("pii_row", F.lit(1))).alias("x")]
     known = every.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("entity_docs"), *sums).where(F.col("entity_docs") >= min_support)
     known = known.groupBy("entity_docs", "s", "x").agg(F.min(F.struct("kind", "value")).alias("e")).select("e.*", "entity_docs")
     known = materialise(known.withColumn("entity", F.monotonically_increasing_id()), "known")  # numbers, so that pairs stay short
     held = materialise(every.join(known, ["kind", "value"]).select("pii_row", "entity", "entity_docs"), "holders")
-    counted = docs.select(F.explode(with_classes(terms(text_or_empty(F.col("text"))))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    counted = once(texts(docs)).select(F.explode(with_classes(terms(F.col("pii_text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     term_docs = materialise(counted.where(F.col("term_docs") >= min_support), "terms")
     is_class = F.col("term").startswith(MASK)
 
     # Sizes by powers of two: a small table from which the cut between common and other terms is read.
     sizes = sorted(((r["size"], r["n"]) for r in term_docs.where(~is_class).groupBy(F.length(F.bin("term_docs")).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    distinct, cut, so_far = sum(n for _, n in sizes), 1 << 62, 0
+    searched, cut, so_far = sum(n for _, n in sizes), 1 << 62, 0
     for size, n in sizes:
         so_far += n
         if so_far > COMMON_TERMS:
@@ -196,22 +221,22 @@ def disclosing(docs: DataFrame, found: DataFrame, min_support: int = MIN_SUPPORT
 
     information = F.log2(F.lit(total) / F.col("entity_docs"))
     mutual = F.log2(F.col("both") * F.lit(total) / (F.col("entity_docs") * F.col("term_docs")))
-    evident = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(distinct, 1)))))).join(term_docs, "term")
+    evident = both.where(is_class | (F.col("both") * information > F.log2(F.lit(float(max(searched, 1)))))).join(term_docs, "term")
     pair = ["kind", "value", "term"]
     strong = materialise(evident.where(F.when(information > 0, mutual / information).otherwise(0.0) >= threshold).select(*pair), "strong")
-    release(every, known, held, ids, beside, both, term_docs)
+    release(*[repeats] * distinct, every, known, held, ids, beside, both, term_docs)
     general = strong.where(is_class).select("kind", "value", F.substring("term", 2, 100).alias("class"), F.lit(True).alias("general"))
     judged = strong.where(~is_class).withColumn("class", term_class(F.col("term"))).join(general, ["kind", "value", "class"], "left")
     return judged.select(*pair, F.when(F.col("general"), "").otherwise(F.concat(F.lit("<"), F.col("class"), F.lit(">"))).alias("replacement"))
 
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, found: DataFrame, distinct: bool = False) -> DataFrame:
     """(pii_row, pii_terms array<struct<start, kind, stop, value>>): disclosing terms; value is the replacement.
 
     Every occurrence in every text but inside base entities. Texts that hold a flagged term are searched
     for the forms in which it stands in them; the others are read once, and not shuffled while the former are few.
     """
-    flagged = materialise(disclosing(docs, found).groupBy("term").agg(F.min("replacement").alias("value")), "flagged")
+    flagged = materialise(disclosing(docs, found, distinct=distinct).groupBy("term").agg(F.min("replacement").alias("value")), "flagged")
     rows = texts(docs)
     forms = F.array_distinct(F.regexp_extract_all("pii_text", F.lit(TERM), F.lit(0)))
     held = rows.select("pii_row", F.explode(forms).alias("form")).withColumn("term", F.lower("form")).join(flagged, "term")
@@ -244,13 +269,14 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, distinct: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row.
 
-    Null text is empty and has no spans. Rows that repeat an id, or are equal, are reported each.
+    Null text is empty and has no spans. Rows that repeat an id, or are equal, are reported each; with
+    ``distinct`` rows of the same text are one document as evidence.
     """
     found = materialise(located(docs), "located")
-    terms = term_spans(docs, found)
+    terms = term_spans(docs, found, distinct)
     rows = found.select("pii_row", "doc_id", "pii_base").join(terms, "pii_row", "left")
     none = F.array().cast(SPANS)
     count = lambda k: F.size(F.filter("pii_base", lambda b: b["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")

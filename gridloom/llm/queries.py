@@ -12,7 +12,7 @@ from gridloom.llm.common import table
 
 
 def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), distinct=True)
 
 
 def op2_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
