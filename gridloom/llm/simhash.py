@@ -222,9 +222,9 @@ BANDS, BAND_ROWS = 32, 4
 POSITIONS = BANDS * BAND_ROWS
 #: Bytes that a pair shares at least: 3e-9 of the pairs at 0.8 have fewer of 128; half are shared at 0.5.
 MINIMUM = 74
-#: Rounds that compare each open list with one of its members before blocks of it are compared.
+#: Most rounds that compare each open list with one of its members before blocks of it are compared.
 LEADER_ROUNDS = 6
-#: Blocks are compared at once while their lists have at most this many pairs for each listed entry.
+#: Blocks are compared at once while their lists have at most this many pairs apart for each listed entry.
 PAIRS_PER_ENTRY = 4
 #: Entries and bytes of shingles of a block.
 NEAR_BLOCK, NEAR_BYTES = 1024, 8 << 20
@@ -310,7 +310,7 @@ def retained(pairs: DataFrame, places: DataFrame, minimum: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar."""
+    """The pairs (a, b) whose shingle sets are similar; only the sets of paired texts are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,50 +318,74 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(z)).join(pairs.select(c), c, "left_semi") for c, z in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def distinct_lists(met: DataFrame) -> DataFrame:
+    """The entries (value, id, ...) of one of the lists that have the very same members, told by count and two sums of hashes."""
+    sums = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")]
+    each = met.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *sums)
+    once = materialise(each.groupBy("n", "s", "x").agg(F.min("value").alias("value")).select("value"), "once")
+    out = materialise(met.join(once, "value", "left_semi"), "met")
+    release(once)
+    return out
+
+
+def open_lists(named: DataFrame, turn: int) -> DataFrame:
+    """(value, lead, lead_root, apart) of the lists of (value, id, root) that span components: another member each turn, and the pairs apart."""
+    part = named.groupBy("value", "root").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id")).alias("first"))
+    apart = ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("apart")
+    lead = F.min(F.struct("first.h", "first.id", "root")).alias("lead")
+    spans = part.groupBy("value").agg(F.count(F.lit(1)).alias("roots"), apart, lead).where("roots > 1")
+    return spans.select("value", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"), "apart")
+
+
 def near_links(posted: DataFrame, places: DataFrame, texts: DataFrame) -> DataFrame:
     """(value, id) index entries, (id, size, places), (id, text) -> (node, root): components of all similar pairs that share a list.
 
     A pair needs no comparison once other links connect it. So lists are first compared with one
-    member each, another in each round; what still spans components is then compared in blocks.
+    member each, another in each round while that halves the pairs apart; what still spans components is
+    then compared in blocks. Lists of the very same members are one; a list within one component is done
+    with, and no later round reads it.
     """
     lists = materialise(posted.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("leader")).where("n > 1"), "lists")
-    met = materialise(posted.join(lists, "value").select("value", "id", "leader"), "met")
+    listed_all = materialise(posted.join(lists, "value").select("value", "id", "leader"), "met")
+    met = distinct_lists(listed_all)
     listed = materialise(met.select("id").distinct(), "listed")
     sets = materialise(shingle_sets(texts.join(listed, "id", "left_semi")), "sets")
     held = materialise(places.join(listed, "id", "left_semi"), "places")
-    release(lists, listed)
-    entries = met.count()
+    release(lists, listed_all, listed)
+    counts = met.groupBy("value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    entries, before = counts.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in (F.col("n"), F.col("n") * (F.col("n") - 1) / 2)]).first()
     tested = [materialise(met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")]
     found = _tested_links(tested[0], held, sets)
     roots = connected(found)
     for turn in range(1, LEADER_ROUNDS + 1):
         named = materialise(met.select("value", "id").join(roots, F.col("id") == F.col("node"), "left").select("value", "id", F.coalesce("root", "id").alias("root")), "named")
-        spans = named.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(turn))).alias("lead")).where("low <> high")
-        spans = materialise(spans.select("value", "n", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root")), "open")
-        left = spans.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0
-        last = turn == LEADER_ROUNDS or left <= PAIRS_PER_ENTRY * entries
-        among = named.join(spans, "value")
+        spans = materialise(open_lists(named, turn), "open")
+        left = spans.agg(F.sum("apart")).first()[0] or 0
+        last = turn == LEADER_ROUNDS or left <= PAIRS_PER_ENTRY * entries or 2 * left > before
+        before = left
+        among = materialise(named.join(spans, "value").select("value", "id", "root", "lead", "lead_root"), "met")
+        release(met, named, spans)
+        met = among
         if not left:
             new = None
         elif last:
-            new = spanning_links(among.select("value", "id", "root"), held, sets)
+            new = spanning_links(met.select("value", "id", "root"), held, sets)
         else:
-            pairs = among.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            pairs = met.where("root <> lead_root").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
             for earlier in tested:
                 pairs = pairs.join(earlier, ["a", "b"], "left_anti")
             tested.append(materialise(pairs, "pairs"))
             new = _tested_links(tested[-1], held, sets)
-        release(named, spans)
         if new is not None and not new.isEmpty():
-            before = (found, new, roots)
+            earlier = (found, new, roots)
             found = materialise(found.unionByName(new), "similar")
             roots = connected(found)
-            release(*before)
+            release(*earlier)
         elif new is not None:
             release(new)
         if last or not left:
@@ -417,16 +441,13 @@ def spanning_links(among: DataFrame, held: DataFrame, sets: DataFrame) -> DataFr
 
     A list is dealt by hash into blocks bounded in entries and bytes; each pair of blocks is a row
     that has its texts' positions and shingles, so that positions are tallied, lengths and sketches
-    bounded and sets verified within a task. No pair leaves it but a link that connects. Lists of the very
-    same members (told by count and two sums of hashes) are compared once.
+    bounded and sets verified within a task. No pair leaves it but a link that connects.
     """
     sized = among.join(held.select("id", "size"), "id")
-    sums = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")]
-    each = sized.groupBy("value").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum("size").alias("size"))
-    once = each.groupBy("n", "s", "x", "size").agg(F.min("value").alias("value"))
+    each = sized.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     parts = F.ceil(F.greatest(F.col("n") / NEAR_BLOCK, 8 * F.col("size") / NEAR_BYTES, F.lit(1.0))).cast("int")
-    once = materialise(once.select("value", parts.alias("parts")), "once")
-    entry = materialise(among.join(once, "value").join(held.select("id", "places"), "id").join(sets, "id"), "entries")
+    dealing = materialise(each.select("value", parts.alias("parts")), "dealing")
+    entry = materialise(among.join(dealing, "value").join(held.select("id", "places"), "id").join(sets, "id"), "entries")
     dealt = entry.withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = dealt.groupBy("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     late = (F.col("own") == F.greatest("own", "other")).alias("late")
@@ -453,7 +474,7 @@ def spanning_links(among: DataFrame, held: DataFrame, sets: DataFrame) -> DataFr
 
     links = blocks.select((F.col("x") != F.col("y")).alias("mixed"), "entries").mapInArrow(run, "a long, b long")
     out = materialise(links, "similar")
-    release(once, entry)
+    release(dealing, entry)
     return out
 
 
