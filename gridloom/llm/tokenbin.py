@@ -41,11 +41,14 @@ SHARD_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, doc_tokens a
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
     """Low ``width`` bits of each value, least significant first: (k, n) values -> (k, bytes).
 
-    n is a multiple of 64, so each 64 values fill ``width`` whole words and all rows go at once.
+    n is a multiple of 64, so each 64 values fill ``width`` whole words and all rows go at once. At the width
+    of a machine integer these are the bytes of such integers.
     """
     k, n = rows.shape
+    if width in (8, 16, 32):
+        return rows.astype(f"<u{width // 8}").view(np.uint8)
     out = np.zeros((k, n // 64, width), "<u8")
-    values = (rows & np.uint64((1 << width) - 1)).reshape(k, n // 64, 64)
+    values = (rows.astype(np.uint64) & np.uint64((1 << width) - 1)).reshape(k, n // 64, 64)
     for i in range(64):
         word, shift = divmod(i * width, 64)
         out[:, :, word] |= values[:, :, i] << np.uint64(shift)
@@ -57,6 +60,8 @@ def _pack(rows: np.ndarray, width: int) -> np.ndarray:
 def _unpack(raw: np.ndarray, n: int, width: int) -> np.ndarray:
     """(k, bytes) -> (k, n) values."""
     k = len(raw)
+    if width in (8, 16, 32):
+        return np.ascontiguousarray(raw).view(f"<u{width // 8}")
     words = np.ascontiguousarray(raw).view("<u8").reshape(k, n // 64, width)
     out = np.empty((k, n // 64, 64), np.uint64)
     for i in range(64):
@@ -71,7 +76,7 @@ def _unpack(raw: np.ndarray, n: int, width: int) -> np.ndarray:
 def encode_shard(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """``block``: a multiple of 64, 65,536 at most (positions have 16 bits). The last block is filled up."""
     n_blocks = -(-len(ids) // block)
-    rows = np.full((n_blocks, block), ids[-1] if len(ids) else 0, np.uint64)
+    rows = np.full((n_blocks, block), ids[-1] if len(ids) else 0, np.uint32)
     rows.ravel()[: len(ids)] = ids
     low = rows.min(axis=1)
     diff = rows - low[:, None]
@@ -81,10 +86,12 @@ def encode_shard(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCEN
     for width in np.unique(widths).tolist():
         which = np.flatnonzero(widths == width)
         packed = _pack(diff[which], width) if width else np.empty((len(which), 0), np.uint8)
-        high = diff[which] >> np.uint64(width)
-        for i, low_bits, rest in zip(which.tolist(), packed, high):
-            where = np.flatnonzero(rest)
-            parts[i] = struct.pack("<IBH", int(low[i]), width, len(where)) + low_bits.tobytes() + where.astype("<u2").tobytes() + rest[where].astype("<u4").tobytes()
+        high = diff[which] >> np.uint32(width) if width < 32 else np.zeros((len(which), block), np.uint32)
+        k = np.count_nonzero(high, axis=1)
+        ends = np.cumsum(k).tolist()
+        where, rest = np.nonzero(high)[1].astype("<u2").tobytes(), high[high > 0].astype("<u4").tobytes()
+        for i, least, low_bits, n, e in zip(which.tolist(), low[which].tolist(), packed, k.tolist(), ends):
+            parts[i] = struct.pack("<IBH", least, width, n) + low_bits.tobytes() + where[2 * (e - n) : 2 * e] + rest[4 * (e - n) : 4 * e]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype("<u4")
     return MAGIC + struct.pack("<III", len(ids), block, n_blocks) + starts.tobytes() + b"".join(parts)
 
@@ -102,7 +109,7 @@ def decode_shard(payload: bytes, start: int = 0, stop: int | None = None) -> np.
     first, last = start // block, (stop - 1) // block
     heads = [struct.unpack_from("<IBH", view, starts[i]) for i in range(first, last + 1)]
     widths = np.array([h[1] for h in heads])
-    out = np.zeros((len(heads), block), np.uint64)
+    out = np.zeros((len(heads), block), np.uint32)
     raw = np.frombuffer(view, np.uint8)
     for width in np.unique(widths[widths > 0]).tolist():
         which = np.flatnonzero(widths == width)
@@ -111,9 +118,9 @@ def decode_shard(payload: bytes, start: int = 0, stop: int | None = None) -> np.
     for i, (_, width, k) in enumerate(heads):
         if k:
             at = starts[first + i] + 7 + block // 8 * width
-            out[i, np.frombuffer(view, "<u2", k, at)] |= np.frombuffer(view, "<u4", k, at + 2 * k).astype(np.uint64) << np.uint64(width)
-    out += np.array([h[0] for h in heads], np.uint64)[:, None]
-    return out.ravel()[start - first * block : stop - first * block].astype(np.uint32)
+            out[i, np.frombuffer(view, "<u2", k, at)] |= np.frombuffer(view, "<u4", k, at + 2 * k) << np.uint32(width)
+    out += np.array([h[0] for h in heads], np.uint32)[:, None]
+    return out.ravel()[start - first * block : stop - first * block]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_ids: int = SHARD_IDS, end_id: int = END_ID) -> None:
