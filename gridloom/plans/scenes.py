@@ -73,8 +73,7 @@ def join09_match_items(spark, sf):
 @query(f"""SELECT patch_id, item_id, CAST(place AS INT) AS place FROM (SELECT m.patch_id, i.item_id, row_number() OVER (PARTITION BY m.patch_id ORDER BY coalesce(cloud, 1000), datetime, i.item_id) AS place
   FROM {MATCHES} m JOIN {ITEMS} i USING (item_id)) WHERE place <= 3""")
 def fn24_join10_candidates(spark, sf):
-    rows = items(spark, sf)
-    return composite.candidates(composite.match_items(patches(spark, sf), rows), rows, 3).select("patch_id", "item_id", "place")
+    return composite.first_candidates(patches(spark, sf), items(spark, sf), 3)
 
 
 @query(f"SELECT item_id, other = '1-URGENT' AS has_both FROM {ITEMS}")
