@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, St
 
 from gridloom.functions import rings as R
 from gridloom.functions.cells import CELL_M, canonical_bounds, parent_key, utm_owner_epsg
-from gridloom.functions.projection import let, utm_forward, utm_inverse
+from gridloom.functions.projection import CIRCLE, let, utm_forward, utm_inverse
 
 
 RING = ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())]))
@@ -146,7 +146,12 @@ def cell_is_valid(epsg: Column, ring: Column, side: float = CELL_M, side_toleran
         sides = let(ring_bounds(flat), lambda b: close(b, 0) & close(b, 1))
         return sides & (F.abs(ring_area(flat) - side * side) <= area_tolerance)
 
-    return let(F.transform(ring, lambda p: utm_forward(p["x"], p["y"], epsg)), square)
+    def whole(flat: Column) -> Column:
+        """Half a circle up, northings start again; a ring across that place goes on."""
+        top = F.array_max(F.transform(flat, lambda p: p["y"]))
+        return F.transform(flat, lambda p: F.struct(p["x"].alias("x"), (p["y"] + F.when(top - p["y"] > CIRCLE / 2, CIRCLE).otherwise(0.0)).alias("y")))
+
+    return let(let(F.transform(ring, lambda p: utm_forward(p["x"], p["y"], epsg)), whole), square)
 
 
 def patch_bounds(epsg: Column, col: Column, row: Column) -> Column:

@@ -48,6 +48,9 @@ DELTA = [
     601676 * N**6 / 22275,
 ]
 
+#: Metres of a whole meridian circle in a zone: the northings of one place differ by multiples of it.
+CIRCLE = 2 * math.pi * K0 * RECTIFYING
+
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""

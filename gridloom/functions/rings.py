@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from gridloom.functions.projection import ALPHA, BETA, DELTA, E, E2, K0, RECTIFYING, A, equal_area_scale
+from gridloom.functions.projection import ALPHA, BETA, CIRCLE, DELTA, E, E2, K0, RECTIFYING, A, equal_area_scale
 
 #: Elements of a padded array.
 SLOTS = 1 << 19
@@ -242,7 +242,10 @@ def squares(col: np.ndarray, row: np.ndarray, epsg: np.ndarray, side: float) ->
 def square_again(r: Rings, epsg: np.ndarray, side: float, side_tolerance: float, area_tolerance: float) -> np.ndarray:
     """Whether each ring, projected to its zone, has the sides of a cell and its area."""
     x, y = metres(r.x, r.y, epsg[:, None])
-    flat, at = Rings(x, y, r.size), r.filled
+    at = r.filled
+    # Half a circle up, northings start again; a ring across that place goes on.
+    y = np.where(np.where(at, y, -np.inf).max(1, initial=-np.inf)[:, None] - y > CIRCLE / 2, y + CIRCLE, y)
+    flat = Rings(x, y, r.size)
     span = [np.where(at, v, -np.inf).max(1, initial=-np.inf) - np.where(at, v, np.inf).min(1, initial=np.inf) for v in (x, y)]
     with np.errstate(invalid="ignore"):
         return (np.abs(span[0] - side) <= side_tolerance) & (np.abs(span[1] - side) <= side_tolerance) & (np.abs(flat.area() - side * side) <= area_tolerance)
