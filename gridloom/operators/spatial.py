@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.cells import CELL_M, boxes_intersect, canonical_bounds, parent_key, utm_owner_epsg
 from gridloom.functions.geometry import clipped, corners, densified, footprint_plane, overlap_area, ring_area, ring_bounds, segment_distance, zones_of
 from gridloom.functions.projection import equal_area, utm_forward, utm_inverse
+from gridloom.operators.ranking import settled
 
 
 def edges_of(polygons: DataFrame) -> DataFrame:
@@ -137,8 +138,20 @@ def covered_share(cells: DataFrame, parts: DataFrame, size: float = 1.0, equal:
     return whole.join(areas, "id", "left").select("id", (F.coalesce("area", F.lit(0.0)) / F.col("full")).alias("share"))
 
 
+def at_outline(cells: DataFrame, polygons: DataFrame, size: float = 0.05) -> DataFrame:
+    """Cells (id, ring) whose box meets a bucket of the box of an edge: all that an outline passes, and some near one."""
+    e = edges_of(polygons)
+    box = F.array(F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    dealt = e.select(F.explode(buckets(box, size)).alias("b")).distinct()
+    return cells.withColumn("b", F.explode(buckets(ring_bounds(F.col("ring")), size))).join(dealt, "b", "left_semi").dropDuplicates(["id"]).select("id", "ring")
+
+
 def coastal(cells: DataFrame, ocean: DataFrame, land: DataFrame, least: float = 0.001) -> DataFrame:
-    """Cells (id, ring) that meet the ocean and of whose area land and the rest are ``least`` each at least."""
+    """Cells (id, ring) that meet the ocean and of whose area land and the rest are ``least`` each at least.
+
+    An outline of the land passes these; others are not clipped.
+    """
+    cells = settled(at_outline(cells, land))
     share = covered_share(cells, land, equal=True).join(covered_share(cells, ocean, equal=True).withColumnRenamed("share", "sea"), "id")
     return share.where((F.col("sea") > 0) & (F.col("share") >= least) & (1 - F.col("share") >= least)).select("id")
 

@@ -5,7 +5,6 @@ import os
 import duckdb
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.test_queries import ORACLES, TABLES, __spark_entry__, rows
@@ -57,3 +56,8 @@ def test_audits_far_north(name, spark, north):
 @pytest.mark.parametrize("name", ["fn23_cell_validity", "agg05_grid_audit", "agg09_registry_audit"])
 def test_audits_beyond_the_pole(name, spark, beyond):
     assert differences(spark, name, beyond) == ([], 0)
+
+
+@pytest.mark.parametrize("name", ["join11_coastal_crossing", "join12_near_coast", "win10_coastal_fallback"])
+def test_coasts_far_north(name, spark, north):
+    assert differences(spark, name, north) == ([], 0)
