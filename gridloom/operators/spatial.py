@@ -100,16 +100,28 @@ def overlap_pairs(cells: DataFrame, adjacent_only: bool = True, same_zone: bool
     footprint and a pair is reported by one bucket. With ``adjacent_only`` zone n meets n + 1 only;
     with ``same_zone`` cells of one zone meet. Areas are in the equal-area projection.
     """
-    rows = placed_footprints(cells, size)
     if same_zone:
-        meets = (F.col("l.grid_epsg") == F.col("r.grid_epsg")) & (F.col("l.id") < F.col("r.id"))
-    elif adjacent_only:
+        return repeated_cells(cells)
+    rows = placed_footprints(cells, size)
+    if adjacent_only:
         meets = F.col("l.grid_epsg") + 1 == F.col("r.grid_epsg")
     else:
         meets = (F.col("l.id") < F.col("r.id")) & (F.col("l.grid_epsg") != F.col("r.grid_epsg"))
     return footprint_pairs(rows, rows, meets, size)
 
 
+def repeated_cells(cells: DataFrame) -> DataFrame:
+    """overlap_pairs of one zone: its cells lie on one lattice, so two that overlap are the same cell, and no footprint is asked.
+
+    Degrees would not tell rows apart that are a whole meridian circle from each other.
+    """
+    place = ["grid_epsg", "grid_col", "grid_row"]
+    side = lambda n: cells.select(F.col("id").alias(n), *place).hint("merge")
+    pairs = side("left_id").join(side("right_id"), place).where("left_id < right_id")
+    area = footprint_plane(F.col("grid_epsg"), canonical_bounds(F.col("grid_col"), F.col("grid_row")))["area"]
+    return pairs.select("left_id", "right_id", area.alias("area"), F.lit(1.0).alias("fraction"))
+
+
 def overlap_report(pairs: DataFrame, limit: float = 0.01) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("fraction") > limit).cast("long")).alias("over_limit"), F.max("fraction").alias("max_fraction"), F.sum("area").alias("overlap_area"))
 

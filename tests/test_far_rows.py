@@ -61,3 +61,12 @@ def test_audits_beyond_the_pole(name, spark, beyond):
 @pytest.mark.parametrize("name", ["join11_coastal_crossing", "join12_near_coast", "win10_coastal_fallback"])
 def test_coasts_far_north(name, spark, north):
     assert differences(spark, name, north) == ([], 0)
+
+
+def test_cells_of_one_zone_a_circle_apart(spark, tmp_path_factory):
+    """Rows 2,500 on and those a whole meridian circle north of them, in the same zones."""
+    first = [k * 9 for k in range(500)]
+    folder = folder_with(tmp_path_factory, first + [k + 31_242 * 180 for k in first])
+    orders = pq.read_table(f"{folder}/orders.parquet").to_pandas().assign(o_custkey=3)
+    orders.to_parquet(f"{folder}/orders.parquet")
+    assert differences(spark, "join08_same_zone_overlaps", folder) == ([], 0)
