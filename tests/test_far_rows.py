@@ -75,3 +75,7 @@ def test_cells_of_one_zone_a_circle_apart(spark, tmp_path_factory):
 def test_points_at_just_the_distance_of_a_shore_s_end(spark, tmp_path_factory):
     keys = [13_340, 41_340, 69_340, *range(97)]
     assert differences(spark, "join11_join12_coast", folder_with(tmp_path_factory, keys, "customer", "c_custkey")) == ([], 0)
+
+
+def test_registry_plan_far_north(spark, north):
+    assert differences(spark, "win14_fn47_registry_plan", north) == ([], 0)
